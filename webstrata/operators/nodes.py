@@ -83,13 +83,22 @@ def shadowed_tables(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     above = (F.col(key) == F.col("a_key")) & (F.col("a_pre") < F.col("pre")) & (
         F.col("pre") < F.col("a_post")
     )
-    wall = F.max(F.when(F.col("a_tag").isin("main", "article"), F.col("a_pre")))
-    shadow = F.max(
-        F.when(F.col("a_shadows") & ~F.col("a_tag").isin("main", "article", "body"), F.col("a_pre"))
-    )
+    walls = F.col("a_tag").isin("main", "article")
     return (
         tables.join(deciding, above, "left")
         .groupBy(key, "pre")
-        .agg(wall.alias("wall"), shadow.alias("shadow"))
-        .select(key, "pre", F.coalesce(F.col("shadow") > F.coalesce("wall", F.lit(-1)), F.lit(False)).alias("shadowed"))
+        .agg(
+            F.max(F.when(walls, F.col("a_pre"))).alias("wall"),
+            F.max(F.when(F.col("a_tag") == "body", F.col("a_pre"))).alias("body"),
+            F.max(F.when(F.col("a_shadows") & ~walls, F.col("a_pre"))).alias("shadow"),
+        )
+        .select(
+            key,
+            "pre",
+            F.coalesce(
+                (F.col("shadow") > F.coalesce("wall", F.lit(-1)))
+                & (F.col("shadow") >= F.coalesce("body", F.lit(-1))),
+                F.lit(False),
+            ).alias("shadowed"),
+        )
     )
