@@ -126,6 +126,11 @@ def _spans(codes: pa.Array) -> pa.Array:
     return pa.array(out, type=_SPANS_TYPE)
 
 
+# Spark 4.1 fails to lift a deterministic Python function out of an expression when its
+# argument holds nested lambdas, and would copy it into filters pushed below. Both end here.
+_spans = _spans.asNondeterministic()
+
+
 def _words(tag: Column) -> Column:
     empty = F.lit("")
     return word_tokens(
@@ -167,7 +172,6 @@ def table_pieces(mk: Column) -> Column:
 
 def spans(pieces: Column) -> Column:
     """Table, row and cell ranges over :func:`table_pieces`."""
-    # No nested lambda here: Spark 4.1 does not lift a Python function whose argument has one.
     def code(piece: Column) -> Column:
         name = tag_name(piece)
         opens = ~name.startswith("/") & (name != "")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from html.entities import html5
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Separators used inside packed strings. They are white space to ``collapse``, so cleaned
@@ -45,6 +45,17 @@ def or_default(c: Column, default: str) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit(default)).otherwise(c)
 
 
+def explode_rows(df: DataFrame, keep: list, items: Column | str, name: str, pos: str = "pos") -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    The outer form plus a filter on its output: a plain explode would let the optimizer infer
+    a filter on the array, push it down and so compute the array twice.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, name)).where(
+        F.col(pos).isNotNull()
+    ).withColumn(pos, F.col(pos).cast("bigint"))
+
+
 def ordered_distinct(items: Column) -> Column:
     """Non-empty items, first occurrence kept."""
     return F.array_distinct(F.filter(items, lambda x: x != ""))

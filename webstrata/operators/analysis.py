@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.text import contains_any, or_default, strip
+from webstrata.functions.text import bind, contains_any, or_default, strip
 
 PROMPT_CHARS = 8000
 MAX_ATTEMPTS = 2
@@ -125,232 +125,268 @@ def _unfenced(text: Column) -> Column:
     return strip(F.regexp_replace(t, r"```\z", ""))
 
 
+_KEYS = [
+    "recommended_strategy", "scrape_strategy", "warnings", "framework", "content_confidence",
+    "table_confidence", "overall_score", "requires_javascript", "compatibility_grade",
+    "rendering_type", "javascript_complexity", "strengths", "limitations", "recommendation",
+    "website_type", "summary", "main_content_selector",
+]
+
+
 def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame:
     """Replace ``content`` by the 16 analysis fields and ``has_analysis``.
 
     ``has_analysis`` is false where the answer is JSON of an unusable shape: the page then goes
     on without analysis and strategy. A missing answer, broken JSON or a confidence that is no
     number gives the fallback record instead.
+
+    The steps are chained with ``bind``, so each intermediate is evaluated once per answer and
+    the optimizer cannot multiply them into one another.
     """
-    def raw(key: str) -> Column:
-        """JSON text of a key, NULL when the key is missing."""
-        return F.to_json(F.try_variant_get("v", f"$.{key}", "variant"))
+    read = bind(F.struct(F.col(content).alias("answer")), _read_json)
+    for step in (_read_fields, _add_framework_warning, _add_confidence_warnings, _score, _conclude):
+        read = bind(read, step)
+    rest = [c for c in responses.columns if c != content]
+    return responses.select(*rest, read.alias("analysis")).select(
+        *rest, *[F.col(f"analysis.{name}") for name in ["has_analysis", *ANALYSIS_FIELDS]]
+    )
 
-    def text(key: str) -> Column:
-        return F.try_variant_get("v", f"$.{key}", "string")
 
-    keys = [
-        "recommended_strategy", "scrape_strategy", "warnings", "framework", "content_confidence",
-        "table_confidence", "overall_score", "requires_javascript", "compatibility_grade",
-        "rendering_type", "javascript_complexity", "strengths", "limitations", "recommendation",
-        "website_type", "summary", "main_content_selector",
-    ]
-    base = responses.withColumn("v", F.try_parse_json(_unfenced(F.col(content)))).withColumn(
-        "j", F.struct(*[raw(k).alias(k) for k in keys])
+def _with(row: Column, **fields: Column) -> Column:
+    for name, value in fields.items():
+        row = row.withField(name, value)
+    return row
+
+
+def _read_json(row: Column) -> Column:
+    """The answer as variant, and the JSON text of every key (NULL when the key is missing)."""
+    def texts(v: Column) -> Column:
+        return F.struct(
+            row["answer"].alias("answer"),
+            v.alias("v"),
+            *[F.to_json(F.try_variant_get(v, f"$.{k}", "variant")).alias(k) for k in _KEYS],
+        )
+
+    return bind(F.try_parse_json(_unfenced(row["answer"])), texts)
+
+
+def _said(value: Column, j: Column) -> Column:
+    """Text form of any JSON value (null reads ``None``, booleans ``True``/``False``)."""
+    return (
+        F.when(j.startswith('"'), value)
+        .when(j == "null", F.lit("None"))
+        .when(j == "true", F.lit("True"))
+        .when(j == "false", F.lit("False"))
+        .otherwise(j)
     )
 
-    def json(key: str) -> Column:
-        return F.col(f"j.{key}")
 
-    def is_text(key: str) -> Column:
-        return json(key).startswith('"')
+def _element_text(x: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(x), "$", "string")
+
+
+def _read_fields(row: Column) -> Column:
+    """Typed fields with the loose reading of missing, empty and mistyped values."""
+    def text(key: str) -> Column:
+        return F.try_variant_get(row["v"], f"$.{key}", "string")
 
     def truthy(key: str) -> Column:
-        j = json(key)
+        j = row[key]
         blank = j.isNull() | j.isin("null", "false", '""', "[]", "{}")
         return ~blank & F.coalesce(j.try_cast("double") != 0, F.lit(True))
 
-    def said(value: Column, j: Column) -> Column:
-        """Text form of any JSON value (null reads ``None``, booleans ``True``/``False``)."""
-        return (
-            F.when(j.startswith('"'), value)
-            .when(j == "null", F.lit("None"))
-            .when(j == "true", F.lit("True"))
-            .when(j == "false", F.lit("False"))
-            .otherwise(j)
-        )
-
     def string(key: str, default: str) -> Column:
-        return F.when(json(key).isNull(), F.lit(default)).otherwise(said(text(key), json(key)))
+        return F.when(row[key].isNull(), F.lit(default)).otherwise(_said(text(key), row[key]))
 
     def string_or(key: str, default: Column) -> Column:
-        return F.when(truthy(key), said(text(key), json(key))).otherwise(default)
+        return F.when(truthy(key), _said(text(key), row[key])).otherwise(default)
 
     def number(key: str) -> Column:
         return (
-            F.when(json(key).isNull(), F.lit(0.0))
-            .when(json(key) == "true", F.lit(1.0))
-            .when(json(key) == "false", F.lit(0.0))
-            .otherwise(F.try_variant_get("v", f"$.{key}", "double"))
+            F.when(row[key].isNull(), F.lit(0.0))
+            .when(row[key] == "true", F.lit(1.0))
+            .when(row[key] == "false", F.lit(0.0))
+            .otherwise(F.try_variant_get(row["v"], f"$.{key}", "double"))
         )
 
     def items(key: str) -> Column:
         """Elements of a list as JSON text; characters of a text; NULL where not iterable."""
-        j = json(key)
+        j = row[key]
+        quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
         return (
             F.when(j.isNull(), F.array().cast("array<string>"))
             .when(
                 j.startswith("["),
-                F.transform(F.try_variant_get("v", f"$.{key}", "array<variant>"), lambda x: F.to_json(x)),
-            )
-            .when(
-                is_text(key),
                 F.transform(
-                    F.filter(F.split(text(key), ""), lambda c: c != ""), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+                    F.try_variant_get(row["v"], f"$.{key}", "array<variant>"), lambda x: F.to_json(x)
                 ),
             )
-            .when(j.startswith("{"), F.transform(F.json_object_keys(j), lambda k: F.concat(F.lit('"'), k, F.lit('"'))))
+            .when(
+                j.startswith('"'),
+                F.transform(F.filter(F.split(text(key), ""), lambda c: c != ""), quoted),
+            )
+            .when(j.startswith("{"), F.transform(F.json_object_keys(j), quoted))
         )
 
-    def spoken(x: Column) -> Column:
-        return said(F.try_variant_get(F.try_parse_json(x), "$", "string"), x)
-
     def kept(key: str) -> Column:
-        blank = ["null", "false", '""', "[]", "{}", "0", "0.0"]
-        return F.transform(F.filter(items(key), lambda x: ~x.isin(blank)), spoken)
+        full = F.filter(items(key), lambda x: ~x.isin("null", "false", '""', "[]", "{}", "0", "0.0"))
+        return F.transform(full, lambda x: _said(_element_text(x), x))
 
     def not_number(key: str) -> Column:
-        return is_text(key) & number(key).isNull()
-
+        return row[key].startswith('"') & number(key).isNull()
+
+    con = "content_confidence"
+    failure = (
+        F.when(F.coalesce(row["answer"], F.lit("")) == "", F.lit(NO_RESPONSE))
+        .when(row["v"].isNull(), F.lit(BAD_JSON))
+        .when(not_number(con), F.format_string(BAD_NUMBER, text(con)))
+        .when(
+            not_number("table_confidence") & number(con).isNotNull(),
+            F.format_string(BAD_NUMBER, text("table_confidence")),
+        )
+    )
+    script = truthy("requires_javascript")
     strategy = string_or("recommended_strategy", string_or("scrape_strategy", F.lit(DEFAULT_STRATEGY)))
-    loose = base.select(
-        *[c for c in responses.columns if c != content],
-        F.when(F.coalesce(F.col(content), F.lit("")) == "", F.lit(NO_RESPONSE))
-        .when(F.col("v").isNull(), F.lit(BAD_JSON))
-        .when(not_number("content_confidence"), F.format_string(BAD_NUMBER, text("content_confidence")))
-        .when(not_number("table_confidence"), F.format_string(BAD_NUMBER, text("table_confidence")))
-        .alias("failure"),
-        F.to_json("v").startswith("{").alias("is_object"),
-        strategy.alias("recommended_strategy"),
+    return F.struct(
+        failure.alias("failure"),
+        F.to_json(row["v"]).startswith("{").alias("is_object"),
         items("warnings").alias("warning_items"),
+        string("website_type", "Unknown").alias("website_type"),
         string("framework", "Unknown").alias("framework"),
-        number("content_confidence").alias("content_confidence"),
+        number(con).alias("content_confidence"),
         number("table_confidence").alias("table_confidence"),
-        F.coalesce(F.try_variant_get("v", "$.overall_score", "bigint"), F.lit(0)).cast("bigint").alias("given_score"),
-        truthy("requires_javascript").alias("requires_javascript"),
-        strip(F.upper(string("compatibility_grade", ""))).alias("given_grade"),
-        string_or(
-            "rendering_type",
-            F.when(truthy("requires_javascript"), "Dynamic SPA").otherwise("Mostly Static"),
-        ).alias("rendering_type"),
-        string_or(
-            "javascript_complexity", F.when(truthy("requires_javascript"), "High").otherwise("Low")
-        ).alias("javascript_complexity"),
-        kept("strengths").alias("given_strengths"),
-        kept("limitations").alias("given_limitations"),
-        string_or("recommendation", F.format_string(RECOMMENDATION, strategy)).alias("recommendation"),
-        string("website_type", "Unknown").alias("website_type"),
+        script.alias("requires_javascript"),
+        strategy.alias("recommended_strategy"),
         string("summary", "").alias("summary"),
         string("main_content_selector", "body").alias("main_content_selector"),
+        F.coalesce(F.try_variant_get(row["v"], "$.overall_score", "bigint"), F.lit(0))
+        .cast("bigint")
+        .alias("overall_score"),
+        strip(F.upper(string("compatibility_grade", ""))).alias("compatibility_grade"),
+        string_or("rendering_type", F.when(script, "Dynamic SPA").otherwise("Mostly Static")).alias(
+            "rendering_type"
+        ),
+        string_or("javascript_complexity", F.when(script, "High").otherwise("Low")).alias(
+            "javascript_complexity"
+        ),
+        kept("strengths").alias("strengths"),
+        kept("limitations").alias("limitations"),
+        string_or("recommendation", F.lit("")).alias("recommendation"),
     )
-    return _finish(loose, responses.columns, content)
 
 
-def _finish(loose: DataFrame, columns: list[str], content: str) -> DataFrame:
-    con, tab = F.col("content_confidence"), F.col("table_confidence")
-    script, named = F.col("requires_javascript"), ~F.col("framework").isin("Unknown", "Standard HTML/CSS")
+def _named_framework(row: Column) -> Column:
+    return ~row["framework"].isin("Unknown", "Standard HTML/CSS")
 
-    def mentions(words: list[str]) -> Column:
-        return F.exists("warnings", lambda w: contains_any(F.lower(w), words))
 
-    def append_if(condition: Column, value: Column) -> Column:
-        return F.when(condition, F.array_append("warnings", value)).otherwise(F.col("warnings"))
+def _add_framework_warning(row: Column) -> Column:
+    plain = F.transform(row["warning_items"], lambda w: F.coalesce(_element_text(w), w))
 
-    texts_only = F.forall("warning_items", lambda w: w.startswith('"'))
-    tested = named | (con < 0.4) | (tab < 0.2)
-    usable = (
-        F.col("is_object")
-        & F.col("warning_items").isNotNull()
-        & F.col("given_strengths").isNotNull()
-        & F.col("given_limitations").isNotNull()
-        & con.isNotNull()
-        & tab.isNotNull()
-        & (texts_only | ~tested)
-    )
-    plain = F.transform(
-        "warning_items", lambda w: F.coalesce(F.try_variant_get(F.try_parse_json(w), "$", "string"), w)
-    )
-    said = (
-        loose.withColumn("warnings", plain)
-        .withColumn(
-            "warnings",
-            append_if(
-                named
-                & ~F.exists(
-                    "warnings",
-                    lambda w: F.contains(F.lower(w), F.lower("framework"))
-                    | F.contains(F.lower(w), F.lit("appears to use")),
-                ),
-                F.format_string(USES_FRAMEWORK, F.col("framework")),
-            ),
+    def extend(warnings: Column) -> Column:
+        known = F.exists(
+            warnings,
+            lambda w: F.contains(F.lower(w), F.lower(row["framework"]))
+            | F.contains(F.lower(w), F.lit("appears to use")),
         )
-        .withColumn(
-            "warnings",
-            append_if((con < 0.4) & ~mentions(["content extraction", "confidence"]), F.lit(LOW_CONTENT)),
-        )
-        .withColumn("warnings", append_if((tab < 0.2) & ~mentions(["table"]), F.lit(NO_TABLES)))
-    )
-    derived = F.floor(con * 60 + tab * 20).cast("bigint") + F.when(script, 10).otherwise(20)
-    score = F.when(F.col("given_score") > 0, F.col("given_score")).otherwise(
+        more = F.array_append(warnings, F.format_string(USES_FRAMEWORK, row["framework"]))
+        return F.when(_named_framework(row) & ~known, more).otherwise(warnings)
+
+    return _with(row, warnings=bind(plain, extend))
+
+
+def _add_confidence_warnings(row: Column) -> Column:
+    def append(limit: Column, words: list[str], line: str):
+        def step(warnings: Column) -> Column:
+            known = F.exists(warnings, lambda w: contains_any(F.lower(w), words))
+            return F.when(limit & ~known, F.array_append(warnings, F.lit(line))).otherwise(warnings)
+
+        return step
+
+    low_text = append(row["content_confidence"] < 0.4, ["content extraction", "confidence"], LOW_CONTENT)
+    low_table = append(row["table_confidence"] < 0.2, ["table"], NO_TABLES)
+    return _with(row, warnings=bind(bind(row["warnings"], low_text), low_table))
+
+
+def _score(row: Column) -> Column:
+    """Score, grade and the texts that stand in for empty lists."""
+    con, tab, script = row["content_confidence"], row["table_confidence"], row["requires_javascript"]
+    derived = (con * 60 + tab * 20).cast("bigint") + F.when(script, 10).otherwise(20)
+    score = F.when(row["overall_score"] > 0, row["overall_score"]).otherwise(
         F.greatest(F.lit(35), F.least(F.lit(98), derived))
     )
-    graded = said.withColumn("overall_score", score.cast("bigint")).withColumn(
-        "compatibility_grade",
-        F.when(F.col("given_grade").isin("A", "B", "C", "D"), F.col("given_grade"))
-        .when(F.col("overall_score") >= 85, "A")
-        .when(F.col("overall_score") >= 70, "B")
-        .when(F.col("overall_score") >= 50, "C")
-        .otherwise("D"),
-    )
 
-    def stand_in(given: str, *choices: tuple[Column, str], none: str) -> Column:
+    def grade(value: Column) -> Column:
+        given = row["compatibility_grade"]
+        return (
+            F.when(given.isin("A", "B", "C", "D"), given)
+            .when(value >= 85, "A")
+            .when(value >= 70, "B")
+            .when(value >= 50, "C")
+            .otherwise("D")
+        )
+
+    def stand_in(given: Column, choices: list[tuple[Column, str]], none: str) -> Column:
         picked = F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in choices]))
         return (
-            F.when(F.size(given) > 0, F.col(given))
+            F.when(F.size(given) > 0, given)
             .when(F.size(picked) > 0, picked)
-            .otherwise(F.array(F.lit(none)))
+            .when(given.isNotNull(), F.array(F.lit(none)))
         )
 
-    full = graded.withColumn(
-        "strengths",
-        stand_in(
-            "given_strengths",
-            (con > 0.7, STRENGTH_TEXTS["content"]),
-            (~script, STRENGTH_TEXTS["static"]),
-            (tab > 0.5, STRENGTH_TEXTS["tables"]),
-            none=STRENGTH_TEXTS["none"],
-        ),
-    ).withColumn(
-        "limitations",
-        stand_in(
-            "given_limitations",
-            (script, LIMITATION_TEXTS["script"]),
-            (con < 0.5, LIMITATION_TEXTS["content"]),
-            none=LIMITATION_TEXTS["none"],
-        ),
+    strengths = [
+        (con > 0.7, STRENGTH_TEXTS["content"]),
+        (~script, STRENGTH_TEXTS["static"]),
+        (tab > 0.5, STRENGTH_TEXTS["tables"]),
+    ]
+    limits = [(script, LIMITATION_TEXTS["script"]), (con < 0.5, LIMITATION_TEXTS["content"])]
+    advice = F.format_string(RECOMMENDATION, row["recommended_strategy"])
+    return _with(
+        row,
+        iterable=row["strengths"].isNotNull() & row["limitations"].isNotNull(),
+        overall_score=score.cast("bigint"),
+        compatibility_grade=bind(score, grade),
+        strengths=stand_in(row["strengths"], strengths, STRENGTH_TEXTS["none"]),
+        limitations=stand_in(row["limitations"], limits, LIMITATION_TEXTS["none"]),
+        recommendation=or_else(row["recommendation"], advice),
     )
-    failed = F.col("failure").isNotNull() & (F.col("is_object") | F.col("is_object").isNull())
-    present = failed | F.coalesce(usable, F.lit(False))
-    wide = full.select("*", failed.alias("failed"), present.alias("has_analysis"))
-    why = F.col("failure")
+
+
+def or_else(text: Column, other: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", other).otherwise(text)
+
+
+def _conclude(row: Column) -> Column:
+    """The record, the fallback record, or no analysis at all."""
+    con, tab = row["content_confidence"], row["table_confidence"]
+    texts_only = F.forall(row["warning_items"], lambda w: w.startswith('"'))
+    tested = _named_framework(row) | (con < 0.4) | (tab < 0.2)
+    usable = (
+        row["is_object"] & row["warning_items"].isNotNull() & row["iterable"]
+        & con.isNotNull() & tab.isNotNull() & (texts_only | ~tested)
+    )
+    readable = row["is_object"] & row["warning_items"].isNotNull()
+    failed = row["failure"].isNotNull() & (row["is_object"].isNull() | readable)
 
     def fallback(name: str) -> Column:
         value = FALLBACK[name]
         if name in ("warnings", "summary"):
-            line = F.format_string(value, why)
+            line = F.format_string(value, row["failure"])
             return F.array(line) if name == "warnings" else line
         if name in ("strengths", "limitations"):
             return F.array(F.lit(value))
         return F.lit(value).cast("bigint") if name == "overall_score" else F.lit(value)
 
-    return wide.select(
-        *[c for c in columns if c != content],
-        "has_analysis",
-        *[
-            F.when(F.col("has_analysis"), F.when(F.col("failed"), fallback(n)).otherwise(F.col(n))).alias(n)
-            for n in ANALYSIS_FIELDS
-        ],
-    )
+    def record(state: Column) -> Column:
+        return F.struct(
+            (state != "none").alias("has_analysis"),
+            *[
+                F.when(state == "failed", fallback(n)).when(state == "usable", row[n]).alias(n)
+                for n in ANALYSIS_FIELDS
+            ],
+        )
+
+    state = F.when(failed, "failed").when(F.coalesce(usable, F.lit(False)), "usable").otherwise("none")
+    return bind(state, record)
 
 
 def warning_severity(analysis: DataFrame, keep: list[str], warnings: str = "warnings") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
 from webstrata.functions import tables as T
+from webstrata.functions.text import explode_rows
 
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 OPTIONAL_END = ["p", "li", "tr", "td", "th", "dt", "dd", "option"]
@@ -23,7 +24,7 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     Elements close at the next end tag of their name at their depth, so unclosed inline tags do
     no harm. Names with optional ends that are not balanced in a page end at their next sibling.
     """
-    pieces = pages.select(key, F.posexplode(T.tag_pieces(H.markup(F.col(html)))).alias("pos", "piece"))
+    pieces = explode_rows(pages, [key], T.tag_pieces(H.markup(F.col(html))), "piece")
     name = T.tag_name(F.col("piece"))
     tokens = (
         pieces.withColumn("name", name)
@@ -49,7 +50,7 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return numbered.where("step = 1").select(
         key,
         "tag",
-        F.col("pos").cast("bigint").alias("pre"),
+        F.col("pos").alias("pre"),
         F.coalesce(post, F.lit(2**31 - 1)).cast("bigint").alias("post"),
         "shadows",
     )

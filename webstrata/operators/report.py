@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.text import bind, escape_markup, or_default, strip
+from webstrata.functions.text import bind, escape_markup, explode_rows, or_default, strip
 
 PREVIEW_CHARS, UI_PREVIEW_CHARS = 1000, 300
 MAX_HEADINGS, MAX_TABLES, MAX_COLUMNS, MAX_LINKS = 20, 5, 8, 100
@@ -14,11 +14,13 @@ PAGE_WIDTH, MAX_WIDTH, MIN_WIDTH, CHAR_WIDTH = 504.0, 180.0, 35.0, 5.5
 NO_CONTENT = "No content available"
 
 
-def _label_rows(df: DataFrame, keep: list[str], rows: list[tuple[str, Column]], names: tuple[str, str]) -> DataFrame:
+def _label_rows(df: DataFrame, keep: list[str], rows: list[tuple[str, Column]], names: tuple[str, str], present: Column | None = None) -> DataFrame:
     pairs = F.array(
         *[F.struct(F.lit(label).alias(names[0]), value.alias(names[1])) for label, value in rows]
     )
-    return df.select(*keep, F.inline(pairs))
+    if present is not None:
+        pairs = F.when(present, pairs)
+    return explode_rows(df, keep, pairs, "row").select(*keep, "row.*")
 
 
 def statistics(results: DataFrame, keep: list[str]) -> DataFrame:
@@ -71,7 +73,7 @@ def analysis_rows(analysis: DataFrame, keep: list[str], has: str = "has_analysis
             F.when(F.size("warnings") > 0, F.array_join(lines, "<br/>")).otherwise("None detected."),
         ),
     ]
-    return _label_rows(analysis.where(F.col(has)), keep, rows, ("label", "value"))
+    return _label_rows(analysis, keep, rows, ("label", "value"), F.col(has))
 
 
 def preview(text: Column) -> Column:
@@ -92,9 +94,7 @@ def ui_preview(text: Column) -> Column:
 def headings(results: DataFrame, keep: list[str]) -> DataFrame:
     """The first 20 headings with their position."""
     shown = F.slice(F.filter("headings", lambda h: h != ""), 1, MAX_HEADINGS)
-    return results.select(*keep, F.posexplode(shown).alias("pos", "heading")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    return explode_rows(results, keep, shown, "heading")
 
 
 def _layout(rows: Column) -> Column:
@@ -169,13 +169,12 @@ def column_widths(rows: Column) -> Column:
 
 def report_tables(results: DataFrame, keep: list[str]) -> DataFrame:
     """``table_index, rows, widths`` of the first five tables that have visible cells."""
-    shown = results.select(
-        *keep, F.posexplode(F.slice("tables", 1, MAX_TABLES)).alias("table_index", "table")
-    )
+    shown = explode_rows(results, keep, F.slice("tables", 1, MAX_TABLES), "table", "table_index")
+    visible = F.exists(F.flatten("table"), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
     return (
-        shown.withColumn("table_index", (F.col("table_index") + 1).cast("bigint"))
+        shown.where(visible)
+        .withColumn("table_index", F.col("table_index") + 1)
         .withColumn("rows", _layout(F.col("table")))
-        .where(F.size("rows") > 0)
         .withColumn("widths", column_widths(F.col("rows")))
         .drop("table")
     )
@@ -183,13 +182,13 @@ def report_tables(results: DataFrame, keep: list[str]) -> DataFrame:
 
 def table_lines(laid_out: DataFrame, keep: list[str]) -> DataFrame:
     """One row per report line: position, header flag, spanning flag and cells."""
-    exploded = laid_out.select(*keep, "table_index", F.posexplode("rows").alias("pos", "row"))
+    exploded = explode_rows(laid_out, [*keep, "table_index"], "rows", "row")
     cells = F.col("row.cells")
     spans = (F.get(cells, F.lit(0)) != "") & (F.size(F.filter(cells, lambda c: c != "")) == 1)
     return exploded.select(
         *keep,
         "table_index",
-        (F.col("pos") + 1).cast("bigint").alias("row_index"),
+        (F.col("pos") + 1).alias("row_index"),
         F.col("row.is_header").alias("is_header"),
         spans.alias("spans_row"),
         cells.alias("cells"),
@@ -198,8 +197,8 @@ def table_lines(laid_out: DataFrame, keep: list[str]) -> DataFrame:
 
 def table_widths(laid_out: DataFrame, keep: list[str]) -> DataFrame:
     """One row per report column with its width in points."""
-    return laid_out.select(*keep, "table_index", F.posexplode("widths").alias("pos", "width")).select(
-        *keep, "table_index", (F.col("pos") + 1).cast("bigint").alias("col_index"), "width"
+    return explode_rows(laid_out, [*keep, "table_index"], "widths", "width").select(
+        *keep, "table_index", (F.col("pos") + 1).alias("col_index"), "width"
     )
 
 
@@ -224,20 +223,17 @@ def display_links(results: DataFrame, keep: list[str], links: str = "links") ->
         "hrefs",
         F.array_distinct(F.filter(F.transform("all_links", lambda x: x["href"]), lambda h: h != "")),
     )
-    shown = trimmed.select(
-        *keep,
-        (F.size("hrefs") > MAX_LINKS).alias("has_more"),
-        F.posexplode(
-            F.transform(
-                F.slice("hrefs", 1, MAX_LINKS),
-                lambda h: F.struct(h.alias("href"), first_text(F.col("all_links"), h).alias("text")),
-            )
-        ).alias("pos", "link"),
+    labelled = F.transform(
+        F.slice("hrefs", 1, MAX_LINKS),
+        lambda h: F.struct(h.alias("href"), first_text(F.col("all_links"), h).alias("text")),
+    )
+    shown = explode_rows(
+        trimmed, [*keep, (F.size("hrefs") > MAX_LINKS).alias("has_more")], labelled, "link"
     )
     text, href = F.col("link.text"), F.col("link.href")
     return shown.select(
         *keep,
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         href.alias("href"),
         F.when(text != "", text).otherwise(href).alias("label"),
         "has_more",

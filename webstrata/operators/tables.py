@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.text import strip
+from webstrata.functions.text import explode_rows, strip
 
 
 def table_rows(results: DataFrame, keep: list[str], tables: str = "tables") -> DataFrame:
     """``table_index, row_index, cells``, both 1-based; empty rows keep their number but go."""
-    by_table = results.select(*keep, F.posexplode(tables).alias("table_index", "table"))
-    by_row = by_table.select(*keep, "table_index", F.posexplode("table").alias("row_index", "cells"))
+    by_table = explode_rows(results, keep, tables, "table", "table_index")
+    by_row = explode_rows(by_table, [*keep, "table_index"], "table", "cells", "row_index")
     return by_row.where(F.size("cells") > 0).select(
         *keep,
-        (F.col("table_index") + 1).cast("bigint").alias("table_index"),
-        (F.col("row_index") + 1).cast("bigint").alias("row_index"),
+        (F.col("table_index") + 1).alias("table_index"),
+        (F.col("row_index") + 1).alias("row_index"),
         F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))).alias("cells"),
     )
 
 
 def table_cells(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Long form ``table_index, row_index, col_index, value``: its schema fits any width."""
-    return rows.select(
-        *keep, "table_index", "row_index", F.posexplode("cells").alias("col_index", "value")
-    ).withColumn("col_index", (F.col("col_index") + 1).cast("bigint"))
+    cells = explode_rows(rows, [*keep, "table_index", "row_index"], "cells", "value", "col_index")
+    return cells.withColumn("col_index", F.col("col_index") + 1)
 
 
 def wide_rows(rows: DataFrame, keep: list[str], width: int | None = None) -> DataFrame:
@@ -39,11 +38,11 @@ def wide_rows(rows: DataFrame, keep: list[str], width: int | None = None) -> Dat
 
 def link_rows(results: DataFrame, keep: list[str], links: str = "links") -> DataFrame:
     """``pos, text, href`` of every link with an href; repeats stay."""
-    flat = results.select(*keep, F.posexplode(links).alias("pos", "link"))
+    flat = explode_rows(results, keep, links, "link")
     return (
         flat.select(
             *keep,
-            F.col("pos").cast("bigint").alias("pos"),
+            "pos",
             strip(F.coalesce("link.text", F.lit(""))).alias("text"),
             strip(F.coalesce("link.href", F.lit(""))).alias("href"),
         )
