@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from webstrata.functions.html import _END, _REST, attribute, inner_text
 from webstrata.functions.text import GROUP, RECORD, UNIT, bind, contains_any, word_tokens
@@ -37,15 +39,12 @@ MIN_TABLE_TEXT = 15
 MAX_EMPTY_SHARE = 0.6
 MAX_LINK_SHARE = 0.8
 
-SPANS = (
-    "array<struct<start:int,shadowed:boolean,"
-    "rows:array<array<struct<start:int,stop:int,direct:boolean>>>>>"
-)
-_CELL_TYPE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("direct", pa.bool_())])
-_SPANS_TYPE = pa.list_(
-    pa.struct(
-        [("start", pa.int32()), ("shadowed", pa.bool_()), ("rows", pa.list_(pa.list_(_CELL_TYPE)))]
-    )
+_CELL = T.StructType().add("start", "integer").add("stop", "integer").add("direct", "boolean")
+SPANS = T.ArrayType(
+    T.StructType()
+    .add("start", "integer")
+    .add("shadowed", "boolean")
+    .add("rows", T.ArrayType(T.ArrayType(_CELL)))
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
@@ -123,7 +122,7 @@ def table_spans(codes: list[str]) -> list[dict]:
 @F.arrow_udf(SPANS)
 def _spans(codes: pa.Array) -> pa.Array:
     out = [None if c is None else table_spans(c.split(" ")) for c in codes.to_pylist()]
-    return pa.array(out, type=_SPANS_TYPE)
+    return pa.array(out, type=to_arrow_type(SPANS))
 
 
 # Spark 4.1 fails to lift a deterministic Python function out of an expression when its

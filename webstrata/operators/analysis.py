@@ -167,7 +167,18 @@ def _read_json(row: Column) -> Column:
             *[F.to_json(F.try_variant_get(v, f"$.{k}", "variant")).alias(k) for k in _KEYS],
         )
 
-    return bind(F.try_parse_json(_unfenced(row["answer"])), texts)
+    # The parser stops after the first value. Read as the first of two array elements, an answer
+    # followed by anything else fails to reproduce the second.
+    guard = "\u241e"
+    pair = F.try_parse_json(F.concat(F.lit("["), _unfenced(row["answer"]), F.lit(f',"{guard}"]')))
+
+    def first(p: Column) -> Column:
+        whole = (F.try_variant_get(p, "$[1]", "string") == guard) & F.try_variant_get(
+            p, "$[2]", "variant"
+        ).isNull()
+        return F.when(whole, F.try_variant_get(p, "$[0]", "variant"))
+
+    return bind(bind(pair, first), texts)
 
 
 def _said(value: Column, j: Column) -> Column:

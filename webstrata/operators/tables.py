@@ -27,9 +27,13 @@ def table_cells(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def wide_rows(rows: DataFrame, keep: list[str], width: int | None = None) -> DataFrame:
-    """``col_1 .. col_n`` form. Without ``width`` one aggregate finds the widest row first."""
+    """``col_1 .. col_n`` form. Without ``width`` one aggregate finds the widest row first; a
+    given ``width`` that some row exceeds is an error, so no cell is lost."""
     if width is None:
         width = rows.agg(F.max(F.size("cells")).alias("w")).first()["w"] or 1
+    else:
+        too_wide = F.raise_error(F.lit(f"a row has more than {width} cells"))
+        rows = rows.withColumn("cells", F.when(F.size("cells") > width, too_wide).otherwise(F.col("cells")))
     return rows.select(
         *keep, "table_index", "row_index",
         *[F.get("cells", F.lit(i)).alias(f"col_{i + 1}") for i in range(width)],

@@ -25,7 +25,10 @@ from webstrata.streaming import ingest as I
 from workloads import inputs as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-MK = F.col("markup")
+
+
+def mk():
+    return F.col("markup")
 
 
 def query(fn):
@@ -91,51 +94,51 @@ def failed_captures(spark, sf):
 @query
 def page_title(spark, sf):
     return _marked(D.meta_pages(spark, sf)).select(
-        "page_id", H.title(MK).alias("title"), H.signal_title(MK).alias("signal_title")
+        "page_id", H.title(mk()).alias("title"), H.signal_title(mk()).alias("signal_title")
     )
 
 
 @query
 def headings(spark, sf):
-    items = _marked(D.heading_pages(spark, sf)).select("page_id", H.heading_items(MK).alias("items"))
+    items = _marked(D.heading_pages(spark, sf)).select("page_id", H.heading_items(mk()).alias("items"))
     chosen = H.heading_texts(F.col("items"), F.col("page_id") % 2 == 0)
     return explode_rows(items, ["page_id"], chosen, "heading")
 
 
 @query
 def heading_hierarchy(spark, sf):
-    items = explode_rows(_marked(D.heading_pages(spark, sf)), ["page_id"], H.heading_items(MK), "h")
+    items = explode_rows(_marked(D.heading_pages(spark, sf)), ["page_id"], H.heading_items(mk()), "h")
     return items.select("page_id", "pos", "h.level", "h.text")
 
 
 @query
 def paragraphs(spark, sf):
-    texts = H.long_paragraphs(H.paragraph_texts(MK))
+    texts = H.long_paragraphs(H.paragraph_texts(mk()))
     return explode_rows(_marked(D.pages(spark, sf)), ["page_id"], texts, "text")
 
 
 @query
 def first_paragraphs(spark, sf):
-    texts = H.first_paragraphs(H.paragraph_texts(MK))
+    texts = H.first_paragraphs(H.paragraph_texts(mk()))
     return explode_rows(_marked(D.pages(spark, sf)), ["page_id"], texts, "text")
 
 
 @query
 def links(spark, sf):
-    found = explode_rows(_marked(D.link_pages(spark, sf)), ["page_id"], H.links(MK), "link")
+    found = explode_rows(_marked(D.link_pages(spark, sf)), ["page_id"], H.links(mk()), "link")
     return found.select("page_id", "pos", "link.text", "link.href")
 
 
 @query
 def display_links(spark, sf):
-    found = _marked(D.link_pages(spark, sf)).select("page_id", H.links(MK).alias("links"))
+    found = _marked(D.link_pages(spark, sf)).select("page_id", H.links(mk()).alias("links"))
     return Q.display_links(found, ["page_id"])
 
 
 @query
 def tag_counts(spark, sf):
     names = {"table": "tables", "form": "forms", "a": "links", "img": "images", "script": "scripts"}
-    counts = [H.tag_count(MK, tag).alias(out) for tag, out in names.items()]
+    counts = [H.tag_count(mk(), tag).alias(out) for tag, out in names.items()]
     a = _marked(D.link_pages(spark, sf)).select("page_id", F.lit("links").alias("input"), *counts)
     b = _marked(D.table_pages(spark, sf)).select("page_id", F.lit("tables").alias("input"), *counts)
     return a.union(b)
@@ -143,7 +146,7 @@ def tag_counts(spark, sf):
 
 @query
 def structure_flags(spark, sf):
-    flags = [H.has_element(MK, n).alias(f"has_{n}") for n in P.PRESENCE]
+    flags = [H.has_element(mk(), n).alias(f"has_{n}") for n in P.PRESENCE]
     return _marked(D.article_pages(spark, sf)).select("page_id", *flags)
 
 
@@ -152,20 +155,20 @@ def visible_text(spark, sf):
     return _marked(D.article_pages(spark, sf)).select(
         "page_id",
         F.length("html").cast("bigint").alias("total_html_size"),
-        F.length(H.visible_text(MK)).cast("bigint").alias("visible_text_length"),
+        F.length(H.visible_text(mk())).cast("bigint").alias("visible_text_length"),
     )
 
 
 @query
 def framework_hints(spark, sf):
-    hints = H.framework_hints(MK, F.col("html"))
+    hints = H.framework_hints(mk(), F.col("html"))
     return _marked(D.tech_pages(spark, sf)).select("page_id", F.array_join(hints, ",").alias("hints"))
 
 
 @query
 def meta_signals(spark, sf):
     return _marked(D.meta_pages(spark, sf)).select(
-        "page_id", H.meta_description(MK).alias("description"), H.canonical_url(MK).alias("canonical")
+        "page_id", H.meta_description(mk()).alias("description"), H.canonical_url(mk()).alias("canonical")
     )
 
 
@@ -183,13 +186,13 @@ def page_signals(spark, sf):
 
 @query
 def basic_content(spark, sf):
-    found = _marked(D.pages(spark, sf)).select("page_id", H.basic_content(MK).alias("c"))
+    found = _marked(D.pages(spark, sf)).select("page_id", H.basic_content(mk()).alias("c"))
     return found.select("page_id", "c.title", "c.text")
 
 
 @query
 def main_content(spark, sf):
-    found = _marked(D.article_pages(spark, sf)).select("page_id", H.main_content(MK).alias("c"))
+    found = _marked(D.article_pages(spark, sf)).select("page_id", H.main_content(mk()).alias("c"))
     return found.select("page_id", "c.title", "c.text")
 
 
@@ -238,7 +241,7 @@ def shadowed_tables(spark, sf):
 @query
 def table_rows(spark, sf):
     rows = T.table_rows(_order_tables(spark, sf), ["page_id"])
-    return T.wide_rows(rows, ["page_id"], 4)
+    return rows.withColumn("cells", F.array_join("cells", "|"))
 
 
 @query
