@@ -11,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webstrata.functions.text import (
-    GROUP,
     RECORD,
     SEPARATORS,
     UNIT,
@@ -20,8 +19,8 @@ from webstrata.functions.text import (
     contains_any,
     decode_early,
     decode_late,
-    or_default,
-    ordered_distinct,
+    non_empty,
+    split_at,
     strip,
 )
 
@@ -29,18 +28,23 @@ _REST = r"""(?:[^"'>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+"""
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
 _ATTR = rf"[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+"
 _END = r"(?=[\s/>])"
-_ANY_TAG = rf"<[a-zA-Z/!?]{_REST}>|<!\z"
+# Every pattern starts with one literal character, so a scan rejects other positions at once.
+_ANY_TAG = rf"<(?:[a-zA-Z/!?]{_REST}>|!\z)"
 _RAW_TEXT = (
-    rf"(?is)(<!)--.*?(?:--(>)|\z)|(<(script|style){_END}{_REST}>).*?(?=</\4[\s/>]|\z)"
+    rf"(?is)<(?:(!)--.*?(?:--(>)|\z)|((script|style){_END}{_REST}>).*?(?=</\4[\s/>]|\z))"
 )
 _BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main "
     "menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
+_BLOCK_TAG = rf"(?is)</?(?:{'|'.join(_BLOCKS)}){_END}{_REST}>"
+_ANCHOR = rf"(?is)<a{_END}{_REST}>.*?(?=</?a[\s/>]|\z)"
 _HIDDEN = ["noscript", "header", "footer", "nav", "svg", "template", "iframe"]
 _BOILERPLATE = ["nav", "header", "footer", "aside", "form", "noscript", "svg", "template", "iframe"]
 
+COUNTED = ["table", "form", "a", "img", "script"]
+FLAGGED = ["article", "main", "nav", "aside", "footer"]
 MIN_PARAGRAPH = 50
 MIN_CONTENT = 200
 
@@ -57,8 +61,8 @@ def markup(html: Column) -> Column:
     ``</p>`` inside a script is harmless), non-syntax entities are resolved and separator
     characters become spaces.
     """
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _RAW_TEXT, "$1$2$3")
-    return F.translate(decode_early(bare), SEPARATORS, " " * len(SEPARATORS))
+    plain = F.regexp_replace(F.coalesce(html, F.lit("")), SEPARATORS, " ")
+    return decode_early(F.regexp_replace(plain, _RAW_TEXT, "<$1$2$3"))
 
 
 def inner_text(fragment: Column) -> Column:
@@ -93,28 +97,36 @@ def drop_subtrees(mk: Column, names: list[str]) -> Column:
     A fold over the pieces between such tags keeps the name and depth of the element being
     dropped; an element that never closes runs to the end of the page.
     """
-    pieces = F.split(mk, rf"(?i)(?=</?(?:{'|'.join(names)})[\s/>])")
+    pieces = split_at(mk, rf"(?i)<(/?)({'|'.join(names)})(?=[\s/>])", after="<$1$2")
     start = F.struct(
         F.lit("").alias("name"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept")
     )
 
     def step(acc: Column, piece: Column) -> Column:
-        name = F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z0-9]+)", 1))
-        closes = piece.startswith("</")
-        opens = name.isin(names) & ~closes & ~piece.rlike(rf"^<{_REST}(?<=/)>")
-        inside = F.when(
-            name == acc["name"],
-            acc["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0),
-        ).otherwise(acc["depth"])
-        depth = F.when(acc["depth"] > 0, inside).otherwise(F.when(opens, 1).otherwise(0))
-        return F.struct(
-            F.when(acc["depth"] > 0, acc["name"]).otherwise(name).alias("name"),
-            depth.alias("depth"),
-            F.when(depth == 0, F.array_append(acc["kept"], piece)).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    folded = F.aggregate(pieces, start, step, lambda acc: F.array_join(acc["kept"], ""))
-    return F.when(F.size(pieces) > 1, folded).otherwise(mk)
+        def named(name: Column) -> Column:
+            closes = piece.startswith("</")
+            opens = name.isin(names) & ~closes & ~piece.rlike(rf"^<{_REST}(?<=/)>")
+            inside = F.when(
+                name == acc["name"],
+                acc["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0),
+            ).otherwise(acc["depth"])
+            depth = F.when(acc["depth"] > 0, inside).otherwise(F.when(opens, 1).otherwise(0))
+            return bind(
+                depth,
+                lambda d: F.struct(
+                    F.when(acc["depth"] > 0, acc["name"]).otherwise(name).alias("name"),
+                    d.alias("depth"),
+                    F.when(d == 0, F.array_append(acc["kept"], piece)).otherwise(acc["kept"]).alias("kept"),
+                ),
+            )
+
+        return bind(F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z0-9]+)", 1)), named)
+
+    def fold(cut: Column) -> Column:
+        joined = F.aggregate(cut, start, step, lambda acc: F.array_join(acc["kept"], ""))
+        return F.when(F.size(cut) > 1, joined).otherwise(cut[0])
+
+    return bind(pieces, fold)
 
 
 def _first_element(mk: Column, name: str) -> Column:
@@ -125,6 +137,20 @@ def has_element(mk: Column, name: str) -> Column:
     return mk.rlike(rf"(?i)<{name}[\s/>]")
 
 
+def tag_marks(mk: Column) -> Column:
+    """Names of the counted and flagged elements, in document order, from one pass."""
+    found = F.regexp_extract_all(mk, F.lit(rf"(?i)<({'|'.join(COUNTED + FLAGGED)})[\s/>]"), F.lit(1))
+    return F.transform(found, lambda t: F.lower(t))
+
+
+def mark_count(marks: Column, name: str) -> Column:
+    return F.size(F.filter(marks, lambda t: t == name)).cast("bigint")
+
+
+def has_mark(marks: Column, name: str) -> Column:
+    return F.array_contains(marks, name)
+
+
 def title(mk: Column) -> Column:
     """Cleaned ``<title>`` text, ``''`` when missing."""
     return inner_text(_first_element(mk, "title"))
@@ -148,18 +174,19 @@ def heading_texts(items: Column, all_levels: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda h: h["text"]))
 
 
-def _paragraph_pieces(mk: Column) -> Column:
-    pattern = rf"(?is)<(p){_END}{_REST}>|</?(?:{'|'.join(_BLOCKS)}){_END}{_REST}>"
-    marked = F.regexp_replace(mk, pattern, f"{GROUP}$1{RECORD}")
+def paragraph_pieces(mk: Column) -> Column:
+    """Inner markup of every ``<p>``; a new ``<p>`` or block tag ends an open one."""
+    pattern = rf"(?is)<(?:(p){_END}{_REST}>|/?(?:{'|'.join(_BLOCKS)}){_END}{_REST}>)"
     pieces = F.filter(
-        F.split(marked, GROUP), lambda x: F.substring(x, 1, 2).isin("p" + RECORD, "P" + RECORD)
+        split_at(mk, pattern, after=f"$1{RECORD}"),
+        lambda x: F.substring(x, 1, 2).isin("p" + RECORD, "P" + RECORD),
     )
     return F.transform(pieces, lambda x: F.substring(x, F.lit(3), F.length(x)))
 
 
-def paragraph_texts(mk: Column) -> Column:
-    """Cleaned text of every ``<p>``; a new ``<p>`` or block tag ends an open one."""
-    return F.transform(_paragraph_pieces(mk), inner_text)
+def paragraph_texts(pieces: Column) -> Column:
+    """Cleaned text of every paragraph piece."""
+    return F.transform(pieces, inner_text)
 
 
 def long_paragraphs(texts: Column) -> Column:
@@ -177,9 +204,7 @@ def links(mk: Column) -> Column:
 
     The pair is packed into one string for the de-duplication, which keeps it hash based.
     """
-    anchors = F.regexp_extract_all(
-        mk, F.lit(rf"(?is)<a{_END}{_REST}>.*?(?=</?a[\s/>]|\z)"), F.lit(0)
-    )
+    anchors = F.regexp_extract_all(mk, F.lit(_ANCHOR), F.lit(0))
     packed = F.transform(
         anchors, lambda x: F.concat(inner_text(x), F.lit(UNIT), collapse(attribute(x, "href")))
     )
@@ -192,45 +217,51 @@ def links(mk: Column) -> Column:
     )
 
 
-def tag_count(mk: Column, name: str) -> Column:
-    return F.regexp_count(mk, F.lit(rf"(?i)<{name}[\s/>]")).cast("bigint")
-
-
 def visible_text(mk: Column) -> Column:
     """Text outside navigation, header, footer and non-rendered elements (title included)."""
     return inner_text(drop_subtrees(mk, _HIDDEN))
 
 
-def _meta(metas: Column, key: str, value: str) -> Column:
-    hit = F.filter(metas, lambda m: F.lower(attribute(m, key)) == value)
-    return F.get(F.transform(hit, lambda m: F.coalesce(attribute(m, "content"), F.lit(""))), F.lit(0))
+def head_tags(mk: Column) -> Column:
+    """All meta, link and script tags, read in one pass for the functions below."""
+    return tags(mk, "meta|link|script")
+
 
+def _named(head: Column, name: str) -> Column:
+    return F.filter(head, lambda t: F.lower(F.substring(t, 2, len(name))) == name)
 
-def open_graph(mk: Column, name: str) -> Column:
+
+def _meta(head: Column, key: str, value: str) -> Column:
+    hit = F.filter(_named(head, "meta"), lambda m: F.lower(attribute(m, key)) == value)
+    return bind(F.get(hit, F.lit(0)), lambda m: F.when(m.isNotNull(), F.coalesce(attribute(m, "content"), F.lit(""))))
+
+
+def open_graph(head: Column, name: str) -> Column:
     """Content of the first ``og:<name>`` meta tag, NULL when absent."""
-    return _meta(tags(mk, "meta"), "property", f"og:{name}")
+    return _meta(head, "property", f"og:{name}")
 
 
-def signal_title(mk: Column) -> Column:
-    og = collapse(open_graph(mk, "title"))
-    return F.coalesce(F.nullif(title(mk), F.lit("")), og, F.lit(""))
+def signal_title(title_text: Column, head: Column) -> Column:
+    return F.coalesce(
+        F.when(title_text != "", title_text), collapse(open_graph(head, "title")), F.lit("")
+    )
 
 
-def meta_description(mk: Column) -> Column:
-    own = collapse(_meta(tags(mk, "meta"), "name", "description"))
+def meta_description(head: Column) -> Column:
     return F.coalesce(
-        F.nullif(own, F.lit("")), collapse(open_graph(mk, "description")), F.lit("")
+        non_empty(collapse(_meta(head, "name", "description"))),
+        collapse(open_graph(head, "description")),
+        F.lit(""),
     )
 
 
-def canonical_url(mk: Column) -> Column:
+def canonical_url(head: Column) -> Column:
     hit = F.filter(
-        tags(mk, "link"),
-        lambda t: F.array_contains(F.split(attribute(t, "rel"), r"\s+"), "canonical"),
+        _named(head, "link"),
+        lambda t: F.concat(F.lit(" "), collapse(attribute(t, "rel")), F.lit(" ")).contains(" canonical "),
     )
-    href = F.get(F.transform(hit, lambda t: F.coalesce(attribute(t, "href"), F.lit(""))), F.lit(0))
     return F.coalesce(
-        F.when(href != "", strip(href)), strip(open_graph(mk, "url")), F.lit("")
+        strip(non_empty(attribute(F.get(hit, F.lit(0)), "href"))), strip(open_graph(head, "url")), F.lit("")
     )
 
 
@@ -256,13 +287,12 @@ _LINK_MARKS = [
     (["tailwind"], ["Tailwind CSS"]),
     (["wp-content", "wp-includes"], ["WordPress"]),
 ]
-_ATTRIBUTE_MARK = (
-    r"(?i)__NEXT_DATA__|__NUXT__|___gatsby"
-    r"|[\s/\"'](?:data-react(?:root|id)|data-v-|v-(?:bind|model|if|for)|ng-|data-ng-)"
-)
+# Without one of these no attribute mark can be present.
+_ID_MARKS = ["__NEXT_DATA__", "__NUXT__", "___gatsby"]
+_NAME_TRACE = r"(?i)[\s/\"'](?:v-(?:bind|model|if|for)|ng-|data-(?:v-|ng-|react))"
 
 
-def framework_hints(mk: Column, html: Column) -> Column:
+def framework_hints(mk: Column, head: Column, html: Column) -> Column:
     """Sorted distinct technology names found in attributes, sources and raw text."""
 
     def names(condition: Column, values: list[str]) -> Column:
@@ -270,7 +300,7 @@ def framework_hints(mk: Column, html: Column) -> Column:
 
     def sources(name: str, key: str) -> Column:
         return F.transform(
-            F.filter(tags(mk, name), lambda t: has_attribute(t, key)),
+            F.filter(_named(head, name), lambda t: has_attribute(t, key)),
             lambda t: F.lower(attribute(t, key)),
         )
 
@@ -303,7 +333,7 @@ def framework_hints(mk: Column, html: Column) -> Column:
             *[names(seen(srcs, words), values) for words, values in _SCRIPT_MARKS],
         )
 
-    generator = F.lower(_meta(tags(mk, "meta"), "name", "generator"))
+    generator = F.lower(_meta(head, "name", "generator"))
     none = F.array().cast("array<array<string>>")
     groups = F.concat(
         bind(
@@ -311,7 +341,8 @@ def framework_hints(mk: Column, html: Column) -> Column:
             lambda g: F.array(*[names(contains_any(g, words), values) for words, values in _GENERATOR_MARKS]),
         ),
         F.when(
-            mk.rlike(_ATTRIBUTE_MARK), bind(tags(mk, r"[a-z][a-z0-9:-]*"), from_attributes)
+            contains_any(mk, _ID_MARKS) | mk.rlike(_NAME_TRACE),
+            bind(tags(mk, r"[a-z][a-z0-9:-]*"), from_attributes),
         ).otherwise(none),
         bind(sources("script", "src"), from_scripts),
         bind(
@@ -319,25 +350,26 @@ def framework_hints(mk: Column, html: Column) -> Column:
             lambda hrefs: F.array(*[names(seen(hrefs, words), values) for words, values in _LINK_MARKS]),
         ),
         F.array(
-            names(contains_any(F.lower(html), ["tailwindcss", 'class="tw-']), ["Tailwind CSS"]),
+            names(
+                bind(F.lower(html), lambda h: contains_any(h, ["tailwindcss", 'class="tw-'])), ["Tailwind CSS"]
+            ),
             names(F.contains(html, F.lit("Shopify.theme")), ["Shopify"]),
         ),
     )
     return F.sort_array(F.array_distinct(F.flatten(F.array_compact(groups))))
 
 
-def basic_content(mk: Column) -> Column:
+def basic_content(mk: Column, pieces: Column) -> Column:
     """``struct<title,text>`` from long paragraphs, NULL below 200 characters.
 
     Text nodes are stripped one by one and joined without a separator.
     """
     def squeeze(piece: Column) -> Column:
-        nodes = F.split(piece, _ANY_TAG)
-        return F.array_join(F.transform(nodes, lambda n: strip(decode_late(n))), "")
+        return F.array_join(
+            F.transform(split_at(piece, _ANY_TAG), lambda n: strip(decode_late(n))), ""
+        )
 
-    blocks = F.filter(
-        F.transform(_paragraph_pieces(mk), squeeze), lambda x: F.length(x) > MIN_PARAGRAPH
-    )
+    blocks = F.filter(F.transform(pieces, squeeze), lambda x: F.length(x) > MIN_PARAGRAPH)
     own = strip(decode_late(F.regexp_replace(_first_element(mk, "title"), _ANY_TAG, "")))
     name = F.when(has_element(mk, "title"), own).otherwise(F.lit("Untitled"))
     return bind(
@@ -348,7 +380,7 @@ def basic_content(mk: Column) -> Column:
     )
 
 
-def main_content(mk: Column) -> Column:
+def main_content(mk: Column, title_text: Column, head: Column) -> Column:
     """``struct<title,text>`` of the page without boilerplate, NULL below 200 characters.
 
     The container runs from the first article or main element to the last end tag of that
@@ -358,31 +390,29 @@ def main_content(mk: Column) -> Column:
     container = F.regexp_extract(
         mk, rf"(?is)<(article|main){_END}{_REST}>(.*)</\1[\s/>]", 2
     )
-    body = F.when(container != "", container).otherwise(
-        F.regexp_replace(mk, rf"(?is)<title{_END}{_REST}>.*?(?:</title[\s/>]|\z)", "")
-    )
-    blocks = F.split(
-        drop_subtrees(body, _BOILERPLATE), rf"(?is)</?(?:{'|'.join(_BLOCKS)}){_END}{_REST}>"
-    )
+    untitled = F.regexp_replace(mk, rf"(?is)<title{_END}{_REST}>.*?(?:</title[\s/>]|\z)", "")
+    body = bind(container, lambda c: F.when(c != "", c).otherwise(untitled))
 
     def block_text(block: Column) -> Column:
-        anchors = F.regexp_extract_all(
-            block, F.lit(rf"(?is)<a{_END}{_REST}>.*?(?=</?a[\s/>]|\z)"), F.lit(0)
-        )
         linked = F.aggregate(
-            anchors, F.lit(0), lambda n, a: n + F.length(inner_text(a))
+            F.regexp_extract_all(block, F.lit(_ANCHOR), F.lit(0)),
+            F.lit(0),
+            lambda n, a: n + F.length(inner_text(a)),
         )
         return bind(
             inner_text(block),
             lambda text: F.when(
-                ~F.contains(block, F.lit("<a")) | (linked <= 0.8 * F.length(text)), text
+                ~contains_any(block, ["<a", "<A"]) | (linked <= 0.8 * F.length(text)), text
             ).otherwise(F.lit("")),
         )
 
-    kept = F.filter(F.transform(blocks, block_text), lambda x: x != "")
-    text = collapse(F.regexp_replace(F.array_join(kept, " "), r"\[\d+\]", ""))
-    name = or_default(
-        F.coalesce(F.nullif(collapse(open_graph(mk, "title")), F.lit("")), title(mk)), "Untitled"
+    blocks = F.transform(split_at(drop_subtrees(body, _BOILERPLATE), _BLOCK_TAG), block_text)
+    joined = F.array_join(F.filter(blocks, lambda x: x != ""), " ")
+    text = F.trim(F.regexp_replace(F.regexp_replace(joined, r"\[\d+\]", ""), " {2,}", " "))
+    name = F.coalesce(
+        non_empty(collapse(open_graph(head, "title"))),
+        F.when(title_text != "", title_text),
+        F.lit("Untitled"),
     )
     return bind(
         text,

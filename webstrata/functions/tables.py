@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webstrata.functions.html import _END, _REST, attribute, inner_text
-from webstrata.functions.text import GROUP, RECORD, UNIT, bind, contains_any, word_tokens
+from webstrata.functions.html import _ANCHOR, _REST, attribute, inner_text
+from webstrata.functions.text import RECORD, UNIT, bind, contains_any, split_at, word_tokens
 
 # Executors get the helper by value, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -152,7 +152,7 @@ def shadows(tag: Column, name: Column) -> Column:
 
 def tag_pieces(mk: Column) -> Column:
     """The page cut before every tag: each piece but the first starts with one tag."""
-    return F.split(F.regexp_replace(mk, rf"(</?[a-zA-Z]{_REST}>)", GROUP + "$1"), GROUP)
+    return split_at(mk, rf"<(/?[a-zA-Z]{_REST}>)", after="<$1")
 
 
 def tag_name(piece: Column) -> Column:
@@ -184,9 +184,7 @@ def _cells(pieces: Column, row: Column) -> Column:
         fragment = F.array_join(F.slice(pieces, c["start"] + 1, c["stop"] - c["start"]), "")
 
         def measure(html: Column) -> Column:
-            anchors = F.regexp_extract_all(
-                html, F.lit(rf"(?is)<a{_END}{_REST}>.*?(?=</?a[\s/>]|\z)"), F.lit(0)
-            )
+            anchors = F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))
             linked = F.aggregate(
                 F.filter(anchors, lambda a: attribute(a, "href").isNotNull()),
                 F.lit(0),

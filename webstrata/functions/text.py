@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 
 # Separators used inside packed strings. They are white space to ``collapse``, so cleaned
 # text never contains them and markup input is freed of them by ``functions.html.markup``.
-GROUP, RECORD, UNIT = "\x1d", "\x1e", "\x1f"
-SEPARATORS = "\x1c" + GROUP + RECORD + UNIT
-
-# Unicode white space. Java's ``\s`` covers ASCII only.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+CUT, GROUP, RECORD, UNIT = "\x1c", "\x1d", "\x1e", "\x1f"
+SEPARATORS = "[\x1c-\x1f]"
+
+# Unicode white space; Java's ``\\s`` covers ASCII only. Latin-1 members are listed one by one
+# and the rest sits behind one range test, which keeps the class cheap for ordinary letters.
+_WS_LATIN = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+_WS_WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+WS = f"[{_WS_LATIN}{_WS_WIDE}]"
+_NOT_ONE_SPACE = f"{WS}(?:{WS}+|(?<! ))"
+_WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
 
 # Entities that stay escaped until markup has been split into pieces.
 _LATE = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -32,17 +39,32 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    return F.trim(F.regexp_replace(c, _NOT_ONE_SPACE, " "))
 
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends, leaving the inside alone."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(_WS_CHARS))
+
+
+def split_at(c: Column, pattern: str, before: str = "", after: str = "") -> Column:
+    """Split at a pattern, by way of a separator: a regex inside ``split`` is compiled per row.
+
+    ``before`` and ``after`` stay as parts of the pieces next to the cut (``$n`` for groups).
+    """
+    return F.split(F.regexp_replace(c, pattern, before + CUT + after), CUT)
 
 
 def or_default(c: Column, default: str) -> Column:
     """``default`` where the text is NULL or empty."""
-    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(default)).otherwise(c)
+    return bind(
+        F.coalesce(c, F.lit("")), lambda x: F.when(x == "", F.lit(default)).otherwise(x)
+    )
+
+
+def non_empty(c: Column) -> Column:
+    """NULL where the text is empty."""
+    return bind(c, lambda x: F.when(x != "", x))
 
 
 def explode_rows(df: DataFrame, keep: list, items: Column | str, name: str, pos: str = "pos") -> DataFrame:
@@ -93,12 +115,13 @@ def decode_early(c: Column) -> Column:
     One left-to-right pass, so ``&amp;nbsp;`` stays the text ``&nbsp;``. Documents without
     rare entities never enter the general branch.
     """
-    frequent = c
-    for name in _FREQUENT:
-        frequent = F.replace(frequent, F.lit(f"&{name};"), F.lit(html5[name + ";"]))
+    def frequent(doc: Column) -> Column:
+        for name in _FREQUENT:
+            doc = F.replace(doc, F.lit(f"&{name};"), F.lit(html5[name + ";"]))
+        return doc
 
     def general(doc: Column) -> Column:
-        pieces = F.split(doc, _ENTITY)
+        pieces = split_at(doc, _ENTITY)
         found = F.regexp_extract_all(doc, F.lit(_ENTITY), F.lit(0))
         return F.array_join(
             F.zip_with(
@@ -110,7 +133,9 @@ def decode_early(c: Column) -> Column:
     def choose(doc: Column) -> Column:
         return F.when(doc.rlike(_RARE), general(doc)).otherwise(doc)
 
-    return F.when(F.contains(c, F.lit("&")), bind(frequent, choose)).otherwise(c)
+    return bind(
+        c, lambda doc: F.when(F.contains(doc, F.lit("&")), bind(frequent(doc), choose)).otherwise(doc)
+    )
 
 
 def decode_late(c: Column) -> Column:
@@ -140,4 +165,4 @@ def contains_any(c: Column, words: list[str]) -> Column:
 
 def word_tokens(c: Column) -> Column:
     """Lower-case alphanumeric tokens."""
-    return F.split(F.lower(c), "[^a-z0-9]+")
+    return split_at(F.lower(c), "[^a-z0-9]+")

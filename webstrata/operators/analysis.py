@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.memo import per_context
 from webstrata.functions.text import bind, contains_any, or_default, strip
 
 PROMPT_CHARS = 8000
@@ -143,15 +144,20 @@ def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame
     The steps are chained with ``bind``, so each intermediate is evaluated once per answer and
     the optimizer cannot multiply them into one another.
     """
-    read = bind(F.struct(F.col(content).alias("answer")), _read_json)
-    for step in (_read_fields, _add_framework_warning, _add_confidence_warnings, _score, _conclude):
-        read = bind(read, step)
     rest = [c for c in responses.columns if c != content]
-    return responses.select(*rest, read.alias("analysis")).select(
+    return responses.select(*rest, _analysis(content).alias("analysis")).select(
         *rest, *[F.col(f"analysis.{name}") for name in ["has_analysis", *ANALYSIS_FIELDS]]
     )
 
 
+@per_context
+def _analysis(content: str) -> Column:
+    read = bind(F.struct(F.col(content).alias("answer")), _read_json)
+    for step in (_read_fields, _add_framework_warning, _add_confidence_warnings, _score, _conclude):
+        read = bind(read, step)
+    return read
+
+
 def _with(row: Column, **fields: Column) -> Column:
     for name, value in fields.items():
         row = row.withField(name, value)

@@ -7,13 +7,54 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
 from webstrata.functions import tables as T
+from webstrata.functions.memo import per_context
 
-PRESENCE = ["article", "main", "nav", "aside", "footer"]
+
+@per_context
+def _markup(html: str) -> Column:
+    return H.markup(F.col(html))
+
+
+@per_context
+def _shared() -> list[Column]:
+    mk = F.col("markup")
+    return [
+        H.head_tags(mk).alias("head"),
+        H.tag_marks(mk).alias("marks"),
+        H.paragraph_pieces(mk).alias("p_pieces"),
+        H.title(mk).alias("title_text"),
+        T.table_pieces(mk).alias("pieces"),
+    ]
+
+
+@per_context
+def _spans() -> Column:
+    return T.spans(F.col("pieces"))
 
 
 def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``markup``, the normalised form every extractor reads."""
-    return pages.withColumn("markup", H.markup(F.col(html)))
+    """Add the columns every extractor reads: ``markup``, ``head`` tags, ``marks``, ``p_pieces``,
+    ``title_text`` and table ``pieces``. Those that nothing reads are pruned."""
+    return pages.withColumn("markup", _markup(html)).select("*", *_shared())
+
+
+@per_context
+def _extracted() -> list[Column]:
+    mk = F.col("markup")
+    return [
+        F.col("title_text").alias("parsed_title"),
+        H.heading_items(mk).alias("heading_items"),
+        H.paragraph_texts(F.col("p_pieces")).alias("paragraph_texts"),
+        H.links(mk).alias("links"),
+        T.tables(F.col("pieces"), F.col("spans")).alias("judged_tables"),
+        F.coalesce(main_column(), basic_column()).alias("content"),
+    ]
+
+
+@per_context
+def _paragraph_columns() -> tuple[Column, Column]:
+    texts = F.col("paragraph_texts")
+    return H.long_paragraphs(texts).alias("paragraphs"), H.first_paragraphs(texts).alias("first_paragraphs")
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
@@ -21,63 +62,54 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
 
     The result is compact and still open to both strategy choices (heading levels and the
     data-table verdicts are kept), so joins after this point move structured rows, never HTML.
+    Basic content is read only where there is no main text.
     """
-    base = with_markup(pages, html).withColumn("pieces", T.table_pieces(F.col("markup")))
-    base = base.withColumn("spans", T.spans(F.col("pieces")))
-    mk = F.col("markup")
-    return (
-        base.select(
-            *keep,
-            H.title(mk).alias("parsed_title"),
-            H.heading_items(mk).alias("heading_items"),
-            H.paragraph_texts(mk).alias("paragraph_texts"),
-            H.links(mk).alias("links"),
-            T.tables(F.col("pieces"), F.col("spans")).alias("judged_tables"),
-            H.main_content(mk).alias("main"),
-            H.basic_content(mk).alias("basic"),
-            *signal_columns(mk, F.col(html)),
-        )
-        .withColumn("paragraphs", H.long_paragraphs(F.col("paragraph_texts")))
-        .withColumn("first_paragraphs", H.first_paragraphs(F.col("paragraph_texts")))
-        .withColumn("content", F.coalesce("main", "basic"))
-        .drop("paragraph_texts", "main", "basic")
-    )
+    base = with_markup(pages, html).withColumn("spans", _spans())
+    wide = base.select(*keep, *_extracted(), *signal_columns(html))
+    return wide.select("*", *_paragraph_columns()).drop("paragraph_texts")
 
 
-def signal_columns(mk: Column, html: Column) -> list[Column]:
-    """Scalar structural signals of a page."""
+@per_context
+def main_column() -> Column:
+    return H.main_content(F.col("markup"), F.col("title_text"), F.col("head"))
+
+
+@per_context
+def basic_column() -> Column:
+    return H.basic_content(F.col("markup"), F.col("p_pieces"))
+
+
+@per_context
+def signal_columns(html: str = "html") -> list[Column]:
+    """Scalar structural signals of a page, over :func:`with_markup`."""
+    mk, head, marks, raw = F.col("markup"), F.col("head"), F.col("marks"), F.col(html)
+    counted = {"table": "tables", "form": "forms", "a": "links", "img": "images", "script": "scripts"}
     return [
-        H.signal_title(mk).alias("page_title"),
-        H.meta_description(mk).alias("meta_description"),
-        H.canonical_url(mk).alias("canonical_url"),
-        H.tag_count(mk, "table").alias("number_of_tables"),
-        H.tag_count(mk, "form").alias("number_of_forms"),
-        H.tag_count(mk, "a").alias("number_of_links"),
-        H.tag_count(mk, "img").alias("number_of_images"),
-        H.tag_count(mk, "script").alias("number_of_scripts"),
-        *[H.has_element(mk, name).alias(f"has_{name}") for name in PRESENCE],
-        H.framework_hints(mk, html).alias("framework_hints"),
-        F.coalesce(F.length(html), F.lit(0)).cast("bigint").alias("total_html_size"),
+        H.signal_title(F.col("title_text"), head).alias("page_title"),
+        H.meta_description(head).alias("meta_description"),
+        H.canonical_url(head).alias("canonical_url"),
+        *[H.mark_count(marks, tag).alias(f"number_of_{name}") for tag, name in counted.items()],
+        *[H.has_mark(marks, name).alias(f"has_{name}") for name in H.FLAGGED],
+        H.framework_hints(mk, head, raw).alias("framework_hints"),
+        F.coalesce(F.length(raw), F.lit(0)).cast("bigint").alias("total_html_size"),
         F.length(H.visible_text(mk)).cast("bigint").alias("visible_text_length"),
     ]
 
 
 def signals(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """All structural signals of each page in one row."""
-    mk = F.col("markup")
     return with_markup(pages, html).select(
         *keep,
-        *signal_columns(mk, F.col(html)),
-        H.heading_items(mk).alias("heading_hierarchy"),
-        H.first_paragraphs(H.paragraph_texts(mk)).alias("first_3_paragraphs"),
+        *signal_columns(html),
+        H.heading_items(F.col("markup")).alias("heading_hierarchy"),
+        H.first_paragraphs(H.paragraph_texts(F.col("p_pieces"))).alias("first_3_paragraphs"),
     )
 
 
 def content(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """Main text, else the long paragraphs, else NULL."""
-    mk = F.col("markup")
+    """``main``, ``basic`` and ``content``: main text, else the long paragraphs, else NULL."""
     both = with_markup(pages, html).select(
-        *keep, H.main_content(mk).alias("main"), H.basic_content(mk).alias("basic")
+        *keep, main_column().alias("main"), basic_column().alias("basic")
     )
     return both.select(*keep, "main", "basic", F.coalesce("main", "basic").alias("content"))
 

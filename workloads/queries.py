@@ -94,7 +94,7 @@ def failed_captures(spark, sf):
 @query
 def page_title(spark, sf):
     return _marked(D.meta_pages(spark, sf)).select(
-        "page_id", H.title(mk()).alias("title"), H.signal_title(mk()).alias("signal_title")
+        "page_id", F.col("title_text").alias("title"), H.signal_title(F.col("title_text"), F.col("head")).alias("signal_title")
     )
 
 
@@ -113,13 +113,13 @@ def heading_hierarchy(spark, sf):
 
 @query
 def paragraphs(spark, sf):
-    texts = H.long_paragraphs(H.paragraph_texts(mk()))
+    texts = H.long_paragraphs(H.paragraph_texts(F.col("p_pieces")))
     return explode_rows(_marked(D.pages(spark, sf)), ["page_id"], texts, "text")
 
 
 @query
 def first_paragraphs(spark, sf):
-    texts = H.first_paragraphs(H.paragraph_texts(mk()))
+    texts = H.first_paragraphs(H.paragraph_texts(F.col("p_pieces")))
     return explode_rows(_marked(D.pages(spark, sf)), ["page_id"], texts, "text")
 
 
@@ -138,7 +138,7 @@ def display_links(spark, sf):
 @query
 def tag_counts(spark, sf):
     names = {"table": "tables", "form": "forms", "a": "links", "img": "images", "script": "scripts"}
-    counts = [H.tag_count(mk(), tag).alias(out) for tag, out in names.items()]
+    counts = [H.mark_count(F.col("marks"), tag).alias(out) for tag, out in names.items()]
     a = _marked(D.link_pages(spark, sf)).select("page_id", F.lit("links").alias("input"), *counts)
     b = _marked(D.table_pages(spark, sf)).select("page_id", F.lit("tables").alias("input"), *counts)
     return a.union(b)
@@ -146,7 +146,7 @@ def tag_counts(spark, sf):
 
 @query
 def structure_flags(spark, sf):
-    flags = [H.has_element(mk(), n).alias(f"has_{n}") for n in P.PRESENCE]
+    flags = [H.has_mark(F.col("marks"), n).alias(f"has_{n}") for n in H.FLAGGED]
     return _marked(D.article_pages(spark, sf)).select("page_id", *flags)
 
 
@@ -161,14 +161,14 @@ def visible_text(spark, sf):
 
 @query
 def framework_hints(spark, sf):
-    hints = H.framework_hints(mk(), F.col("html"))
+    hints = H.framework_hints(mk(), F.col("head"), F.col("html"))
     return _marked(D.tech_pages(spark, sf)).select("page_id", F.array_join(hints, ",").alias("hints"))
 
 
 @query
 def meta_signals(spark, sf):
     return _marked(D.meta_pages(spark, sf)).select(
-        "page_id", H.meta_description(mk()).alias("description"), H.canonical_url(mk()).alias("canonical")
+        "page_id", H.meta_description(F.col("head")).alias("description"), H.canonical_url(F.col("head")).alias("canonical")
     )
 
 
@@ -186,13 +186,13 @@ def page_signals(spark, sf):
 
 @query
 def basic_content(spark, sf):
-    found = _marked(D.pages(spark, sf)).select("page_id", H.basic_content(mk()).alias("c"))
+    found = _marked(D.pages(spark, sf)).select("page_id", P.basic_column().alias("c"))
     return found.select("page_id", "c.title", "c.text")
 
 
 @query
 def main_content(spark, sf):
-    found = _marked(D.article_pages(spark, sf)).select("page_id", H.main_content(mk()).alias("c"))
+    found = _marked(D.article_pages(spark, sf)).select("page_id", P.main_column().alias("c"))
     return found.select("page_id", "c.title", "c.text")
 
 
