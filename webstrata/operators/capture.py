@@ -122,11 +122,11 @@ def classify(captures: DataFrame) -> DataFrame:
             F.when(static, TEXTS["static_empty"]).otherwise(TEXTS["rendered_empty"]),
         )
     )
-    known = F.broadcast(
-        error_catalog(captures.sparkSession).select(F.col("error_class").alias("outcome"), "api_status")
-    )
-    return captures.withColumn("outcome", outcome).withColumn("message", message).join(
-        known, "outcome", "left"
+    status_shown = F.lit(None).cast("int")
+    for error_class, api_status, _ in ERROR_CATALOG:
+        status_shown = F.when(o == error_class, F.lit(api_status)).otherwise(status_shown)
+    return captures.withColumn("outcome", outcome).withColumns(
+        {"message": message, "api_status": status_shown}
     )
 
 

@@ -123,14 +123,14 @@ def choose(extracted: DataFrame, flags: str | None = None) -> DataFrame:
     def flag(name: str, default: bool) -> Column:
         return F.lit(default) if flags is None else F.coalesce(F.col(f"{flags}.{name}"), F.lit(default))
 
-    return (
-        extracted.withColumn(
-            "headings", H.heading_texts(F.col("heading_items"), flag("prioritize_headings", False))
-        )
-        .withColumn("tables", T.chosen_tables(F.col("judged_tables"), flag("prioritize_tables", False)))
-        .withColumn("extracted", F.when(flag("use_main_text", True), F.col("content")))
-        .drop("heading_items", "judged_tables", "content")
-    )
+    all_levels, all_tables = flag("prioritize_headings", False), flag("prioritize_tables", False)
+    return extracted.withColumns(
+        {
+            "headings": H.heading_texts(F.col("heading_items"), all_levels),
+            "tables": T.chosen_tables(F.col("judged_tables"), all_tables),
+            "extracted": F.when(flag("use_main_text", True), F.col("content")),
+        }
+    ).drop("heading_items", "judged_tables", "content")
 
 
 def parse(pages: DataFrame, keep: list[str], html: str = "html", flags: str | None = None) -> DataFrame:

@@ -29,14 +29,15 @@ def merge(chosen: DataFrame) -> DataFrame:
     """
     text = F.col("extracted.text")
     title = F.col("extracted.title")
+    clean = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.array_join("paragraphs", " "))
     return (
-        chosen.withColumn(
-            "clean_text",
-            F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.array_join("paragraphs", " ")),
-        )
-        .withColumn(
-            "title",
-            F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.coalesce("parsed_title", F.lit(""))),
+        chosen.withColumns(
+            {
+                "clean_text": clean,
+                "title": F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(
+                    F.coalesce("parsed_title", F.lit(""))
+                ),
+            }
         )
         .withColumn("content_length", F.length("clean_text").cast("bigint"))
         .drop("extracted", "parsed_title")

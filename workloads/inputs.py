@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.session import spread
 from webstrata.sources.pages import read_pages
 
 
@@ -63,7 +64,7 @@ def body_variants(spark: SparkSession, sf: str) -> DataFrame:
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
     """Capture log: every event is one attempt on the page ``event_id mod pages``."""
     n = page_count(spark, sf)
-    e = table(spark, sf, "events").select(
+    e = spread(table(spark, sf, "events"), "event_id").select(
         "event_id", "user_id", "event_type", "ts",
         (F.col("event_id") % n).alias("page_id"),
         (F.floor(F.col("event_id") / n) + 1).cast("int").alias("attempt"),
@@ -254,7 +255,8 @@ def _answer(k: Column) -> Column:
 
 def customer_responses(spark: SparkSession, sf: str) -> DataFrame:
     """One answer per customer, keyed ``c_custkey``."""
-    return table(spark, sf, "customer").select("c_custkey", _answer(F.col("c_custkey")).alias("content"))
+    customers = spread(table(spark, sf, "customer"), "c_custkey")
+    return customers.select("c_custkey", _answer(F.col("c_custkey")).alias("content"))
 
 
 def page_responses(spark: SparkSession, sf: str) -> DataFrame:
