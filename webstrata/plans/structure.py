@@ -1,7 +1,8 @@
 """End-to-end plans: captured pages in, merged results out.
 
-HTML is read by map tasks only. Every usable body is structured where it is scanned; all joins
-(choice of attempt, analysis, strategy) move compact rows.
+Structuring a page costs far more than moving it, so only bodies that can end up in a result are
+structured; from there on all joins (analysis, strategy, choice) move compact rows. A page table
+is structured where it is scanned, without any shuffle of HTML.
 """
 
 from __future__ import annotations
@@ -60,16 +61,26 @@ def structure_captures(
     """Results for a capture log, one row per URL with a usable attempt.
 
     Signals and analysis belong to the first usable attempt; where the strategy asks for
-    rendering, text and structure come from the rendered attempt if there is one. With
-    ``write_extracts`` the structured attempts are written once to the shared folder, so bodies
-    are scanned a single time.
+    rendering, text and structure come from the rendered attempt if there is one. At most these
+    two bodies per URL pass the semi join on (url, attempt), a key that a URL with very many
+    attempts does not skew. With ``write_extracts`` the structured attempts are written once to
+    the shared folder, so no body is structured again for its signals.
     """
     classified = C.classify(captures)
-    usable = classified.where("outcome = 'ok'").withColumn("choice", C.priority())
-    extracts = P.extract(usable, ["url", "method", "choice"], "body")
+    best = C.best_attempts(classified).where(F.col("first_choice") < 2**34)
+    wanted = best.select(
+        "url",
+        F.explode_outer(
+            F.array_distinct(F.array_compact(F.array("first_choice", "rendered_choice")))
+        ).alias("choice"),
+    )
+    usable = classified.where("outcome = 'ok'").select(
+        "url", "method", "body", C.priority().alias("choice")
+    )
+    candidates = usable.join(wanted, ["url", "choice"], "left_semi")
+    extracts = P.extract(candidates, ["url", "method", "choice"], "body")
     if write_extracts:
         extracts = written(extracts, "extracts")
-    best = C.best_attempts(classified).where(F.col("first_choice") < 2**34)
     signals = extracts.select(
         "url", F.col("choice").alias("first_choice"), "number_of_tables", "framework_hints"
     )

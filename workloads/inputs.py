@@ -176,9 +176,9 @@ def table_pages(spark: SparkSession, sf: str) -> DataFrame:
         .when(v == 13, F.concat(F.lit("<td>"), status, F.lit("<td>"), F.substring(priority, 1, 1)))
         .otherwise(full)
     )
+    orders = table(spark, sf, "orders").withColumn("page_id", F.floor(key / 10).cast("bigint"))
     rows = (
-        table(spark, sf, "orders")
-        .withColumn("page_id", F.floor(key / 10).cast("bigint"))
+        spread(orders, "page_id")
         .select("page_id", key.alias("k"), F.concat(F.lit("<tr>"), row, F.lit("</tr>")).alias("row"))
         .groupBy("page_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]), "\n").alias("rows"))
