@@ -17,12 +17,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html_files(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """One page per UTF-8 text file below ``path``; the file path stands in for the URL."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     url = F.col("_metadata.file_path")
     return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
 

@@ -32,7 +32,7 @@ def compare(spark: SparkSession, sf: str, name: str) -> str:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     result = QUERIES[name](spark, sf)
     mine = result.toArrow()
-    theirs = con.execute(ORACLES[name]).to_arrow_table()
+    theirs = con.sql(ORACLES[name]).to_arrow_table()
     columns = sorted(mine.column_names)
     if columns != sorted(theirs.column_names):
         return f"columns {columns} != {sorted(theirs.column_names)}"
