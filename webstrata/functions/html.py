@@ -20,6 +20,7 @@ from webstrata.functions.text import (
     decode_early,
     decode_late,
     non_empty,
+    ordered_distinct,
     split_at,
     strip,
 )
@@ -171,7 +172,7 @@ def heading_items(mk: Column) -> Column:
 def heading_texts(items: Column, all_levels: Column) -> Column:
     """Distinct heading texts: H1-H6 where ``all_levels``, else H1-H3."""
     kept = F.filter(items, lambda h: all_levels | h["level"].isin("h1", "h2", "h3"))
-    return F.array_distinct(F.transform(kept, lambda h: h["text"]))
+    return ordered_distinct(F.transform(kept, lambda h: h["text"]))
 
 
 def paragraph_pieces(mk: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Separators used inside packed strings. They are white space to ``collapse``, so cleaned
 # text never contains them and markup input is freed of them by ``functions.html.markup``.
-CUT, GROUP, RECORD, UNIT = "\x1c", "\x1d", "\x1e", "\x1f"
+CUT, RECORD, UNIT = "\x1c", "\x1e", "\x1f"
 SEPARATORS = "[\x1c-\x1f]"
 
 # Unicode white space; Java's ``\\s`` covers ASCII only. Latin-1 members are listed one by one

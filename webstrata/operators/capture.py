@@ -75,7 +75,7 @@ def admit_urls(df: DataFrame, url: str = "url") -> DataFrame:
 def looks_like_html(body: Column) -> Column:
     """At least 500 characters after trimming, with an html tag or doctype."""
     text = strip(F.coalesce(body, F.lit("")))
-    return (F.length(text) >= MIN_HTML_LENGTH) & text.rlike("(?i)<html|<!doctype html")
+    return (F.length(text) >= MIN_HTML_LENGTH) & text.rlike("(?i)<(?:html|!doctype html)")
 
 
 def classify(captures: DataFrame) -> DataFrame:

@@ -46,7 +46,6 @@ def _extracted() -> list[Column]:
         H.heading_items(mk).alias("heading_items"),
         H.paragraph_texts(F.col("p_pieces")).alias("paragraph_texts"),
         H.links(mk).alias("links"),
-        T.tables(F.col("pieces"), F.col("spans")).alias("judged_tables"),
         F.coalesce(main_column(), basic_column()).alias("content"),
     ]
 
@@ -57,16 +56,22 @@ def _paragraph_columns() -> tuple[Column, Column]:
     return H.long_paragraphs(texts).alias("paragraphs"), H.first_paragraphs(texts).alias("first_paragraphs")
 
 
+@per_context
+def _judged_tables() -> Column:
+    return T.tables(F.col("pieces"), F.col("spans")).alias("judged_tables")
+
+
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """Structure every page once, before any strategy is known.
 
     The result is compact and still open to both strategy choices (heading levels and the
     data-table verdicts are kept), so joins after this point move structured rows, never HTML.
-    Basic content is read only where there is no main text.
+    Basic content is read only where there is no main text. Tables come last: only compact
+    columns and the pieces of pages with a table pass the one Python step.
     """
-    base = with_markup(pages, html).withColumn("spans", _spans())
-    wide = base.select(*keep, *_extracted(), *signal_columns(html))
-    return wide.select("*", *_paragraph_columns()).drop("paragraph_texts")
+    wide = with_markup(pages, html).select(*keep, *_extracted(), *signal_columns(html), "pieces")
+    ranged = wide.select("*", *_paragraph_columns(), _spans().alias("spans"))
+    return ranged.select("*", _judged_tables()).drop("paragraph_texts", "pieces", "spans")
 
 
 @per_context

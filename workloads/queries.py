@@ -309,6 +309,15 @@ def analysis_texts(spark, sf):
     )
 
 
+@query
+def analysis_fallback(spark, sf):
+    """How each answer ended: read, replaced by the fallback record, or left out."""
+    done = D.customer_analysis(spark, sf)
+    failed = F.col("rendering_type") == "Unknown / Fallback"
+    state = F.when(~F.col("has_analysis"), "none").when(failed, "fallback").otherwise("read")
+    return done.select("c_custkey", state.alias("state"), F.when(failed, F.array_join("warnings", "|")).alias("notice"))
+
+
 @query
 def warning_severity(spark, sf):
     rows = D.customer_analysis(spark, sf).where("has_analysis")
