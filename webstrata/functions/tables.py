@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from webstrata.functions.html import _ANCHOR, _REST, attribute, inner_text
+from webstrata.functions.memo import per_context
 from webstrata.functions.text import RECORD, UNIT, bind, contains_any, split_at, word_tokens
 
 # Executors get the helper by value, so they need no copy of this package.
@@ -119,15 +120,16 @@ def table_spans(codes: list[str]) -> list[dict]:
     return found
 
 
-@F.arrow_udf(SPANS)
-def _spans(codes: pa.Array) -> pa.Array:
+def _span_arrays(codes: pa.Array) -> pa.Array:
     out = [None if c is None else table_spans(c.split(" ")) for c in codes.to_pylist()]
     return pa.array(out, type=to_arrow_type(SPANS))
 
 
-# Spark 4.1 fails to lift a deterministic Python function out of an expression when its
-# argument holds nested lambdas, and would copy it into filters pushed below. Both end here.
-_spans = _spans.asNondeterministic()
+@per_context
+def _spans_function():
+    # Spark 4.1 fails to lift a deterministic Python function out of an expression when its
+    # argument holds nested lambdas, and would copy it into filters pushed below. Both end here.
+    return F.arrow_udf(_span_arrays, SPANS).asNondeterministic()
 
 
 def _words(tag: Column) -> Column:
@@ -176,7 +178,7 @@ def spans(pieces: Column) -> Column:
         opens = ~name.startswith("/") & (name != "")
         return F.when(opens & shadows(piece, name), F.concat(name, F.lit("!"))).otherwise(name)
 
-    return _spans(F.array_join(F.transform(pieces, code), " "))
+    return _spans_function()(F.array_join(F.transform(pieces, code), " "))
 
 
 def _cells(pieces: Column, row: Column) -> Column:
