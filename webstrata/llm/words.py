@@ -37,6 +37,11 @@ def byte_symbols() -> dict[int, str]:
 _ENDS = frozenset(".,;:!?")
 
 
+def _ended(c: str) -> bool:
+    """A word of plain letters, whose normal form has letters only, and one of those marks."""
+    return c[-1:] in _ENDS and c[:-1].isalpha() and (c.isascii() or max(c) < "İ")
+
+
 class SpacedChunks:
     """Values of the chunks of a text under the byte-level splitting pattern.
 
@@ -53,12 +58,12 @@ class SpacedChunks:
             return not c or c[0].isspace() or c[-1].isspace()
 
         def first(c: str):
-            if c[-1:] in _ENDS and c[:-1].isalpha():
+            if _ended(c):
                 return self.first[c[:-1]] + self.first[c[-1]]
             return None if edge(c) else make(c)
 
         def later(c: str):
-            if c[-1:] in _ENDS and c[:-1].isalpha():
+            if _ended(c):
                 return self.later[c[:-1]] + self.first[c[-1]]
             if c[:1] == "\n":
                 rest = self.first[c[1:]]
@@ -86,7 +91,7 @@ class BareChunks:
 
     def __init__(self, make: Callable, entries: int):
         def value(c: str):
-            if c[-1:] in _ENDS and c[:-1].isalpha():
+            if _ended(c):
                 return self.memo[c[:-1]] + self.memo[c[-1]]
             if c.isascii() and c.isalpha() and not c.islower():
                 return self.memo[c.lower()]
