@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from webstrata.llm.exact_dedup import exact_dedup
+from webstrata.llm.language_id import identify
+from webstrata.llm.packing import pack
+from webstrata.llm.pieces import round_trip
 from webstrata.llm.token_counts import token_counts
 from webstrata.llm.token_files import token_files
 from webstrata.session import shared_folder
@@ -33,6 +36,21 @@ def op2_token_files(spark, sf):
     return token_files(table(spark, sf, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query
+def op3_packing(spark, sf):
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @query
 def op5_token_counts(spark, sf):
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_language_id(spark, sf):
+    return identify(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_sentencepiece(spark, sf):
+    return round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
