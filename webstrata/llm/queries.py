@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from webstrata.llm.exact_dedup import exact_dedup
+from webstrata.llm.jaccard_join import jaccard_components
 from webstrata.llm.language_id import identify
 from webstrata.llm.packing import pack
 from webstrata.llm.pieces import round_trip
@@ -46,6 +47,11 @@ def op5_token_counts(spark, sf):
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op6_ngram_jaccard_join(spark, sf):
+    return jaccard_components(table(spark, sf, "documents"), width=4, percent=85)
+
+
 @query
 def op9_language_id(spark, sf):
     return identify(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
