@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.session import written
+
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly the two columns an operator reads; a null text becomes empty.
@@ -24,6 +26,18 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
+#: Up to so many rows are sent to all tasks; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: Column, text_key: Column) -> DataFrame:
+    """Rows of ``docs`` whose (id, text key) is not among ``gone`` (doc_id, text_key); a null id equals a null id."""
+    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, doc_id.eqNullSafe(F.col("__gone_id")) & text_key.eqNullSafe(F.col("__gone_key")), "left_anti")
+
+
 class Memo(dict):
     """Bounded ``word -> value`` memory of one Python worker.
 

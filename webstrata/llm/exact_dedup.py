@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import id_text, spaced
+from webstrata.llm.common import id_text, spaced, without
 from webstrata.session import shared_folder
 
 #: Finest prefix, in bits, by which buckets may split; bounds the directory to 2 ** FINEST slots.
@@ -131,6 +131,10 @@ def exact_dedup(
     Rows that repeat the staying id and text are all marked kept. An empty table gives no rows, and
     other columns are ignored.
     """
+    return _marked(docs, id_col, text_col, capacity, key).drop("key")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, capacity: int, key: Callable[[Column], Column]) -> DataFrame:
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     folder = shared_folder(spark, "exact-dedup")
@@ -146,4 +150,13 @@ def exact_dedup(
         "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         "text_sha256",
+        "key",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps."""
+    marked = _marked(docs, id_col, text_col, 200_000, text_key)
+    gone = marked.where(~F.col("kept")).select("doc_id", F.col("key").alias("text_key"))
+    norm = spaced(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return without(docs, gone, F.col(id_col).cast("bigint"), text_key(norm))

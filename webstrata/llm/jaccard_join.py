@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import id_text, in_slices
+from webstrata.llm.common import id_text, in_slices, without
 from webstrata.llm.components import components
 from webstrata.llm.shingles import mix, shingle_set
 from webstrata.session import written
@@ -109,10 +109,10 @@ def parity(shingles: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Per document: doc_id, node, size; once per node and task also parity, prefix and, if small, the set."""
+    """Per document: doc_id, text_key, node, size; once per node and task also parity, prefix and, if small, the set."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # a fixed number of cells
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64())), ("small", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64())), ("small", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +130,11 @@ def describe(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> D
                 first = n - -(-percent * n // 100) + 1
                 order = np.lexsort((s, rare))[:first]
                 rows.append((node, n, parity(s), s[order].view(np.int64), s.view(np.int64) if n <= LIGHT_MOST else None))
-            columns = [batch.column(0)] + [pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(5)]
+            columns = [batch.column(0), batch.column(2)] + [pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(5)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, size bigint, parity binary, prefix array<bigint>, small array<bigint>")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, size bigint, parity binary, prefix array<bigint>, small array<bigint>")
 
 
 def subset_sizes(size: int, percent: int) -> list[int]:
@@ -255,11 +256,21 @@ def jaccard_components(
     never name a component that has an id. Rows that repeat an id count like any other. An empty
     table gives no rows, and other columns are ignored.
     """
-    docs = id_text(docs, id_col, text_col)
+    return _components(id_text(docs, id_col, text_col), width, percent).drop("text_key")
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: one id of each stays."""
+    found = _components(id_text(docs, id_col, text_col), width, percent)
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id", "text_key")
+    return without(docs, gone, F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     described = written(describe(docs, width, percent, sketch(docs, width)), "described")
     first = described.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     once = described.where(F.col("prefix").isNotNull()).dropDuplicates(["node"])  # a row per task and node before
-    nodes = written(once.drop("doc_id").join(first, "node"), "nodes")
+    nodes = written(once.drop("doc_id", "text_key").join(first, "node"), "nodes")
 
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
     rows = rows.repartition("shingle").withColumn("rank", F.shiftleft(F.col("pos").cast("bigint"), 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40)))
@@ -289,5 +300,5 @@ def jaccard_components(
     of_node = groups.join(names, "component").select("node", "component_id")
     of_node = first.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
     return described.join(of_node, "node", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -207,29 +207,39 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
+def _scorer(model: Model) -> Scorer:
+    """One per worker, for the model in use."""
+    if id(model) not in _scorers:
+        _scorers.clear()
+        _scorers[id(model)] = Scorer(model)
+    return _scorers[id(model)]
+
+
+def _label(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    languages = scorer.model.languages
+    words = [words_of(t or "") if languages else [] for t in texts]
+    scorer.learn(words)
+    labels, scores = [], []
+    for found in words:
+        if not found:
+            labels.append(NONE)
+            scores.append(0.0)
+            continue
+        total = scorer.total(found)
+        best = int(np.argmax(total))
+        labels.append(languages[best])
+        scores.append(float(1 / np.exp(total - total[best]).sum()))
+    return labels, scores
+
+
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior under equal priors) of every row (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if id(model) not in _scorers:
-            _scorers.clear()
-            _scorers[id(model)] = Scorer(model)
-        scorer = _scorers[id(model)]
+        scorer = _scorer(shared.value)
         for batch in in_slices(batches, 100):
-            texts = [words_of(t or "") if model.languages else [] for t in batch.column(1).to_pylist()]
-            scorer.learn(texts)
-            labels, scores = [], []
-            for words in texts:
-                if not words:
-                    labels.append(NONE)
-                    scores.append(0.0)
-                    continue
-                total = scorer.total(words)
-                best = int(np.argmax(total))
-                labels.append(model.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            labels, scores = _label(scorer, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )
@@ -253,3 +263,22 @@ def identify(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> DataFram
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(rows.where(~held_out()), vocabulary, sample)
     return classify(rows, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others) whose text has a letter and whose language is
+    more likely than ``least``. Where no language can be learned, every text with a letter stays."""
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = train(labelled.where(~held_out()), vocabulary, sample)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value)
+        for batch in in_slices(batches, 100):
+            _, scores = _label(scorer, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([s > least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

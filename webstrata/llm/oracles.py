@@ -8,4 +8,52 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL) AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)
     """,
+    "op8_warc_revisits": r"""
+        WITH w AS (
+            SELECT page_id AS p, k, md5(html) AS digest, 1704067200 + (page_id * 7919) % 2592000 AS start,
+                   regexp_replace(trim(url), '#.*$', '') AS u
+            FROM pages, range(0, 5) AS t(k)
+        ), parts AS (
+            SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+                   regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), '^www\.', '') AS host,
+                   regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+                       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)='))), '&') AS params
+            FROM w
+        ), rows AS (
+            SELECT p * 10 + k AS record_id, p, k, digest, start,
+                   CASE WHEN scheme <> '' AND host <> '' THEN '//' || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '')
+                       WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END || path
+                       || CASE WHEN params <> '' THEN '?' || params ELSE '' END END AS canon,
+                   start + CASE WHEN k = 3 AND p % 13 = 0 THEN -3600 WHEN k = 4 THEN 9000 ELSE k * (p % 5 + 1) * 1800 END AS moment,
+                   CASE WHEN k = 0 OR (k = 4 AND p % 3 = 0) THEN 200 ELSE 304 END AS status,
+                   CASE WHEN p % 7 = 0 OR (k = 3 AND p % 4 = 1) THEN NULL
+                        WHEN k = 2 AND p % 11 = 0 THEN 'W/"' || substr(digest, 17, 16) || '"'
+                        ELSE CASE WHEN k = 1 AND p % 2 = 0 THEN 'W/' ELSE '' END || '"' || substr(digest, 1, 16)
+                             || CASE WHEN k = 4 THEN '-b' ELSE '' END || '"' END AS tag,
+                   CASE WHEN k = 3 AND p % 4 = 1 THEN NULL
+                        ELSE CAST(start - 86400 + CASE WHEN k = 2 AND p % 14 = 0 THEN 60 ELSE 0 END AS VARCHAR) END AS modified
+            FROM parts
+        ), found AS (
+            SELECT r.record_id, max({'at': f.moment, 'id': f.record_id}).id AS full_id
+            FROM rows r JOIN rows f ON f.canon = r.canon AND f.moment < r.moment AND f.status = 200
+            WHERE r.status = 304 GROUP BY r.record_id
+        ), j AS (
+            SELECT r.*, f.full_id, o.tag AS old_tag, o.modified AS old_modified,
+                   r.tag IS NOT NULL AND o.tag IS NOT NULL AS tags,
+                   NOT (r.tag IS NOT NULL AND o.tag IS NOT NULL) AND r.modified IS NOT NULL AND o.modified IS NOT NULL AS dates
+            FROM rows r LEFT JOIN found f USING (record_id) LEFT JOIN rows o ON o.record_id = f.full_id WHERE r.status = 304
+        ), v AS (
+            SELECT *, CASE WHEN canon IS NULL THEN 'no_url' WHEN full_id IS NULL THEN 'missing'
+                WHEN CASE WHEN tags THEN regexp_replace(tag, '^W/', '') = regexp_replace(old_tag, '^W/', '')
+                          WHEN dates THEN modified = old_modified ELSE true END THEN 'resolved' ELSE 'changed' END AS verdict
+            FROM j
+        )
+        SELECT record_id, canon AS canonical_url, full_id, verdict,
+               CASE WHEN verdict = 'resolved' THEN CASE WHEN tags THEN 'etag' WHEN dates THEN 'last-modified' ELSE 'none' END END AS matched_by,
+               CASE WHEN verdict = 'resolved' THEN array_to_string(list_sort(list_filter([
+                   'cache-control=max-age=' || k * 60, 'content-length=512', 'content-type=text/html', 'date=' || moment,
+                   'etag=' || coalesce(tag, old_tag), 'last-modified=' || coalesce(modified, old_modified)], lambda x: x IS NOT NULL)), ';') END AS headers
+        FROM v
+    """,
 }

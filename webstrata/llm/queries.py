@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from webstrata.llm.exact_dedup import exact_dedup
+from webstrata.llm.hamming_search import nearest
 from webstrata.llm.jaccard_join import jaccard_components
 from webstrata.llm.language_id import identify
+from webstrata.llm.line_dedup import dedup_lines
 from webstrata.llm.packing import pack
 from webstrata.llm.pieces import round_trip
+from webstrata.llm.revisits import archive_of, resolve
 from webstrata.llm.token_counts import token_counts
 from webstrata.llm.token_files import token_files
 from webstrata.session import shared_folder
@@ -42,6 +47,12 @@ def op3_packing(spark, sf):
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op4_line_dedup(spark, sf):
+    kept = dedup_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op5_token_counts(spark, sf):
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,6 +63,18 @@ def op6_ngram_jaccard_join(spark, sf):
     return jaccard_components(table(spark, sf, "documents"), width=4, percent=85)
 
 
+@query
+def op7_multi_index_hashing(spark, sf):
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op8_warc_revisits(spark, sf):
+    found = resolve(archive_of(table(spark, sf, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select("record_id", "canonical_url", "full_id", "verdict", "matched_by", F.array_join(pairs, ";").alias("headers"))
+
+
 @query
 def op9_language_id(spark, sf):
     return identify(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -60,3 +83,8 @@ def op9_language_id(spark, sf):
 @query
 def op10_sentencepiece(spark, sf):
     return round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
