@@ -105,13 +105,17 @@ def test_response_choice(spark):
         ("b", 1, 200, ""), ("b", 3, 200, "late"), ("c", 1, 200, "first"), ("c", 2, 200, "other"),
     ]
     df = spark.createDataFrame(rows, "url string, attempt int, status_code int, content string")
-    assert {r.url: r.content for r in A.select_responses(df).collect()} == {"a": "second", "b": None, "c": "first"}
+    assert {r.url: r.content for r in A.select_responses(df).collect()} == {"a": "second", "b": "late", "c": "first"}
+    two = {r.url: r.content for r in A.select_responses(df, attempts=2).collect()}
+    assert two == {"a": "second", "b": None, "c": "first"}
 
 
 def test_prompt(pages_of):
     prompt = A.prompts(pages_of("<TITLE>\n My page </TITLE>" + "z" * 9000)).first().prompt
     assert prompt.startswith("Target URL: https://example.org/0\nPage Title: My page\n\nHTML Snapshot:\n<TITLE>")
-    assert prompt.count("z") < 8000 + 10 and prompt.endswith("}")
+    assert prompt.count("z") >= 9000 and prompt.endswith("}")
+    cut = A.prompts(pages_of("z" * 9000), chars=8000).first()
+    assert cut.is_cut and cut.prompt.count("z") < 8000 + 10
     assert "Page Title: N/A" in A.prompts(pages_of("<p>")).first().prompt
 
 

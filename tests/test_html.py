@@ -46,9 +46,10 @@ def test_heading_levels_follow_the_flag(pages_of):
 
 def test_signals_page(pages_of):
     html = "<html><head><title>T</title></head><body><h1>H</h1><p> </p><p>Important intro text</p><p>b</p><p>c</p><p>d</p></body></html>"
-    row = P.signals(pages_of(html), ["page_id"]).first()
+    row = P.signals(pages_of(html), ["page_id"], paragraphs=3).first()
     assert row.page_title == "T"
-    assert row.first_3_paragraphs == ["Important intro text", "b", "c"]
+    assert row.first_paragraphs == ["Important intro text", "b", "c"]
+    assert P.signals(pages_of(html), ["page_id"]).first().first_paragraphs == ["Important intro text", "b", "c", "d"]
     assert [tuple(h) for h in row.heading_hierarchy] == [("h1", "H")]
     assert row.total_html_size == len(html)
     assert row.visible_text_length == len("TH Important intro textbcd")
@@ -72,7 +73,7 @@ def test_counts_ignore_comments_and_scripts(pages_of):
         ("&#233;&#xE9;&#x1F600;", "éé😀"),
         ("&amp;quot; &amp;nbsp; &amp;amp;", "&quot; &nbsp; &amp;"),
         ("&lt;b&gt; &#60;i&#62;", "<b> <i>"),
-        ("&bogus; &copy &lbrace;", "&bogus; &copy {"),
+        ("&bogus; &copy &lbrace;", "&bogus; © {"),
         ("&#0; &#55296; &#99999999;", "� � �"),
         ("x<b title='a > b'>y</b>z", "xyz"),
         ("x<br/>y < z", "xy < z"),
@@ -190,3 +191,31 @@ def test_escape_markup(spark):
     row = df.select(T.escape_markup(F.col("s")).alias("a"), T.escape_markup(F.col("s"), True).alias("b")).first()
     assert row.a == "&lt;a href='x'&gt;\"&amp;amp;\"&lt;/a&gt;"
     assert row.b == "&lt;a href=&#039;x&#039;&gt;&quot;&amp;amp;&quot;&lt;/a&gt;"
+
+
+QUOTED = (
+    '<html><head><title>T</title></head><body><div data-t="<nav><a href=1>x</a>" title="a > b" '
+    "srcdoc='<script>1</script><p>no</p><table>'>"
+    + "<p>" + "long enough words " * 20 + '</p><a href="/one" title="<b>">One</a></div>'
+    + "<script>var s = \"<p title='<a>'>\";</script></body></html>"
+)
+
+
+def test_markup_in_attribute_values_is_no_markup(pages_of):
+    row = P.signals(pages_of(QUOTED), ["page_id"]).first()
+    assert not row.has_nav and row.number_of_links == 1 and row.number_of_tables == 0 and row.number_of_scripts == 1
+    assert row.visible_text_length == len("T" + "long enough words " * 20 + "One")
+    done = P.parse(pages_of(QUOTED), ["page_id"]).first()
+    assert [tuple(x) for x in done.links] == [("One", "/one")] and len(done.paragraphs) == 1 and done.tables == []
+    content = P.content(pages_of(QUOTED), ["page_id"]).first()
+    assert content.main.text.startswith("long enough words")
+
+
+def test_entities_without_bounds_and_semicolons(spark):
+    cases = {
+        "&#0000000065;": "A", "&copy 2": "\u00a9 2", "&amp x": "& x", "&#146;&#150;": "\u2019\u2013", "&#x0000041;": "A",
+        "&#99999999999;": "\ufffd", "&copyright;": "&copyright;", "?a&copy=1": "?a&copy=1", "&lt b": "< b", "&#129;": "\x81",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.d for r in df.select("t", H.inner_text(H.markup(F.col("t"))).alias("d")).collect()}
+    assert got == cases

@@ -74,27 +74,31 @@ def test_analysis_rows(spark):
 
 def test_previews(spark):
     df = spark.createDataFrame([("x" * 1001,), ("short",), ("",)], "t string")
-    rows = df.select(report.preview(F.col("t")).alias("a"), report.ui_preview(F.col("t")).alias("b")).collect()
+    rows = df.select(report.preview(F.col("t"), 1000).alias("a"), report.ui_preview(F.col("t"), 300).alias("b"), report.preview(F.col("t")).alias("c")).collect()
     assert rows[0].a == "x" * 1000 + "..." and rows[0].b == "x" * 300 + "..."
+    assert rows[0].c == "x" * 1001
     assert (rows[1].a, rows[1].b) == ("short", "short...")
     assert (rows[2].a, rows[2].b) == ("No content available", "No preview available")
 
 
-def test_headings_stop_at_twenty(spark):
-    assert report.headings(page(spark, headings=[str(i) for i in range(25)]), ["page_id"]).count() == 20
+def test_headings_tell_which_are_shown(spark):
+    many = page(spark, headings=[str(i) for i in range(25)])
+    assert [r.shown for r in report.headings(many, ["page_id"], limit=20).orderBy("pos").collect()] == [True] * 20 + [False] * 5
+    assert all(r.shown for r in report.headings(many, ["page_id"]).collect())
 
 
 def test_report_table_layout(spark):
     table = [["a", "", "x" * 250], [" ", None], ["b", ""], ["c"]]
     many = [[[str(i)]] for i in range(7)]
-    laid = report.report_tables(page(spark, tables=[table, [[""]], *many]), ["page_id"])
+    laid = report.report_tables(page(spark, tables=[table, [[""]], *many]), ["page_id"], limit=5, chars=200)
     lines = report.table_lines(laid, ["page_id"]).where("table_index = 1").orderBy("row_index").collect()
     assert [len(r.cells) for r in lines] == [2, 2, 2]
     assert lines[0].cells[1] == "x" * 197 + "..."
     assert [(r.is_header, r.spans_row) for r in lines] == [(True, False), (False, True), (False, True)]
-    assert {r.table_index for r in laid.collect()} == {1, 3, 4, 5}
+    assert {r.table_index: r.shown for r in laid.collect()} == {k: k <= 5 for k in range(1, 9)}
     wide = [[str(i) * 40 for i in range(10)]]
-    widths = [r.width for r in report.table_widths(report.report_tables(page(spark, tables=[wide]), ["page_id"]), ["page_id"]).collect()]
+    widths = [r.width for r in report.table_widths(report.report_tables(page(spark, tables=[wide]), ["page_id"], columns=8), ["page_id"]).collect()]
+    assert report.report_tables(page(spark, tables=[wide]), ["page_id"]).selectExpr("size(widths)").first()[0] == 10
     assert len(widths) == 8 and all(abs(w - 63.0) < 1e-9 for w in widths)
     mixed = [["&" * 10, "a"]]
     widths = report.table_widths(report.report_tables(page(spark, tables=[mixed]), ["page_id"]), ["page_id"]).orderBy("col_index").collect()
@@ -103,8 +107,8 @@ def test_report_table_layout(spark):
 
 def test_display_links(spark):
     links = [("", "/a"), ("A", " /a "), ("Z", "/a"), ("b", "/b"), ("x", " ")] + [("n", f"/{i}") for i in range(120)]
-    rows = report.display_links(page(spark, links=links), ["page_id"]).orderBy("pos").collect()
-    assert len(rows) == 100 and all(r.has_more for r in rows)
+    rows = report.display_links(page(spark, links=links), ["page_id"], limit=100).orderBy("pos").collect()
+    assert len(rows) == 122 and all(r.has_more for r in rows) and [r.shown for r in rows] == [True] * 100 + [False] * 22
     assert [(r.href, r.label) for r in rows[:2]] == [("/a", "A"), ("/b", "b")]
     alone = report.display_links(page(spark, links=[("", "/only")]), ["page_id"]).first()
     assert (alone.label, alone.has_more) == ("/only", False)

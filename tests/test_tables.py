@@ -128,3 +128,10 @@ def test_flat_rows_and_cells(spark):
     assert tuple(wide.first())[3:] == ("a", "b", None)
     with pytest.raises(PySparkException):
         T.wide_rows(rows, ["page_id"], 2).collect()
+
+
+def test_ancestor_marks_behind_a_quoted_bracket(pages_of):
+    table = "<table><tr><th>Name</th><th>Value</th></tr><tr><td>alpha beta</td><td>gamma delta</td></tr></table>"
+    html = f'<html><body><div title="a > b" class="sidebar">{table}</div></body></html>'
+    assert P.parse(pages_of(html), ["page_id"]).first().tables == []
+    assert len(P.parse(pages_of(html.replace("sidebar", "plain")), ["page_id"]).first().tables) == 1

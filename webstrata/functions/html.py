@@ -34,6 +34,11 @@ _ANY_TAG = rf"<(?:[a-zA-Z/!?]{_REST}>|!\z)"
 _RAW_TEXT = (
     rf"(?is)<(?:(!)--.*?(?:--(>)|\z)|((script|style){_END}{_REST}>).*?(?=</\4[\s/>]|\z))"
 )
+# Comments, script and style elements, tags and text, cut at every place where one of them begins.
+_TOKEN = (
+    rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style){_END}{_REST}>.*?(?=</\1[\s/>]|\z)|[a-z/!?]{_REST}>)|[^<]++|<"
+)
+_QUOTED_MARKUP = r"""=\s*+(?:"[^"<]*+<|'[^'<]*+<)"""
 _BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main "
@@ -63,7 +68,23 @@ def markup(html: Column) -> Column:
     characters become spaces.
     """
     plain = F.regexp_replace(F.coalesce(html, F.lit("")), SEPARATORS, " ")
-    return decode_early(F.regexp_replace(plain, _RAW_TEXT, "<$1$2$3"))
+    return decode_early(F.regexp_replace(bind(plain, _quiet_values), _RAW_TEXT, "<$1$2$3"))
+
+
+def _quiet_values(doc: Column) -> Column:
+    """Escape ``<`` inside quoted attribute values, so that no later pattern takes it for a tag.
+
+    One leftmost pass over whole tokens, and only for documents with such a value.
+    """
+    def quiet(token: Column) -> Column:
+        is_tag = token.rlike(r"^<[a-zA-Z]")
+        first = F.regexp_extract(token, rf"(?s)^<[a-zA-Z/!?]{_REST}>", 0)
+        rest = F.substring(token, F.length(first) + 1, F.length(token))
+        inside = F.replace(F.substring(first, F.lit(2), F.length(first)), F.lit("<"), F.lit("&lt;"))
+        return F.when(is_tag & (first != ""), F.concat(F.lit("<"), inside, rest)).otherwise(token)
+
+    tokens = F.regexp_extract_all(doc, F.lit(_TOKEN), F.lit(0))
+    return F.when(doc.rlike(_QUOTED_MARKUP), F.array_join(F.transform(tokens, quiet), "")).otherwise(doc)
 
 
 def inner_text(fragment: Column) -> Column:
@@ -195,9 +216,10 @@ def long_paragraphs(texts: Column) -> Column:
     return F.array_distinct(F.filter(texts, lambda x: F.length(x) > MIN_PARAGRAPH))
 
 
-def first_paragraphs(texts: Column, limit: int = 3) -> Column:
-    """The first non-empty paragraphs, without length gate or de-duplication."""
-    return F.slice(F.filter(texts, lambda x: x != ""), 1, limit)
+def first_paragraphs(texts: Column, limit: int | None = None) -> Column:
+    """The non-empty paragraphs, or the first ``limit`` of them, without length gate or de-duplication."""
+    full = F.filter(texts, lambda x: x != "")
+    return full if limit is None else F.slice(full, 1, limit)
 
 
 def links(mk: Column) -> Column:

@@ -147,7 +147,7 @@ def ignored_words(tag: Column) -> Column:
 def shadows(tag: Column, name: Column) -> Column:
     """True where an element marks everything below it as page furniture."""
     return name.isin(SHADOW_TAGS) | (
-        tag.rlike(r"(?i)^<[a-z][^>]*?[\s/\"'](?:id|class|role)[\s=]")
+        tag.rlike(r"(?i)[\s/\"'](?:id|class|role)[\s=]")
         & (F.coalesce(F.lower(attribute(tag, "role")).isin(SHADOW_ROLES), F.lit(False)) | ignored_words(tag))
     )
 

@@ -26,8 +26,12 @@ _WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f
 
 # Entities that stay escaped until markup has been split into pieces.
 _LATE = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-_ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-_RARE = r"&(?!(?:amp|lt|gt|quot|#39);)(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_ENTITY = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);"
+_RARE = r"&(?!(?:amp|lt|gt|quot|#39);)(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);"
+# Names that need no semicolon; without one they count only before other than letters, digits and "=".
+_BARE = "&(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)) + ")(?![;A-Za-z0-9=])"
+# Numbers from 128 to 159 mean the characters of the Windows code page.
+_C1 = {k: ord(c) for k in range(128, 160) if (c := bytes([k]).decode("cp1252", "replace")) != "\ufffd"}
 # Frequent names, resolved by plain replacement before the general path is tried.
 _FREQUENT = ("nbsp", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "laquo", "raquo")
 
@@ -90,11 +94,12 @@ def _entity_names() -> Column:
 
 def _resolve(entity: Column) -> Column:
     def char(body: Column) -> Column:
-        code = F.when(
-            body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)
-        ).otherwise(F.substring(body, 2, 8)).try_cast("int")
+        digits = F.regexp_replace(body, "^#[xX]?0*", "")
+        number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        code = F.when(F.length(digits) <= 8, number)
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        point = F.when(valid, code).otherwise(F.lit(0xFFFD))
+        windows = F.try_element_at(F.create_map(*[F.lit(x) for pair in _C1.items() for x in pair]), code)
+        point = F.when(valid, F.coalesce(windows, code)).otherwise(F.lit(0xFFFD))
         numeric = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         return F.when(body.startswith("#"), numeric).otherwise(
             F.try_element_at(_entity_names(), body)
@@ -133,8 +138,11 @@ def decode_early(c: Column) -> Column:
     def choose(doc: Column) -> Column:
         return F.when(doc.rlike(_RARE), general(doc)).otherwise(doc)
 
+    def closed(doc: Column) -> Column:
+        return F.regexp_replace(doc, _BARE, "&$1;")
+
     return bind(
-        c, lambda doc: F.when(F.contains(doc, F.lit("&")), bind(frequent(doc), choose)).otherwise(doc)
+        c, lambda doc: F.when(F.contains(doc, F.lit("&")), bind(frequent(closed(doc)), choose)).otherwise(doc)
     )
 
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from webstrata.functions.memo import per_context
 from webstrata.functions.text import bind, contains_any, or_default, strip
 
-PROMPT_CHARS = 8000
-MAX_ATTEMPTS = 2
-
 PROMPT_RULES = """\
 Task: describe how this page is built and how well it can be extracted.
 - Rely on the snapshot, the title and the URL only; leave out what they do not show.
@@ -23,25 +20,16 @@ Task: describe how this page is built and how well it can be extracted.
 - overall_score is an integer from 0 to 100; compatibility_grade is A, B, C or D.
 - Answer with one JSON object of the form below and nothing else, without code fences.
 """
-# The answer format, key by key as the response reader expects it.
-ANSWER_FORMAT = """\
-{
-  "website_type": "",
-  "framework": "",
-  "content_confidence": 0.0,
-  "table_confidence": 0.0,
-  "requires_javascript": false,
-  "recommended_strategy": "",
-  "warnings": [],
-  "summary": "",
-  "overall_score": 90,
-  "compatibility_grade": "A",
-  "rendering_type": "Mostly Static",
-  "javascript_complexity": "Low",
-  "strengths": [],
-  "limitations": [],
-  "recommendation": ""
-}"""
+# The keys that the response reader expects, with the kind of value each holds.
+ANSWER_KEYS = {
+    "website_type": "text", "framework": "text", "content_confidence": "0.0 to 1.0",
+    "table_confidence": "0.0 to 1.0", "requires_javascript": "true or false",
+    "recommended_strategy": "text", "warnings": "list of texts", "summary": "text",
+    "overall_score": "0 to 100", "compatibility_grade": "A to D", "rendering_type": "text",
+    "javascript_complexity": "text", "strengths": "list of texts", "limitations": "list of texts",
+    "recommendation": "text",
+}
+ANSWER_FORMAT = "{" + ", ".join(f'"{key}": <{kind}>' for key, kind in ANSWER_KEYS.items()) + "}"
 
 ANALYSIS_FIELDS = [
     "website_type", "framework", "content_confidence", "table_confidence", "requires_javascript",
@@ -88,35 +76,52 @@ FALLBACK = {
     "limitations": "AI architectural analysis was unavailable.",
     "recommendation": "Proceed with standard HTML extraction.",
 }
+# Words that grade a warning, and the text without any.
 INFO_WORDS = ["appears to use", "react", "vue", "angular", "framework"]
 DANGER_WORDS = ["login", "paywall", "captcha", "error", "failed"]
 NO_WARNING = "No scraping obstacles or anti-scraping protections detected."
 
 
-def prompts(pages: DataFrame, title: str | None = None, rules: str = PROMPT_RULES) -> DataFrame:
-    """``(url, prompt)`` for offline batch inference."""
+def prompts(
+    pages: DataFrame, title: str | None = None, rules: str = PROMPT_RULES, chars: int | None = None
+) -> DataFrame:
+    """``(url, prompt, is_cut)`` for offline batch inference.
+
+    The snapshot is the whole page, or its first ``chars`` characters for models with a small
+    window; ``is_cut`` then tells the pages that are longer.
+    """
+    html = F.coalesce("html", F.lit(""))
+    snapshot = html if chars is None else F.substring(html, 1, chars)
     found = strip(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     given = F.col(title) if title else F.lit("")
     name = or_default(F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(found), "N/A")
     text = F.concat(
         F.lit("Target URL: "), F.col("url"),
         F.lit("\nPage Title: "), name,
-        F.lit("\n\nHTML Snapshot:\n"), F.substring(F.coalesce("html", F.lit("")), 1, PROMPT_CHARS),
+        F.lit("\n\nHTML Snapshot:\n"), snapshot,
         F.lit("\n\nInstructions:\n" + rules + "\nRequired Schema:\n" + ANSWER_FORMAT),
     )
-    return pages.select("url", text.alias("prompt"))
+    cut = F.lit(False) if chars is None else F.length(html) > chars
+    return pages.select("url", text.alias("prompt"), cut.alias("is_cut"))
 
 
-def select_responses(responses: DataFrame) -> DataFrame:
-    """``(url, content)``: the first usable answer among the first two attempts, NULL if none."""
-    usable = (
-        (F.col("attempt") <= MAX_ATTEMPTS)
-        & (F.col("status_code") == 200)
-        & (F.coalesce("content", F.lit("")) != "")
-    )
-    return responses.groupBy("url").agg(
-        F.min_by(F.when(usable, F.col("content")), F.when(usable, F.col("attempt"))).alias("content")
-    )
+def select_responses(responses: DataFrame, attempts: int | None = None) -> DataFrame:
+    """``(url, content)``: the first usable answer, NULL if none; ``attempts`` keeps later ones out.
+
+    The attempt is chosen on light rows by a hash aggregate with partial results; its content then
+    comes by an equi join, so no answer is sorted or carried through the aggregate. Of answers
+    with one attempt number the smallest by a hash of the content counts.
+    """
+    usable = (F.col("status_code") == 200) & (F.coalesce("content", F.lit("")) != "")
+    if attempts is not None:
+        usable = usable & (F.col("attempt") <= attempts)
+    good = responses.where(usable & F.col("url").isNotNull())
+    first = good.groupBy("url").agg(F.min("attempt").alias("attempt"))
+    rows = good.join(first, ["url", "attempt"]).select("url", "content", F.xxhash64("content").alias("tie"))
+    ties = rows.groupBy("url").agg(F.min("tie").alias("tie"))
+    chosen = rows.join(ties, ["url", "tie"]).select("url", "content").dropDuplicates(["url"])
+    asked = responses.select("url").where(F.col("url").isNotNull()).distinct()
+    return asked.join(chosen, "url", "left")
 
 
 def _unfenced(text: Column) -> Column:

@@ -101,13 +101,13 @@ def signal_columns(html: str = "html") -> list[Column]:
     ]
 
 
-def signals(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """All structural signals of each page in one row."""
+def signals(pages: DataFrame, keep: list[str], html: str = "html", paragraphs: int | None = None) -> DataFrame:
+    """All structural signals of each page in one row, with all or the first ``paragraphs`` non-empty ones."""
     return with_markup(pages, html).select(
         *keep,
         *signal_columns(html),
         H.heading_items(F.col("markup")).alias("heading_hierarchy"),
-        H.first_paragraphs(H.paragraph_texts(F.col("p_pieces"))).alias("first_3_paragraphs"),
+        H.first_paragraphs(H.paragraph_texts(F.col("p_pieces")), paragraphs).alias("first_paragraphs"),
     )
 
 

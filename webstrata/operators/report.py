@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from webstrata.functions.text import bind, escape_markup, explode_rows, or_default, strip
 
+# How much a printed report shows. Nothing is cut unless a caller passes them.
 PREVIEW_CHARS, UI_PREVIEW_CHARS = 1000, 300
-MAX_HEADINGS, MAX_TABLES, MAX_COLUMNS, MAX_LINKS = 20, 5, 8, 100
-MAX_CELL = 200
+SHOWN_HEADINGS, SHOWN_TABLES, SHOWN_COLUMNS, SHOWN_LINKS = 20, 5, 8, 100
+SHOWN_CELL = 200
 PAGE_WIDTH, MAX_WIDTH, MIN_WIDTH, CHAR_WIDTH = 504.0, 180.0, 35.0, 5.5
 NO_CONTENT = "No content available"
 
@@ -76,34 +77,38 @@ def analysis_rows(analysis: DataFrame, keep: list[str], has: str = "has_analysis
     return _label_rows(analysis, keep, rows, ("label", "value"), F.col(has))
 
 
-def preview(text: Column) -> Column:
-    """First 1000 characters, with dots when cut."""
+def _shown(pos: Column, limit: int | None) -> Column:
+    """Whether a row is among the first ``limit``; every row is without one."""
+    return (F.lit(True) if limit is None else pos < limit).alias("shown")
+
+
+def preview(text: Column, chars: int | None = None) -> Column:
+    """The text, or its first ``chars`` characters with dots when cut."""
     t = or_default(text, NO_CONTENT)
-    return F.concat(
-        F.substring(t, 1, PREVIEW_CHARS), F.when(F.length(t) > PREVIEW_CHARS, "...").otherwise("")
-    )
+    if chars is None:
+        return t
+    return F.concat(F.substring(t, 1, chars), F.when(F.length(t) > chars, "...").otherwise(""))
 
 
-def ui_preview(text: Column) -> Column:
-    """First 300 characters, always with dots when there is any text."""
-    return F.when(
-        F.coalesce(text, F.lit("")) != "", F.concat(F.substring(text, 1, UI_PREVIEW_CHARS), F.lit("..."))
-    ).otherwise("No preview available")
+def ui_preview(text: Column, chars: int | None = None) -> Column:
+    """The text, or its first ``chars`` characters, always with dots when there is any text."""
+    head = text if chars is None else F.substring(text, 1, chars)
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(head, F.lit("..."))).otherwise("No preview available")
 
 
-def headings(results: DataFrame, keep: list[str]) -> DataFrame:
-    """The first 20 headings with their position."""
-    shown = F.slice(F.filter("headings", lambda h: h != ""), 1, MAX_HEADINGS)
-    return explode_rows(results, keep, shown, "heading")
+def headings(results: DataFrame, keep: list[str], limit: int | None = None) -> DataFrame:
+    """All headings with their position; ``shown`` tells the first ``limit``."""
+    rows = explode_rows(results, keep, F.filter("headings", lambda h: h != ""), "heading")
+    return rows.select("*", _shown(F.col("pos"), limit))
 
 
-def _layout(rows: Column) -> Column:
-    """Padded, column-filtered cells and widths of one table."""
+def _layout(rows: Column, columns: int | None, chars: int | None) -> Column:
+    """Padded, column-filtered cells of one table: at most ``columns``, cells of at most ``chars`` characters."""
     def clip(cell: Column) -> Column:
         c = strip(F.coalesce(cell, F.lit("")))
-        return escape_markup(
-            F.when(F.length(c) > MAX_CELL, F.concat(F.substring(c, 1, MAX_CELL - 3), F.lit("..."))).otherwise(c)
-        )
+        if chars is not None:
+            c = F.when(F.length(c) > chars, F.concat(F.substring(c, 1, chars - 3), F.lit("..."))).otherwise(c)
+        return escape_markup(c)
 
     tagged = F.transform(
         rows,
@@ -120,9 +125,8 @@ def _layout(rows: Column) -> Column:
     def active(full: Column) -> Column:
         width = F.array_max(F.transform(full, lambda r: F.size(r["cells"])))
         every = F.sequence(F.lit(0), width - 1)
-        return F.slice(
-            F.filter(every, lambda i: F.exists(full, lambda r: at(r["cells"], i) != "")), 1, MAX_COLUMNS
-        )
+        used = F.filter(every, lambda i: F.exists(full, lambda r: at(r["cells"], i) != ""))
+        return used if columns is None else F.slice(used, 1, columns)
 
     def lay(full: Column) -> Column:
         return bind(
@@ -167,14 +171,22 @@ def column_widths(rows: Column) -> Column:
     return bind(capped(rows), scaled)
 
 
-def report_tables(results: DataFrame, keep: list[str]) -> DataFrame:
-    """``table_index, rows, widths`` of the first five tables that have visible cells."""
-    shown = explode_rows(results, keep, F.slice("tables", 1, MAX_TABLES), "table", "table_index")
-    visible = F.exists(F.flatten("table"), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
+def report_tables(
+    results: DataFrame, keep: list[str], limit: int | None = None, columns: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """``table_index, shown, rows, widths`` of all tables that have visible cells.
+
+    ``table_index`` counts these from 1 and ``shown`` tells the first ``limit``. ``columns`` and
+    ``chars`` cut the layout of a table to what a page can hold.
+    """
+    visible = F.filter(
+        "tables", lambda t: F.exists(F.flatten(t), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
+    )
+    tables = explode_rows(results, keep, visible, "table", "table_index")
     return (
-        shown.where(visible)
+        tables.select("*", _shown(F.col("table_index"), limit))
         .withColumn("table_index", F.col("table_index") + 1)
-        .withColumn("rows", _layout(F.col("table")))
+        .withColumn("rows", _layout(F.col("table"), columns, chars))
         .withColumn("widths", column_widths(F.col("rows")))
         .drop("table")
     )
@@ -182,12 +194,13 @@ def report_tables(results: DataFrame, keep: list[str]) -> DataFrame:
 
 def table_lines(laid_out: DataFrame, keep: list[str]) -> DataFrame:
     """One row per report line: position, header flag, spanning flag and cells."""
-    exploded = explode_rows(laid_out, [*keep, "table_index"], "rows", "row")
+    exploded = explode_rows(laid_out, [*keep, "table_index", "shown"], "rows", "row")
     cells = F.col("row.cells")
     spans = (F.get(cells, F.lit(0)) != "") & (F.size(F.filter(cells, lambda c: c != "")) == 1)
     return exploded.select(
         *keep,
         "table_index",
+        "shown",
         (F.col("pos") + 1).alias("row_index"),
         F.col("row.is_header").alias("is_header"),
         spans.alias("spans_row"),
@@ -197,13 +210,16 @@ def table_lines(laid_out: DataFrame, keep: list[str]) -> DataFrame:
 
 def table_widths(laid_out: DataFrame, keep: list[str]) -> DataFrame:
     """One row per report column with its width in points."""
-    return explode_rows(laid_out, [*keep, "table_index"], "widths", "width").select(
-        *keep, "table_index", (F.col("pos") + 1).alias("col_index"), "width"
+    return explode_rows(laid_out, [*keep, "table_index", "shown"], "widths", "width").select(
+        *keep, "table_index", "shown", (F.col("pos") + 1).alias("col_index"), "width"
     )
 
 
-def display_links(results: DataFrame, keep: list[str], links: str = "links") -> DataFrame:
-    """The first 100 links per page by distinct href with the first text given for each."""
+def display_links(results: DataFrame, keep: list[str], links: str = "links", limit: int | None = None) -> DataFrame:
+    """All links per page by distinct href with the first text given for each.
+
+    ``shown`` tells the first ``limit``, ``has_more`` whether the page has others.
+    """
     def first_text(all_links: Column, href: Column) -> Column:
         texts = F.transform(
             F.filter(all_links, lambda x: (x["href"] == href) & (x["text"] != "")), lambda x: x["text"]
@@ -224,17 +240,17 @@ def display_links(results: DataFrame, keep: list[str], links: str = "links") ->
         F.array_distinct(F.filter(F.transform("all_links", lambda x: x["href"]), lambda h: h != "")),
     )
     labelled = F.transform(
-        F.slice("hrefs", 1, MAX_LINKS),
+        "hrefs",
         lambda h: F.struct(h.alias("href"), first_text(F.col("all_links"), h).alias("text")),
     )
-    shown = explode_rows(
-        trimmed, [*keep, (F.size("hrefs") > MAX_LINKS).alias("has_more")], labelled, "link"
-    )
+    more = F.lit(False) if limit is None else F.size("hrefs") > limit
+    shown = explode_rows(trimmed, [*keep, more.alias("has_more")], labelled, "link")
     text, href = F.col("link.text"), F.col("link.href")
     return shown.select(
         *keep,
         "pos",
         href.alias("href"),
         F.when(text != "", text).otherwise(href).alias("label"),
+        _shown(F.col("pos"), limit),
         "has_more",
     )

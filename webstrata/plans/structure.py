@@ -36,8 +36,10 @@ def _finish(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def _with_analysis(rows: DataFrame, responses: DataFrame | None) -> DataFrame:
     if responses is not None:
-        return rows.join(A.parse_responses(A.select_responses(responses)), "url", "left")
-    schema = A.parse_responses(rows.select("url", F.lit(None).cast("string").alias("content"))).schema
+        # Parsed after the join: a page without any answer row ends in the fallback record too.
+        answers = A.select_responses(responses).withColumnRenamed("content", "answer")
+        return A.parse_responses(rows.join(answers, "url", "left"), "answer")
+    schema = A.parse_responses(rows.select("url", F.lit(None).cast("string").alias("answer")), "answer").schema
     return rows.select(
         "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "url"]
     )

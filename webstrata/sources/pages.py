@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.session import spread
-
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, url, html)`` from parquet; unused columns are never read."""
-    return spread(spark.read.schema(PAGE_SCHEMA).parquet(path), "page_id")
+    return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
 def read_html_files(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.session import spread
 from webstrata.sources.pages import read_pages
 
 
@@ -64,7 +63,7 @@ def body_variants(spark: SparkSession, sf: str) -> DataFrame:
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
     """Capture log: every event is one attempt on the page ``event_id mod pages``."""
     n = page_count(spark, sf)
-    e = spread(table(spark, sf, "events"), "event_id").select(
+    e = table(spark, sf, "events").select(
         "event_id", "user_id", "event_type", "ts",
         (F.col("event_id") % n).alias("page_id"),
         (F.floor(F.col("event_id") / n) + 1).cast("int").alias("attempt"),
@@ -178,8 +177,7 @@ def table_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
     orders = table(spark, sf, "orders").withColumn("page_id", F.floor(key / 10).cast("bigint"))
     rows = (
-        spread(orders, "page_id")
-        .select("page_id", key.alias("k"), F.concat(F.lit("<tr>"), row, F.lit("</tr>")).alias("row"))
+        orders.select("page_id", key.alias("k"), F.concat(F.lit("<tr>"), row, F.lit("</tr>")).alias("row"))
         .groupBy("page_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]), "\n").alias("rows"))
     )
@@ -255,7 +253,7 @@ def _answer(k: Column) -> Column:
 
 def customer_responses(spark: SparkSession, sf: str) -> DataFrame:
     """One answer per customer, keyed ``c_custkey``."""
-    customers = spread(table(spark, sf, "customer"), "c_custkey")
+    customers = table(spark, sf, "customer")
     return customers.select("c_custkey", _answer(F.col("c_custkey")).alias("content"))
 
 

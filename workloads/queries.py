@@ -120,7 +120,8 @@ def paragraphs(spark, sf):
 @query
 def first_paragraphs(spark, sf):
     texts = H.first_paragraphs(H.paragraph_texts(F.col("p_pieces")))
-    return explode_rows(_marked(D.pages(spark, sf)), ["page_id"], texts, "text")
+    rows = explode_rows(_marked(D.pages(spark, sf)), ["page_id"], texts, "text")
+    return rows.withColumn("shown", F.col("pos") < 3)
 
 
 @query
@@ -132,7 +133,7 @@ def links(spark, sf):
 @query
 def display_links(spark, sf):
     found = _marked(D.link_pages(spark, sf)).select("page_id", H.links(mk()).alias("links"))
-    return Q.display_links(found, ["page_id"])
+    return Q.display_links(found, ["page_id"], limit=Q.SHOWN_LINKS)
 
 
 @query
@@ -180,7 +181,7 @@ def page_signals(spark, sf):
         "number_of_scripts", "has_article", "has_main", "total_html_size", "visible_text_length",
         F.array_join("framework_hints", ",").alias("framework_hints"),
         F.size("heading_hierarchy").cast("bigint").alias("headings"),
-        F.get("first_3_paragraphs", F.lit(0)).alias("first_paragraph"),
+        F.get("first_paragraphs", F.lit(0)).alias("first_paragraph"),
     )
 
 
@@ -263,11 +264,9 @@ def table_cells_long(spark, sf):
 
 @query
 def prompt_rows(spark, sf):
-    made = A.prompts(D.meta_pages(spark, sf))
+    made = A.prompts(D.meta_pages(spark, sf), rules="Describe the page.\n")
     return made.select(
-        "url",
-        F.split("prompt", "\n")[1].alias("title_line"),
-        F.length("prompt").cast("bigint").alias("prompt_length"),
+        "url", F.split("prompt", "\n")[1].alias("title_line"), F.md5("prompt").alias("prompt_md5"), "is_cut"
     )
 
 
@@ -443,7 +442,10 @@ def report_analysis(spark, sf):
 @query
 def report_preview(spark, sf):
     return D.table(spark, sf, "documents").select(
-        "doc_id", Q.preview(F.col("text")).alias("preview"), Q.ui_preview(F.col("text")).alias("ui_preview")
+        "doc_id",
+        Q.preview(F.col("text"), Q.PREVIEW_CHARS).alias("preview"),
+        Q.ui_preview(F.col("text"), Q.UI_PREVIEW_CHARS).alias("ui_preview"),
+        F.md5(Q.preview(F.col("text"))).alias("whole_md5"),
     )
 
 
@@ -458,20 +460,20 @@ def markup_escape(spark, sf):
 
 @query
 def report_headings(spark, sf):
-    return Q.headings(P.parse(D.heading_pages(spark, sf), ["page_id"]), ["page_id"])
+    return Q.headings(P.parse(D.heading_pages(spark, sf), ["page_id"]), ["page_id"], limit=Q.SHOWN_HEADINGS)
 
 
 @query
 def report_tables(spark, sf):
-    lines = Q.table_lines(Q.report_tables(_order_tables(spark, sf), ["page_id"]), ["page_id"])
-    return lines.select(
-        "page_id", "table_index", "row_index", "is_header", "spans_row", F.array_join("cells", "|").alias("cells")
+    laid_out = Q.report_tables(_order_tables(spark, sf), ["page_id"], limit=Q.SHOWN_TABLES)
+    return Q.table_lines(laid_out, ["page_id"]).select(
+        "page_id", "table_index", "shown", "row_index", "is_header", "spans_row", F.array_join("cells", "|").alias("cells")
     )
 
 
 @query
 def report_widths(spark, sf):
-    return Q.table_widths(Q.report_tables(_order_tables(spark, sf), ["page_id"]), ["page_id"]).withColumn(
+    return Q.table_widths(Q.report_tables(_order_tables(spark, sf), ["page_id"], limit=Q.SHOWN_TABLES), ["page_id"]).withColumn(
         "width", F.round("width", 6)
     )
 
