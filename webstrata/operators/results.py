@@ -86,19 +86,18 @@ def page_summary(results: DataFrame, keep: list[str], mode: Column | None = None
     )
 
 
-def latest_per_url(history: DataFrame, order: list[str], key: str = "url", wide: bool = False) -> DataFrame:
+def latest_per_url(history: DataFrame, order: list[str], key: str = "url") -> DataFrame:
     """The newest row of every URL by ``order``, whose values must tell its rows apart.
 
-    Aggregation instead of a window: every map task reduces a hot URL to one row. With ``wide``
-    the payload stays out of the aggregation and is fetched by an equi join on the winner.
+    Hash aggregates with partial results find the winner on the order columns alone, one after the
+    other, so a hot URL is one row per task and no payload is sorted; the row is then fetched by
+    an equi join. Rows without URL, or with a null in an order column, never win.
     """
-    rank = F.struct(*order)
-    if not wide:
-        rest = [c for c in history.columns if c != key]
-        newest = history.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("row"))
-        return newest.select(key, "row.*")
-    winners = history.groupBy(key).agg(F.max(rank).alias("newest"))
-    return history.join(winners.select(key, "newest.*"), [key, *order])
+    light = history.select(key, *order).where(F.col(key).isNotNull())
+    for column in order:
+        best = light.groupBy(key).agg(F.max(column).alias("__newest"))
+        light = light.join(best, key).where(F.col(column) == F.col("__newest")).drop("__newest")
+    return history.join(light.distinct(), [key, *order], "left_semi")
 
 
 def with_cached(requests: DataFrame, history: DataFrame, order: list[str], key: str = "url") -> DataFrame:

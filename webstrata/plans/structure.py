@@ -19,6 +19,9 @@ from webstrata.operators import results as R
 from webstrata.operators import strategy as S
 from webstrata.session import written
 
+#: Up to so many URLs the winning attempts are broadcast.
+BROADCAST_ATTEMPTS = 500_000
+
 RESULT_COLUMNS = [
     "url", "title", "clean_text", "content_length", "headings", "paragraphs", "links", "tables",
     "scrape_method",
@@ -58,31 +61,30 @@ def structure_captures(
     captures: DataFrame,
     responses: DataFrame | None = None,
     rules: Sequence[Column] = (),
-    write_extracts: bool = False,
 ) -> DataFrame:
     """Results for a capture log, one row per URL with a usable attempt.
 
     Signals and analysis belong to the first usable attempt; where the strategy asks for
-    rendering, text and structure come from the rendered attempt if there is one. At most these
-    two bodies per URL pass the semi join on (url, attempt), a key that a URL with very many
-    attempts does not skew. With ``write_extracts`` the structured attempts are written once to
-    the shared folder, so no body is structured again for its signals.
+    rendering, text and structure come from the rendered attempt if there is one. Bodies are read
+    twice: once to classify every attempt, which writes light rows, and once for the at most two
+    attempts per URL that can win. Up to ``BROADCAST_ATTEMPTS`` winners are sent to the scans, so
+    that no losing body moves; beyond it they meet in a semi join on (url, attempt), a key that a
+    URL with very many attempts does not skew. What they yield is written once, too.
     """
-    classified = C.classify(captures)
-    best = C.best_attempts(classified).where(F.col("first_choice") < 2**34)
+    outcomes = written(C.classify(captures).select("url", "method", "attempt", "outcome"), "outcomes")
+    best = written(C.best_attempts(outcomes).where(F.col("first_choice") < 2**34), "best-attempts")
     wanted = best.select(
         "url",
         F.explode_outer(
             F.array_distinct(F.array_compact(F.array("first_choice", "rendered_choice")))
         ).alias("choice"),
     )
-    usable = classified.where("outcome = 'ok'").select(
-        "url", "method", "body", C.priority().alias("choice")
-    )
-    candidates = usable.join(wanted, ["url", "choice"], "left_semi")
-    extracts = P.extract(candidates, ["url", "method", "choice"], "body")
-    if write_extracts:
-        extracts = written(extracts, "extracts")
+    if best.count() <= BROADCAST_ATTEMPTS:
+        wanted = F.broadcast(wanted)
+    # Choices of usable attempts only are wanted, and a choice names one attempt of its URL.
+    bodies = captures.select("url", "method", "body", C.priority(F.lit(True)).alias("choice"))
+    candidates = bodies.join(wanted, ["url", "choice"], "left_semi")
+    extracts = written(P.extract(candidates, ["url", "method", "choice"], "body"), "extracts")
     signals = extracts.select(
         "url", F.col("choice").alias("first_choice"), "number_of_tables", "framework_hints"
     )
@@ -100,6 +102,7 @@ def structure_captures(
 
 def capture_failures(captures: DataFrame) -> DataFrame:
     """``(url, outcome, api_status, message)`` of URLs without any usable attempt."""
-    return C.select_attempts(C.classify(captures)).where("outcome <> 'ok'").select(
+    light = C.classify(captures).select("url", "method", "attempt", "outcome", "api_status", "message")
+    return C.select_attempts(written(light, "outcomes")).where("outcome <> 'ok'").select(
         "url", "outcome", "api_status", "message"
     )

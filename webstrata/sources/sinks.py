@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.operators import tables as T
+from webstrata.session import written
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -19,14 +22,21 @@ def _csv(df: DataFrame, path: str) -> None:
     )
 
 
-def write_links_csv(results: DataFrame, path: str) -> None:
-    """``text, href`` of every link; the header is written even without rows."""
-    _csv(T.link_rows(results, []).select("text", "href"), path)
+def write_links_csv(results: DataFrame, path: str, keep: Sequence[str] = ("url",)) -> None:
+    """``keep, text, href`` of every link; ``keep`` names the page. The header is written even without rows."""
+    _csv(T.link_rows(results, list(keep)).select(*keep, "text", "href"), path)
+
 
+def write_tables_csv(
+    results: DataFrame, path: str, width: int | None = None, keep: Sequence[str] = ("url",)
+) -> None:
+    """``keep, table_index, row_index, col_1 .. col_n``; an empty input still yields ``col_1``.
 
-def write_tables_csv(results: DataFrame, path: str, width: int | None = None) -> None:
-    """``table_index, row_index, col_1 .. col_n``; an empty input still yields ``col_1``."""
-    _csv(T.wide_rows(T.table_rows(results, []), [], width), path)
+    Without ``width`` the rows are written once to the shared folder, which gives the widest row,
+    so nothing is structured twice.
+    """
+    rows = T.table_rows(results, list(keep))
+    _csv(T.wide_rows(rows if width else written(rows, "table-rows"), list(keep), width), path)
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -10,9 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from webstrata.operators.results import latest_per_url
 
 
-def page_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
-    """A file stream; ``pattern`` picks the files of a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def page_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file stream over a table, be it one file or a folder of parts.
+
+    The path is given as a pattern that only it matches: a plain path would have to be a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def ingest(
@@ -21,8 +24,12 @@ def ingest(
     """Append the transformed rows of every micro-batch to ``out/batch_id=N``.
 
     Each batch overwrites its own folder, so a replay after a lost driver leaves no duplicates,
-    and no batch ever rewrites older results.
+    and no batch ever rewrites older results. An empty batch -1 gives the folder its schema before
+    anything arrives.
     """
+    nothing = stream.sparkSession.createDataFrame([], stream.schema)
+    transform(nothing).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
@@ -35,8 +42,8 @@ def ingest(
 
 
 def latest_results(spark: SparkSession, out: str, order: list[str]) -> DataFrame:
-    """Newest result per URL over all batches; later batches win ties."""
-    return latest_per_url(spark.read.parquet(out), [*order, "batch_id"])
+    """Newest result per URL over all batches: the latest batch, and within it by ``order``."""
+    return latest_per_url(spark.read.parquet(out), ["batch_id", *order])
 
 
 def compact(spark: SparkSession, out: str, target: str, order: list[str]) -> None:

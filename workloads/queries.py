@@ -20,6 +20,7 @@ from webstrata.operators import strategy as S
 from webstrata.operators import tables as T
 from webstrata.plans.structure import capture_failures, structure_captures, structure_pages
 from webstrata.session import shared_folder
+from webstrata.sources import sinks
 from webstrata.sources.sinks import as_json
 from webstrata.streaming import ingest as I
 from workloads import inputs as D
@@ -64,16 +65,14 @@ def capture_outcome(spark, sf):
 
 @query
 def attempt_select(spark, sf):
-    return C.select_attempts(C.classify(D.fetches(spark, sf))).select(
-        "url", "method", _big("attempt"), "outcome", "message",
-        F.length("body").cast("bigint").alias("body_length"),
-    )
+    light = C.classify(D.fetches(spark, sf)).withColumn("body_md5", F.md5("body")).drop("body")
+    return C.select_attempts(light).select("url", "method", _big("attempt"), "outcome", "message", "body_md5")
 
 
 @query
 def adaptive_reselect(spark, sf):
     needs = D.table(spark, sf, "pages").select("url", (F.col("page_id") % 2 == 0).alias("requires_rendered"))
-    return C.reselect(C.classify(D.fetches(spark, sf)), needs).select("url", "method", _big("attempt"))
+    return C.reselect(C.classify(D.fetches(spark, sf)).drop("body"), needs).select("url", "method", _big("attempt"))
 
 
 @query
@@ -409,6 +408,64 @@ def links_export(spark, sf):
     return T.link_rows(P.parse(D.link_pages(spark, sf), ["page_id"]), ["page_id"])
 
 
+@query
+def links_csv(spark, sf):
+    """Links written as CSV with the page they belong to, and read back."""
+    path = shared_folder(spark, "links-csv")
+    sinks.write_links_csv(P.parse(D.link_pages(spark, sf), ["page_id"]), path, ["page_id"])
+    return spark.read.schema("page_id bigint, text string, href string").csv(path, header=True, escape='"', multiLine=True).fillna("", ["text"])
+
+
+@query
+def tables_csv(spark, sf):
+    """Tables written as CSV of the widest row with the page they belong to, and read back."""
+    path = shared_folder(spark, "tables-csv")
+    sinks.write_tables_csv(_order_tables(spark, sf), path, keep=["page_id"])
+    back = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    cells = F.array_join(F.array(*[c for c in back.columns if c.startswith("col_")]), "|")
+    return back.select(*[F.col(c).cast("bigint") for c in ("page_id", "table_index", "row_index")], cells.alias("cells"))
+
+
+@query
+def results_parquet(spark, sf):
+    """Nested results written as Parquet and read back."""
+    path = shared_folder(spark, "results")
+    sinks.write_results(_results(spark, sf), path)
+    return spark.read.parquet(path).select(
+        "page_id", "url", "title", F.md5("clean_text").alias("text_md5"), "scrape_method", "strategy.scraping_mode",
+        F.size("links").cast("bigint").alias("links_count"), F.size("paragraphs").cast("bigint").alias("paragraphs_count"),
+    )
+
+
+@query
+def error_catalog(spark, sf):
+    """Every failure class with the status and text callers see, and how many attempts ended in it."""
+    seen = C.classify(D.fetches(spark, sf)).groupBy(F.col("outcome").alias("error_class")).agg(F.count(F.lit(1)).alias("attempts"))
+    return C.error_catalog(spark).join(seen, "error_class", "left").select(
+        "error_class", _big("api_status"), "default_message", F.coalesce("attempts", F.lit(0)).alias("attempts")
+    )
+
+
+def _signups(spark, sf):
+    """Results that exist already: one per signup event, on the page of the event's user."""
+    n = D.page_count(spark, sf)
+    made = D.table(spark, sf, "events").where("event_type = 'signup'").select(
+        (F.col("user_id") % n).alias("page_id"), "event_id", F.col("ts").alias("fetched_at")
+    )
+    return made.join(D.table(spark, sf, "pages").select("page_id", "url"), "page_id").drop("page_id")
+
+
+@query
+def cached_results(spark, sf):
+    asked = D.table(spark, sf, "pages").select("page_id", "url")
+    return R.with_cached(asked, _signups(spark, sf), ["fetched_at", "event_id"]).select("page_id", "url", "event_id")
+
+
+@query
+def not_captured(spark, sf):
+    return R.not_captured(D.table(spark, sf, "pages").select("page_id", "url"), _signups(spark, sf))
+
+
 @query
 def latest_per_url(spark, sf):
     n = D.page_count(spark, sf)
@@ -484,23 +541,27 @@ def report_widths(spark, sf):
 @query
 def corpus_rollup(spark, sf):
     done = _results(spark, sf)
+    grade = F.coalesce("analysis.compatibility_grade", F.lit("none")).alias("grade")
     summary = R.page_summary(
-        done, [O.host(F.col("url")).alias("host")], F.coalesce("strategy.scraping_mode", F.lit("none"))
+        done, [O.host(F.col("url")).alias("host"), grade], F.coalesce("strategy.scraping_mode", F.lit("none"))
     )
-    return O.corpus_rollup(summary, ["host", "mode"], ["content_length", "paragraphs_count", "links_count"])
+    return O.corpus_rollup(summary, ["host", "mode", "grade"])
 
 
 @query
 def stream_ingest(spark, sf):
-    """Pages arrive as a file stream; results are appended per batch and read back newest first."""
-    folder = shared_folder(spark, "ingest")
-    source = I.page_stream(spark, sf, "page_id bigint, url string, html string", "pages.parquet")
-    I.ingest(
-        source,
-        lambda batch: R.merge(P.choose(P.extract(batch, ["page_id", "url"]))).select("page_id", "url", "title", "content_length"),
-        f"{folder}/results",
-        f"{folder}/state",
-    ).awaitTermination()
+    """Pages arrive as a file stream, every third one again with a new title; the newest result per URL is read back."""
+    folder, schema = shared_folder(spark, "ingest"), "page_id bigint, url string, html string"
+    pages = D.pages(spark, sf)
+    again = pages.where("page_id % 3 = 0").withColumn("html", F.regexp_replace("html", "<title>[^<]*</title>", "<title>Second visit</title>"))
+    for arriving in (pages, again):
+        arriving.write.mode("append").parquet(f"{folder}/pages")
+        I.ingest(
+            I.page_stream(spark, f"{folder}/pages", schema),
+            lambda batch: R.merge(P.choose(P.extract(batch, ["page_id", "url"]))).select("page_id", "url", "title", "content_length"),
+            f"{folder}/results",
+            f"{folder}/state",
+        ).awaitTermination()
     return I.latest_results(spark, f"{folder}/results", ["page_id"]).select("url", "page_id", "title", "content_length")
 
 
@@ -509,7 +570,7 @@ def stream_suppress(spark, sf):
     """Submissions from the event stream, repeats of a user's page left out."""
     folder = shared_folder(spark, "suppress")
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint"
-    source = I.page_stream(spark, sf, schema, "events.parquet").select(
+    source = I.page_stream(spark, f"{sf}/events.parquet", schema).select(
         F.concat(F.lit("https://example.org/u/"), F.col("user_id").cast("string")).alias("url"),
         F.col("ts").cast("timestamp").alias("fetched_at"),
     )
