@@ -66,6 +66,22 @@ def test_html_file_sources(spark, tmp_path):
     assert sources.read_html_files(spark, str(tmp_path)).count() == 2
 
 
+def test_character_sets(spark, tmp_path):
+    title = "<title>één \u2019 ö</title>"
+    files = {
+        "bom8": b"\xef\xbb\xbf" + title.encode(), "plain": title.encode(),
+        "meta": ('<meta charset="windows-1252">' + title).encode("cp1252"),
+        "http": ("<META http-equiv=Content-Type content='text/html; charset=ISO-8859-1'>" + title).encode("cp1252"),
+        "le": b"\xff\xfe" + title.encode("utf-16-le"), "be": b"\xfe\xff" + title.encode("utf-16-be"),
+        "utf": ("<meta charset=utf-8>" + title).encode(),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.html").write_bytes(data)
+    rows = sources.read_html_bytes(spark, str(tmp_path)).collect()
+    assert len(rows) == len(files) and all(r.html.endswith(title) for r in rows), rows
+    assert P.parse(sources.read_html_bytes(spark, str(tmp_path)), ["url"]).select("title").distinct().collect() == [("één \u2019 ö",)]
+
+
 def test_page_scan_reads_only_what_is_used(spark):
     plan = P.parse(sources.read_pages(spark, "/root/testdata/sf0.001/pages.parquet"), ["page_id"])
     text = plan.select("title")._jdf.queryExecution().executedPlan().toString()

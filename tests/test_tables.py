@@ -135,3 +135,12 @@ def test_ancestor_marks_behind_a_quoted_bracket(pages_of):
     html = f'<html><body><div title="a > b" class="sidebar">{table}</div></body></html>'
     assert P.parse(pages_of(html), ["page_id"]).first().tables == []
     assert len(P.parse(pages_of(html.replace("sidebar", "plain")), ["page_id"]).first().tables) == 1
+
+
+def test_many_unclosed_tags_take_linear_time():
+    import time
+
+    start = time.process_time()
+    codes = ["p"] + ["b"] * 20000 + ["div", "/span"] * 20000 + ["table", "tr", "td", "/table"]
+    assert [len(t["rows"]) for t in B.table_spans(codes)] == [1]
+    assert time.process_time() - start < 5

@@ -44,6 +44,8 @@ _BLOCKS = (
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main "
     "menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
+#: Elements without content.
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
 _BLOCK_TAG = rf"(?is)</?(?:{'|'.join(_BLOCKS)}){_END}{_REST}>"
 _ANCHOR = rf"(?is)<a{_END}{_REST}>.*?(?=</?a[\s/>]|\z)"
 _HIDDEN = ["noscript", "header", "footer", "nav", "svg", "template", "iframe"]

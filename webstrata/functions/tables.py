@@ -9,6 +9,7 @@ the same test (``operators.nodes``) would have to bring every page back together
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webstrata.functions.html import _ANCHOR, _REST, attribute, inner_text
+from webstrata.functions.html import _ANCHOR, _BLOCKS, _REST, VOID, attribute, inner_text
 from webstrata.functions.memo import per_context
 from webstrata.functions.text import RECORD, UNIT, bind, contains_any, split_at, word_tokens
 
@@ -47,12 +48,8 @@ SPANS = T.ArrayType(
     .add("shadowed", "boolean")
     .add("rows", T.ArrayType(T.ArrayType(_CELL)))
 )
-_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = set(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
-    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p "
-    "pre section summary table tbody td tfoot th thead tr ul".split()
-)
+_VOID = set(VOID)
+_BLOCK = set(_BLOCKS) - {"caption", "head"}
 _RANK = {"td": 1, "th": 1, "caption": 1, "tr": 2, "thead": 3, "tbody": 3, "tfoot": 3, "table": 4}
 _SECTIONS = ("thead", "tbody", "tfoot")
 
@@ -64,12 +61,16 @@ def table_spans(codes: list[str]) -> list[dict]:
     the cells of its rows as token ranges; nested rows and cells belong to every outer one too.
     """
     stack: list[tuple[str, bool, object]] = []
+    opened: Counter = Counter()  # how many elements of a name are on the stack
     found: list[dict] = []
 
     def close(names, at: int, barrier) -> None:
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
-                for _, _, item in stack[k:]:
+                for tag, _, item in stack[k:]:
+                    opened[tag] -= 1
                     for cell in item if isinstance(item, tuple) else ():
                         cell["stop"] = at
                 del stack[k:]
@@ -117,6 +118,7 @@ def table_spans(codes: list[str]) -> list[dict]:
             item = {"start": at, "shadowed": shadowed, "rows": []}
             found.append(item)
         stack.append((name, code.endswith("!"), item))
+        opened[name] += 1
     return found
 
 

@@ -14,7 +14,6 @@ from webstrata.functions import html as H
 from webstrata.functions import tables as T
 from webstrata.functions.text import explode_rows
 
-VOID = "area base br col embed hr img input link meta param source track wbr".split()
 OPTIONAL_END = ["p", "li", "tr", "td", "th", "dt", "dd", "option"]
 
 
@@ -28,7 +27,7 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     name = T.tag_name(F.col("piece"))
     tokens = (
         pieces.withColumn("name", name)
-        .where((F.col("name") != "") & ~F.col("name").isin(VOID))
+        .where((F.col("name") != "") & ~F.col("name").isin(H.VOID))
         .select(
             key,
             "pos",

@@ -24,6 +24,9 @@ def _label_rows(df: DataFrame, keep: list[str], rows: list[tuple[str, Column]],
     return explode_rows(df, keep, pairs, "row").select(*keep, "row.*")
 
 
+# Fixed values below: the labels of report rows.
+
+
 def statistics(results: DataFrame, keep: list[str]) -> DataFrame:
     """``(statistic, value)`` rows of the summary section."""
     full_tables = F.filter(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), lambda t: F.size(t) > 0)

@@ -38,7 +38,8 @@ MODE_WORDS = [
     ("article", ["article", "editorial", "paper"]),
     ("table_heavy", ["table", "financial"]),
 ]
-SHOP_TYPES = ["e-commerce", "ecommerce", "store", "shop"]
+SHOP_TYPES = dict(MODE_WORDS)["ecommerce"]
+# Frameworks whose pages need rendering.
 RENDERED_FRAMEWORKS = ["react", "next.js", "vue.js", "nuxt.js", "angular", "svelte"]
 MODES = [row[0] for row in DEFINITIONS]
 
