@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,22 @@ def as_json(results: DataFrame, keep: list[str]) -> DataFrame:
 def write_json(results: DataFrame, path: str) -> None:
     """Results as JSON lines."""
     results.write.mode("overwrite").json(path)
+
+
+def write_html_files(pages: DataFrame, folder: str) -> int:
+    """One file ``<page_id>.html`` per row of ``pages(page_id, html, charset)`` below a shared folder.
+
+    ``charset`` is a codec name; characters it lacks become character references. Every task
+    writes its own files, and a retry writes the same ones again. Returns their number.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for page_id, html, charset in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                with store.open_output_stream(f"{path}/{page_id}.html") as out:
+                    out.write((html or "").encode(charset, "xmlcharrefreplace"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    done = pages.select("page_id", "html", "charset").mapInArrow(write, "n bigint")
+    return done.agg({"n": "sum"}).first()[0] or 0

@@ -21,6 +21,7 @@ from webstrata.operators import tables as T
 from webstrata.plans.structure import capture_failures, structure_captures, structure_pages
 from webstrata.session import shared_folder
 from webstrata.sources import sinks
+from webstrata.sources.pages import read_html_bytes
 from webstrata.sources.sinks import as_json
 from webstrata.streaming import ingest as I
 from workloads import inputs as D
@@ -437,6 +438,23 @@ def results_parquet(spark, sf):
     )
 
 
+@query
+def html_dumps(spark, sf):
+    """Pages written as single files in three character sets, and read back by what each file says of itself."""
+    folder = shared_folder(spark, "dumps")
+    k = F.col("page_id") % 3
+    meta = F.when(k == 1, F.replace("html", F.lit("<head>"), F.lit('<head><meta charset="windows-1252">')))
+    pages = D.pages(spark, sf).select(
+        "page_id", F.coalesce(meta, F.col("html")).alias("html"),
+        F.when(k == 0, "utf-8").when(k == 1, "cp1252").otherwise("utf-16").alias("charset"),
+    )
+    sinks.write_html_files(pages, folder)
+    found = P.parse(read_html_bytes(spark, folder), ["url"])
+    return found.select(
+        F.regexp_extract("url", r"(\d+)\.html$", 1).cast("bigint").alias("page_id"), "title", F.size("paragraphs").cast("bigint").alias("paragraphs")
+    )
+
+
 @query
 def error_catalog(spark, sf):
     """Every failure class with the status and text callers see, and how many attempts ended in it."""
