@@ -125,17 +125,20 @@ def choose(extracted: DataFrame, flags: str | None = None) -> DataFrame:
     ``flags`` names a struct column with ``prioritize_headings``, ``prioritize_tables`` and
     ``use_main_text``; without one, or where it is NULL, the defaults apply.
     """
+    return extracted.withColumns(_chosen(flags)).drop("heading_items", "judged_tables", "content")
+
+
+@per_context
+def _chosen(flags: str | None) -> dict[str, Column]:
     def flag(name: str, default: bool) -> Column:
         return F.lit(default) if flags is None else F.coalesce(F.col(f"{flags}.{name}"), F.lit(default))
 
     all_levels, all_tables = flag("prioritize_headings", False), flag("prioritize_tables", False)
-    return extracted.withColumns(
-        {
-            "headings": H.heading_texts(F.col("heading_items"), all_levels),
-            "tables": T.chosen_tables(F.col("judged_tables"), all_tables),
-            "extracted": F.when(flag("use_main_text", True), F.col("content")),
-        }
-    ).drop("heading_items", "judged_tables", "content")
+    return {
+        "headings": H.heading_texts(F.col("heading_items"), all_levels),
+        "tables": T.chosen_tables(F.col("judged_tables"), all_tables),
+        "extracted": F.when(flag("use_main_text", True), F.col("content")),
+    }
 
 
 def parse(pages: DataFrame, keep: list[str], html: str = "html", flags: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.memo import per_context
 from webstrata.functions.text import or_default
 from webstrata.operators.capture import RENDERED
 
@@ -27,23 +28,22 @@ def merge(chosen: DataFrame) -> DataFrame:
 
     An extracted title wins even when it is only ``Untitled``.
     """
-    text = F.col("extracted.text")
-    title = F.col("extracted.title")
-    clean = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.array_join("paragraphs", " "))
     return (
-        chosen.withColumns(
-            {
-                "clean_text": clean,
-                "title": F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(
-                    F.coalesce("parsed_title", F.lit(""))
-                ),
-            }
-        )
+        chosen.withColumns(_merged())
         .withColumn("content_length", F.length("clean_text").cast("bigint"))
         .drop("extracted", "parsed_title")
     )
 
 
+@per_context
+def _merged() -> dict[str, Column]:
+    text, title = F.col("extracted.text"), F.col("extracted.title")
+    return {
+        "clean_text": F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.array_join("paragraphs", " ")),
+        "title": F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.coalesce("parsed_title", F.lit(""))),
+    }
+
+
 def decision_steps(strategy: Column, website_type: Column, method: Column) -> Column:
     """``array<struct<title,status,description>>`` of three or four steps; empty without strategy."""
     def step(title: Column, description: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.functions.memo import per_context
 from webstrata.functions.text import contains_any, strip
 
 # Mode, extraction order, main text on, tables / links / headings first.
@@ -84,19 +85,22 @@ def scraping_mode(
     builtin = F.when(table_heavy(kind, wanted, F.coalesce(table_confidence, F.lit(0.0)), count), "table_heavy")
     for mode, words in MODE_WORDS:
         builtin = builtin.when(contains_any(combined, words), mode)
-    return F.coalesce(*[F.when(r.isin(MODES), r) for r in rules], builtin.otherwise("generic"))
+    return _first_known(rules, builtin.otherwise("generic"))
 
 
-def assign_strategy(pages: DataFrame, rules: Sequence[Column] = (), has: str = "has_analysis") -> DataFrame:
-    """Add the nullable struct ``strategy`` to rows with analysis fields and signals."""
-    mode = scraping_mode(
-        F.col("website_type"), F.col("recommended_strategy"), F.col("table_confidence"),
-        F.col("number_of_tables"), rules,
-    )
-    registry = F.broadcast(definitions(pages.sparkSession))
-    joined = pages.withColumn("scraping_mode", F.when(F.coalesce(F.col(has), F.lit(False)), mode)).join(
-        registry, "scraping_mode", "left"
+def _first_known(rules: Sequence[Column], builtin: Column) -> Column:
+    return F.coalesce(*[F.when(r.isin(MODES), r) for r in rules], builtin) if rules else builtin
+
+
+@per_context
+def _builtin_mode() -> Column:
+    return scraping_mode(
+        F.col("website_type"), F.col("recommended_strategy"), F.col("table_confidence"), F.col("number_of_tables")
     )
+
+
+@per_context
+def _strategy_fields() -> Column:
     fields = F.struct(
         "scraping_mode", "extraction_priority", "use_main_text", "use_parser", "prioritize_tables",
         "prioritize_links", "prioritize_headings",
@@ -104,6 +108,14 @@ def assign_strategy(pages: DataFrame, rules: Sequence[Column] = (), has: str = "
             "requires_rendered"
         ),
     )
-    return joined.select(
-        *pages.columns, F.when(F.col("scraping_mode").isNotNull(), fields).alias("strategy")
+    return F.when(F.col("scraping_mode").isNotNull(), fields).alias("strategy")
+
+
+def assign_strategy(pages: DataFrame, rules: Sequence[Column] = (), has: str = "has_analysis") -> DataFrame:
+    """Add the nullable struct ``strategy`` to rows with analysis fields and signals."""
+    mode = _first_known(rules, _builtin_mode())
+    registry = F.broadcast(definitions(pages.sparkSession))
+    joined = pages.withColumn("scraping_mode", F.when(F.coalesce(F.col(has), F.lit(False)), mode)).join(
+        registry, "scraping_mode", "left"
     )
+    return joined.select(*pages.columns, _strategy_fields())

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.memo import per_context
 from webstrata.operators import analysis as A
 from webstrata.operators import capture as C
 from webstrata.operators import pages as P
@@ -30,11 +31,14 @@ RESULT_COLUMNS = [
 
 def _finish(rows: DataFrame, keep: list[str]) -> DataFrame:
     merged = R.merge(P.choose(rows, "strategy"))
+    return merged.select(*keep, *RESULT_COLUMNS, *_decisions())
+
+
+@per_context
+def _decisions() -> list[Column]:
     steps = R.decision_steps(F.col("strategy"), F.col("website_type"), F.col("scrape_method"))
     analysis = F.when(F.col("has_analysis"), F.struct(*A.ANALYSIS_FIELDS))
-    return merged.select(
-        *keep, *RESULT_COLUMNS, analysis.alias("analysis"), "strategy", steps.alias("steps")
-    )
+    return [analysis.alias("analysis"), F.col("strategy"), steps.alias("steps")]
 
 
 def _with_analysis(rows: DataFrame, responses: DataFrame | None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.functions.memo import per_context
 from webstrata.sources.pages import read_pages
 
 
@@ -209,8 +210,10 @@ STRATEGY_TEXTS = ["", "Table extraction", "API reference docs", "Catalog crawl",
 FRAMEWORKS = ["React", "Unknown", "Standard HTML/CSS", "WordPress"]
 
 
-def _answer(k: Column) -> Column:
-    """JSON answer of customer ``k`` in one of the forms models return."""
+@per_context
+def _answer() -> Column:
+    """JSON answer of a customer in one of the forms models return."""
+    k = F.col("c_custkey")
     v, part = k % 10, F.floor(k / 10) % 4
 
     def quoted(c: Column) -> Column:
@@ -254,7 +257,7 @@ def _answer(k: Column) -> Column:
 def customer_responses(spark: SparkSession, sf: str) -> DataFrame:
     """One answer per customer, keyed ``c_custkey``."""
     customers = table(spark, sf, "customer")
-    return customers.select("c_custkey", _answer(F.col("c_custkey")).alias("content"))
+    return customers.select("c_custkey", _answer().alias("content"))
 
 
 def page_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,7 +268,7 @@ def page_responses(spark: SparkSession, sf: str) -> DataFrame:
         (k % n).alias("page_id"),
         (F.floor(k / n) + 1).cast("int").alias("attempt"),
         F.when(k % 4 == 1, 503).otherwise(200).alias("status_code"),
-        _answer(k).alias("content"),
+        _answer().alias("content"),
         "c_custkey",
     )
     return answers.join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
