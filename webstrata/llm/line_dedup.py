@@ -27,6 +27,8 @@ WIDTH = 6
 #: Bands and hashes per band: a pair at similarity 0.8 shares a band with probability 0.996.
 BANDS, ROWS = 14, 5
 PERCENT = 80
+#: 64-bit words of the bits that bound the difference of two lines.
+WORDS = 8
 #: Characters whose shingles are hashed together.
 BLOCK = 1 << 19
 #: Up to so many ids are sent to all tasks; beyond it they are joined by a shuffle.
@@ -119,13 +121,48 @@ def similarity(x: str, y: str, width: int = WIDTH) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of keys (a, b) whose lines reach ``percent``; texts are picked from rows (norm, keys)."""
-    wanted = written(pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct(), "wanted-lines")
-    n = wanted.count()
+def line_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """``key, norm, n, p0 ..`` of the wanted lines: text, number of shingles, and bits that flip once per shingle.
+
+    Two shingle sets differ in at least as many shingles as their bits differ.
+    """
+    keys = written(keys.distinct(), "wanted-lines")
     lines = docs.select(F.explode(F.arrays_zip("keys", "norm")).alias("line")).select("line.keys", "line.norm").withColumnRenamed("keys", "key")
-    picked = lines.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "key").groupBy("key", "norm").agg(F.lit(1)).select("key", "norm")
-    picked = written(picked, "line-texts")
+    picked = lines.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key").groupBy("key", "norm").agg(F.lit(1)).select("key", "norm")
+    schema = pa.schema([("key", pa.int64()), ("norm", pa.string()), ("n", pa.int64())] + [(f"p{k}", pa.int64()) for k in range(WORDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 1000):
+            sizes, bits = [], []
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                h = np.array([key], np.int64).view(np.uint64)
+                if len(chars) >= WIDTH:
+                    h = np.zeros(len(chars) - WIDTH + 1, np.uint64)
+                    for k in range(WIDTH):
+                        h = h * _BASE + chars[k : k + len(h)]
+                h = np.unique(mix(h))
+                hit = np.bincount((h % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+                sizes.append(len(h))
+                bits.append(np.packbits((hit & 1).astype(bool)).view(np.int64))
+            table = np.array(bits, np.int64).reshape(-1, WORDS)
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(table[:, k]) for k in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    kinds = "key bigint, norm string, n bigint, " + ", ".join(f"p{k} bigint" for k in range(WORDS))
+    return written(picked.mapInArrow(run, kinds), "line-texts")
+
+
+def _near(percent: int) -> Column:
+    """Whether the bits of rows x and y allow the similarity: a bound without false dismissals."""
+    total = F.col("x.n") + F.col("y.n")
+    least = F.floor((total * percent + percent + 99) / (100 + percent))
+    apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    return apart <= total - 2 * least
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs of keys (a, b) whose lines reach ``percent``, by the bound on their bits and then by their whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,23 +172,33 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(picked.select(F.col("key").alias("a"), F.col("norm").alias("x")), "a").join(picked.select(F.col("key").alias("b"), F.col("norm").alias("y")), "b")
-    return written(full.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "line-links")
+    full = pairs.join(texts.alias("x"), F.col("a") == F.col("x.key")).join(texts.alias("y"), (F.col("b") == F.col("y.key")) & _near(percent))
+    return written(full.select("a", "b", F.col("x.norm").alias("x"), F.col("y.norm").alias("y")).mapInArrow(compare, "a bigint, b bigint"), "line-links")
 
 
 def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of the keys of lines that are like another, different line; docs has (norm, keys)."""
-    rows = band_rows(docs.select("norm", "keys")).repartition("band").distinct()
-    hubs = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1")
-    buckets = written(rows.join(hubs.select("band", "hub"), "band"), "buckets")
-    stars = written(buckets.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "line-stars")
-    groups = written(components(verified(stars, docs, percent)), "line-groups")
+    rows = band_rows(docs.select("norm", "keys")).repartition("band").groupBy("band", "key").agg(F.count(F.lit(1)).alias("seen"))
+    # The hub of a bucket is the line that most tasks have: of near copies, the original.
+    rank = F.shiftleft(F.lit(1 << 20) - F.least("seen", F.lit((1 << 20) - 1)), 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    rows = rows.select("band", "key", rank.alias("rank"))
+    hubs = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("hub_rank")).where("n > 1")
+    buckets = written(rows.join(hubs, "band").select("band", "key", (F.col("rank") == F.col("hub_rank")).alias("is_hub")), "buckets")
+    hubs = buckets.where("is_hub").select("band", F.col("key").alias("a"))
+    stars = buckets.select("band", F.col("key").alias("b")).join(hubs, "band").where("a <> b")
+    stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-stars")
+    texts = line_texts(stars.select(F.col("a").alias("key")).unionAll(stars.select("b")), docs)
+    groups = written(components(verified(stars, texts, percent)), "line-groups")
     grouped = buckets.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = written(grouped.select("band", "key", "component"), "grouped-buckets")
     mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    grouped = written(grouped.join(mixed.select("band"), "band", "left_semi").select("band", "key", "component"), "mixed-buckets")
-    rest = grouped.alias("x").join(grouped.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
+    grouped = grouped.join(written(mixed.select("band"), "mixed-bands"), "band", "left_semi")
+    # Every line of a bucket is in some star, so its text is there already.
+    grouped = written(grouped.join(texts.drop("norm"), "key"), "mixed-buckets")
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    rest = grouped.alias("x").join(grouped.alias("y"), apart & _near(percent))
     rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(written(rest, "line-rest"), docs, percent)
+    more = verified(written(rest, "line-rest"), texts, percent)
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
