@@ -41,9 +41,15 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def normal_lines(lines: Column) -> Column:
-    """Lower-cased lines with single spaces and none at the ends."""
-    return F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " ")))
+def normal_lines(text: Column) -> Column:
+    """Lines of a text, lower-cased, with single spaces and none at the ends.
+
+    The whole text is reduced before it is cut: the pattern meets white space only where it must change.
+    """
+    blank = r"[\x20\x09\x0B-\x0D]"
+    t = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), rf"[\x09\x0B-\x0D]{blank}*|\x20{blank}+", " ")
+    t = F.regexp_replace(t, r"\x20\n\x20?|\n\x20", "\n")
+    return F.split(F.trim(t), "\n", -1)
 
 
 def line_keys(norm: Column) -> Column:
@@ -94,24 +100,36 @@ def _blocks(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(lines)
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """``band, key`` for every different line of a task, from rows (norm, keys)."""
-    schema = pa.schema([("band", pa.int64()), ("key", pa.int64())])
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_key, norm, keys) with the lines replaced by the band hashes of those that are new in
+    their task: ``fresh`` holds the new keys and ``bands`` their hashes, ``BANDS`` for each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64())] + [(n, pa.list_(pa.int64())) for n in ("keys", "fresh", "bands")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in in_slices(batches, 200):
-            fresh: dict[int, str] = {}
-            for line, key in zip(batch.column(0).flatten().to_pylist(), batch.column(1).flatten().to_pylist()):
-                if key is not None and key not in seen:
-                    seen.add(key)
-                    fresh[key] = line
-            lines, keys = list(fresh.values()), np.array(list(fresh), np.int64)
-            for a, b in _blocks(lines):
-                found = signatures(lines[a:b], keys[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(keys[a:b], found.shape[1]))], schema=schema)
-
-    return docs.mapInArrow(run, "band bigint, key bigint")
+            fresh: list[list[int]] = []
+            lines, keys = [], []
+            for norm, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                new = {k: x for k, x in zip(own, norm) if k is not None and k not in seen}
+                seen.update(new)
+                fresh.append(list(new))
+                lines.extend(new.values())
+                keys.extend(new)
+            hashes = [signatures(lines[a:b], np.array(keys[a:b], np.int64)).ravel() for a, b in _blocks(lines)]
+            flat = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in fresh])]).astype(np.int32)
+            new_keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys, pa.int64()))
+            bands = pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3).cast(schema.field(2).type), new_keys, bands], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, keys array<bigint>, fresh array<bigint>, bands array<bigint>")
+
+
+def band_rows(signed: DataFrame) -> DataFrame:
+    """``band, key`` for every different line of a task."""
+    rows = signed.select("fresh", F.posexplode("bands").alias("at", "band"))
+    return rows.select("band", F.get("fresh", F.floor(F.col("at") / BANDS).cast("int")).alias("key"))
 
 
 def similarity(x: str, y: str, width: int = WIDTH) -> tuple[int, int]:
@@ -176,9 +194,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(full.select("a", "b", F.col("x.norm").alias("x"), F.col("y.norm").alias("y")).mapInArrow(compare, "a bigint, b bigint"), "line-links")
 
 
-def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_groups(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of the keys of lines that are like another, different line; docs has (norm, keys)."""
-    rows = band_rows(docs.select("norm", "keys")).repartition("band").groupBy("band", "key").agg(F.count(F.lit(1)).alias("seen"))
+    rows = band_rows(signed).repartition("band").groupBy("band", "key").agg(F.count(F.lit(1)).alias("seen"))
     # The hub of a bucket is the line that most tasks have: of near copies, the original.
     rank = F.shiftleft(F.lit(1 << 20) - F.least("seen", F.lit((1 << 20) - 1)), 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))
     rows = rows.select("band", "key", rank.alias("rank"))
@@ -213,9 +231,10 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    norm = rows.select("doc_id", F.xxhash64("text").alias("text_key"), normal_lines(lines_of(F.col("text"))).alias("norm")).withColumn("keys", line_keys(F.col("norm")))
-    groups = line_groups(norm)
-    placed = norm.select("doc_id", "text_key", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+    norm = rows.select("doc_id", F.xxhash64("text").alias("text_key"), normal_lines(F.col("text")).alias("norm")).withColumn("keys", line_keys(F.col("norm")))
+    signed = written(signed_lines(norm), "signed-lines")
+    groups = line_groups(signed, norm.select("norm", "keys"), percent)
+    placed = signed.select("doc_id", "text_key", F.posexplode("keys").alias("pos", "key")).where("key is not null")
     placed = placed.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "text_key", "pos", F.coalesce("component", "key").alias("component"))
     placed = written(placed, "line-places")
     firsts = placed.groupBy("component").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
