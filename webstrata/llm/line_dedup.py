@@ -28,7 +28,7 @@ WIDTH = 6
 BANDS, ROWS = 14, 5
 PERCENT = 80
 #: 64-bit words of the bits that bound the difference of two lines.
-WORDS = 8
+WORDS = 16
 #: Characters whose shingles are hashed together.
 BLOCK = 1 << 19
 #: Up to so many ids are sent to all tasks; beyond it they are joined by a shuffle.
