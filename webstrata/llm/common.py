@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +40,25 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: Column, text_key: Column)
     return docs.join(gone, doc_id.eqNullSafe(F.col("__gone_id")) & text_key.eqNullSafe(F.col("__gone_key")), "left_anti")
 
 
+_held: list = []
+
+
+def held(key: tuple, make: Callable):
+    """The one large object that a Python worker keeps between tasks.
+
+    Workers outlive stages; asking for another object drops the last one, so a chain of operators
+    needs the memory of its largest and not of all.
+    """
+    if not _held or _held[0] != key:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # freed memory goes back to the system
+            libc.malloc_trim(0)
+        _held.extend((key, make()))
+    return _held[1]
+
+
 class Memo(dict):
     """Bounded ``word -> value`` memory of one Python worker.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import in_slices
+from webstrata.llm.common import held, in_slices
 from webstrata.llm.lattice import PieceTable, by_length, code_points
 
 #: Labelled documents per language, in expectation, that the model is fitted on.
@@ -33,7 +33,7 @@ UNKNOWN = 1e-9
 #: Words are cut to sections of this many characters, so that products stay above the least double.
 SECTION = 24
 #: Remembered words per worker.
-ENTRIES = 400_000
+ENTRIES = 150_000
 #: What a text without letters gets.
 NONE = "und"
 
@@ -204,15 +204,9 @@ class Scorer:
         return self.scores[rows].sum(0)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    """One per worker, for the model in use."""
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-    return _scorers[id(model)]
+    """The worker's scorer of a model."""
+    return held(("scorer", id(model)), lambda: Scorer(model))
 
 
 def _label(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -11,7 +11,6 @@ merges give; this is the same search with another score. Words are remembered pe
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import id_text, in_slices
+from webstrata.llm.common import held, id_text, in_slices
 from webstrata.llm.lattice import PieceTable, by_length, code_points
 
 #: Remembered words and piece pairs per worker.
@@ -185,10 +184,9 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-@functools.lru_cache(maxsize=2)
 def pieces(path: str, unigram: bool = False) -> Pieces:
-    """One per worker and model file."""
-    return Pieces(path, unigram)
+    """The worker's model."""
+    return held(("pieces", path, unigram), lambda: Pieces(path, unigram))
 
 
 def encode(docs: DataFrame, path: str, unigram: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

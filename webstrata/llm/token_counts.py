@@ -7,7 +7,6 @@ merges. Words are remembered per worker with their counts.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from webstrata.llm.common import id_text
+from webstrata.llm.common import held, id_text
 from webstrata.llm.words import BYTE_LEVEL, SpacedChunks, byte_symbols
 
 #: Words remembered per worker and generation.
@@ -67,9 +66,12 @@ class Merges:
         return n - merged
 
 
-@functools.lru_cache(maxsize=4)
 def counter(vocabulary: str) -> SpacedChunks:
-    """Counts of chunks under a byte-level vocabulary file; its special strings count as one token."""
+    """The worker's counts of chunks under a byte-level vocabulary file; its special strings count as one token."""
+    return held(("counter", vocabulary), lambda: _counter(vocabulary))
+
+
+def _counter(vocabulary: str) -> SpacedChunks:
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]

@@ -7,7 +7,6 @@ instead of once per occurrence.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Callable
@@ -15,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from webstrata.llm.common import Memo
+from webstrata.llm.common import Memo, held
 
 #: Fixed value: the splitting pattern of byte-level vocabularies.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -156,7 +155,6 @@ class Encoder:
         return self.chunks.reduce(text, b"".join)
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(vocabulary: str, entries: int = 300_000) -> Encoder:
-    """One encoder per worker and vocabulary, remembering up to four times ``entries`` chunks."""
-    return Encoder(vocabulary, entries)
+def encoder(vocabulary: str, entries: int = 180_000) -> Encoder:
+    """The worker's encoder, remembering up to four times ``entries`` chunks."""
+    return held(("encoder", vocabulary, entries), lambda: Encoder(vocabulary, entries))
