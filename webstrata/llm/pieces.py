@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 from webstrata.llm.common import held, id_text, in_slices
 from webstrata.llm.lattice import PieceTable, by_length, code_points
 
-#: Remembered words and piece pairs per worker.
-ENTRIES = 400_000
-PAIRS = 600_000
+#: Remembered words per worker and generation.
+ENTRIES = 500_000
+#: Log2 of the remembered piece pairs.
+PAIR_BITS = 22
 #: Documents whose new words are encoded together.
 SLICE = 200
 #: Stands for a space inside pieces. Fixed value.
 MARK = "▁"
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 ENCODED = "doc_id bigint, n_pieces bigint, ids array<int>"
 DECODED = "doc_id bigint, text string"
 
@@ -56,8 +59,9 @@ class Pieces:
         self.joined = {t[k : k + 2] for t in self.id_of for k in range(len(t) - 1)}
         self.bytes = [b"" if k in special else bytes([self.byte_of[k]]) if k in self.byte_of else t.replace(MARK, " ").encode() for k, t in enumerate(self.text)]
         self.bytes[self.unknown] = " ⁇ ".encode()
-        self.pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.lowest = self.score[normal].min()
 
     def merge(self, text: str) -> list[str]:
@@ -78,17 +82,21 @@ class Pieces:
         """Whether merging the joined text of two pieces gives the two again; below 0 is an unknown character."""
         ok = np.ones(len(left), bool)
         known = np.flatnonzero((left >= 0) & (right >= 0))
-        keys, back = np.unique(left[known] << 32 | right[known], return_inverse=True)
-        if len(self.pairs) + len(keys) > PAIRS:
-            self.pairs.clear()
-        values = np.empty(len(keys), bool)
-        for k, key in enumerate(keys.tolist()):
-            value = self.pairs.get(key)
-            if value is None:
+        keys = left[known] << 32 | right[known]
+        slots = ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        values = self.pair_ok[slots]
+        missed = np.flatnonzero(self.pair_keys[slots] != keys)
+        if missed.size:
+            fresh, back = np.unique(keys[missed], return_inverse=True)
+            found = np.empty(len(fresh), bool)
+            for k, key in enumerate(fresh.tolist()):
                 a, b = self.text[key >> 32], self.text[key & 0xFFFFFFFF]
-                value = self.pairs[key] = a[-1] + b[0] not in self.joined or self.merge(a + b) == [a, b]
-            values[k] = value
-        ok[known] = values[back]
+                found[k] = a[-1] + b[0] not in self.joined or self.merge(a + b) == [a, b]
+            values[missed] = found[back]
+            self.pair_keys[slots[missed]] = -1  # two pairs of one slot: the last one written stays, with its value
+            self.pair_ok[slots[missed]] = values[missed]
+            self.pair_keys[slots[missed]] = keys[missed]
+        ok[known] = values
         return ok
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
@@ -157,17 +165,23 @@ class Pieces:
         return [*out, marked[at:]]
 
     def _cut(self, word: str) -> list[str]:
-        """Parts between characters that no piece joins."""
+        """Parts between characters that no piece joins; plain words are left whole."""
+        if word[1:].isalnum():
+            return [word]
         edges = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined]
         return [word[a:b] for a, b in zip([0, *edges], [*edges, len(word)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.chunks(t) for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > ENTRIES:
-            self.words.clear()
-            new = set().union(*split)
+        asked = set().union(*split)
+        new = asked.difference(self.words)
+        if len(self.words) + len(new) > ENTRIES:  # words still in use come back from the older generation
+            self.older, self.words = self.words, {}
+            new = asked
+        back = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in back)
+        new = new.difference(back)
         if self.unigram:
             words = list(new)
             self.words.update(zip(words, map(self._final, self.viterbi(words))))
