@@ -69,3 +69,22 @@ def test_ranges_hand_over(spark, urls):
         if status == 304:
             best = max(((u, j) for j, v, u, s, _ in rows if s == 200 and v == url and u < t), default=(None, None))
             assert got[k] == best[1]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    x, y, z = "http://a.org/x", "http://a.org/y", "http://a.org/z"
+    tag = lambda k: {"ETag": f'"{k}"'}
+    rows = [(1, x, at(0), 200, tag(1)), (2, x, at(5), 304, tag(1))] * 3
+    rows += [(3, y, at(0), 200, tag(3)), (None, y, at(1), 200, tag(4)), (None, y, at(1), 200, tag(4)), (5, y, at(2), 304, tag(4)), (None, y, at(3), 304, tag(4))]
+    rows += [(None, z, at(0), 200, tag(6)), (7, z, at(0), 200, tag(7)), (-8, z, at(0), 200, tag(8)), (None, z, at(1), 304, tag(7)), (None, z, at(0), 304, None)]
+    rows += [(9, "http://a.org/w", at(0), 200, tag(k)) for k in (1, 2)] + [(10, "http://a.org/w", at(1), 304, None)]
+    want = [(2, "//a.org/x", 1, "resolved", "etag")] * 3
+    want += [(5, "//a.org/y", None, "resolved", "etag"), (None, "//a.org/y", None, "resolved", "etag")]
+    want += [(None, "//a.org/z", 7, "resolved", "etag"), (None, "//a.org/z", None, "missing", None)]
+    want += [(10, "//a.org/w", 9, "resolved", "none")]
+    picked = set()
+    for parts in (1, 4):
+        got = resolve(spark.createDataFrame(rows, CAPTURES).repartition(parts)).collect()
+        assert sorted([(r["record_id"], r["canonical_url"], r["full_id"], r["verdict"], r["matched_by"]) for r in got], key=str) == sorted(want, key=str)
+        picked |= {r["headers"]["etag"] for r in got if r["record_id"] == 10}
+    assert len(picked) == 1  # whatever the layout, the same of two responses with one id and time

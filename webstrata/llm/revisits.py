@@ -48,13 +48,14 @@ def lower_names(headers: Column) -> Column:
 
 
 def latest_before(captures: DataFrame) -> DataFrame:
-    """``record_id, full_id`` of every revisit among (record_id, canon, at, full): the latest full record strictly earlier.
+    """``row, full_row`` of every revisit among (row, record_id, canon, at, full, rank): the latest full row strictly earlier.
 
-    Of full records at one time the largest id counts. ``at`` is a number; ``full`` tells full records.
+    ``row`` tells rows apart. Of full rows at one time the largest id counts, before those without id; of
+    equal ids the largest ``rank``. ``at`` is a number; ``full`` tells full rows.
     """
     rows = captures.where("canon is not null and at is not null").repartitionByRange("canon", "at")
-    rows = rows.sortWithinPartitions("canon", "at").select("record_id", "canon", "at", "full")
-    names = ["part", "record_id", "canon", "full_id", "open", "kind"]
+    rows = rows.sortWithinPartitions("canon", "at").select("row", "canon", "at", "full", "record_id", "rank")
+    names = ["part", "row", "canon", "full_row", "open", "kind"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,25 +64,26 @@ def latest_before(captures: DataFrame) -> DataFrame:
         begun = False
         for batch in batches:
             out = []
-            for record, url, t, full in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row, url, t, full, record, rank in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if not begun or url != canon:
                     first, begun = (first if begun else url), True
                     canon, at, before, newest = url, t, None, None
                 elif t != at:
-                    at, before, newest = t, newest if newest is not None else before, None
+                    at, before, newest = t, newest[-1] if newest is not None else before, None
                 if full:
-                    newest = record if newest is None else max(newest, record)
+                    this = (record is not None, record or 0, rank, row)
+                    newest = this if newest is None else max(newest, this)
                 else:
-                    out.append((part, record, url, before, before is None and url == first, "revisit"))
+                    out.append((part, row, url, before, before is None and url == first, "revisit"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names)
-        if begun:  # the range's first and last URL, and the last one's newest full record
-            ends = [(part, None, first, None, False, "first"), (part, None, canon, newest if newest is not None else before, False, "last")]
+        if begun:  # the range's first and last URL, and the last one's newest full row
+            ends = [(part, None, first, None, False, "first"), (part, None, canon, newest[-1] if newest is not None else before, False, "last")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in ends], kinds[k]) for k in range(6)], names)
 
-    found = written(rows.mapInArrow(walk, "part bigint, record_id bigint, canon string, full_id bigint, open boolean, kind string"), "as-of")
+    found = written(rows.mapInArrow(walk, "part bigint, row bigint, canon string, full_row bigint, open boolean, kind string"), "as-of")
     ends = found.where("kind <> 'revisit'").collect()  # two rows per range
     firsts = {r["part"]: r["canon"] for r in ends if r["kind"] == "first"}
-    lasts = {r["part"]: (r["canon"], r["full_id"]) for r in ends if r["kind"] == "last"}
+    lasts = {r["part"]: (r["canon"], r["full_row"]) for r in ends if r["kind"] == "last"}
     carried, canon, newest = [], None, None
     for part in sorted(firsts):
         if firsts[part] == canon and newest is not None:
@@ -94,34 +96,38 @@ def latest_before(captures: DataFrame) -> DataFrame:
     return (
         found.where("kind = 'revisit'")
         .join(carry, "part", "left")
-        .select("record_id", F.when(F.col("open"), F.col("carried")).otherwise(F.col("full_id")).alias("full_id"))
+        .select("row", F.when(F.col("open"), F.col("carried")).otherwise(F.col("full_row")).alias("full_row"))
     )
 
 
 def resolve(captures: DataFrame) -> DataFrame:
     """One row per revisit: record_id, canonical_url, captured_at, full_id, verdict, matched_by, headers.
 
-    ``captures`` has the columns of ``CAPTURES``; ``record_id`` must tell rows apart. Status 200 is a
-    full response, 304 a revisit; other rows are ignored, as are other columns. Verdicts: ``resolved``;
+    ``captures`` has the columns of ``CAPTURES``. Status 200 is a full response, 304 a revisit; other
+    rows are ignored, as are other columns. Ids may repeat or be null: every revisit row gets one row
+    of its own, and of full responses at one time the largest id counts, before those without id; of
+    equal ids one is picked by a hash of its headers. ``full_id`` is then that response's id, null if
+    it has none; only the verdict tells whether there is a response. Verdicts: ``resolved``;
     ``changed`` when the entity tags differ (weakly compared), or without tags the modification dates;
     ``missing`` without an earlier full response; ``no_url`` without canonical URL or time.
     ``matched_by`` names the validator that agreed: ``etag``, ``last-modified`` or ``none`` when the
     revisit carries neither, or the full response lacks it. Headers are null unless resolved.
     """
-    rows = captures.select(
-        "record_id", canonical_url(F.col("url")).alias("canon"), "captured_at", F.unix_micros("captured_at").alias("at"), "status", lower_names(F.col("headers")).alias("headers")
-    ).where("status in (200, 304)")
-    rows = written(rows, "captures")
-    found = latest_before(rows.select("record_id", "canon", "at", (F.col("status") == 200).alias("full")))
-    revisits = rows.where("status = 304").join(found, "record_id", "left")
-    full = rows.where("status = 200").select(F.col("record_id").alias("full_id"), F.col("headers").alias("stored"))
-    joined = revisits.join(full, "full_id", "left")
+    rows = captures.where("status in (200, 304)").select(
+        F.col("record_id").cast("bigint").alias("record_id"), canonical_url(F.col("url")).alias("canon"), "captured_at", F.unix_micros("captured_at").alias("at"), "status", lower_names(F.col("headers")).alias("headers")
+    )
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "captures")  # a key of its own, fixed by writing
+    full, rank = F.col("status") == 200, F.xxhash64(F.array_sort(F.map_entries("headers")))
+    found = latest_before(rows.select("row", "record_id", "canon", "at", full.alias("full"), F.when(full, rank).alias("rank")))
+    revisits = rows.where("status = 304").join(found, "row", "left")
+    full = rows.where(full).select(F.col("row").alias("full_row"), F.col("record_id").alias("full_id"), F.col("headers").alias("stored"))
+    joined = revisits.join(full, "full_row", "left")
     weak = lambda tag: F.regexp_replace(tag, "^W/", "")
     new, old = F.col("headers"), F.col("stored")
     tags = new["etag"].isNotNull() & old["etag"].isNotNull()
     dates = ~tags & new["last-modified"].isNotNull() & old["last-modified"].isNotNull()
     agrees = F.when(tags, weak(new["etag"]) == weak(old["etag"])).when(dates, new["last-modified"] == old["last-modified"]).otherwise(True)
-    verdict = F.when(F.col("canon").isNull() | F.col("at").isNull(), "no_url").when(F.col("full_id").isNull(), "missing").when(agrees, "resolved").otherwise("changed")
+    verdict = F.when(F.col("canon").isNull() | F.col("at").isNull(), "no_url").when(F.col("full_row").isNull(), "missing").when(agrees, "resolved").otherwise("changed")
     update = F.map_filter(new, lambda k, _: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(update), k)), update)
     return joined.withColumn("verdict", verdict).select(
