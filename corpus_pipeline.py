@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm.exact_dedup import drop_copies
-from webstrata.llm.jaccard_join import drop_near_copies
+from webstrata.llm.exact_dedup import drop_all_copies
+from webstrata.llm.jaccard_join import drop_all_near_copies
 from webstrata.llm.language_id import keep_identified
 from webstrata.llm.packing import pack
 from webstrata.session import written
@@ -22,13 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the one with the smallest id stays."""
-    return drop_copies(docs)
+    """Of documents equal but for white space, exactly one row stays: one with the smallest id."""
+    return drop_all_copies(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by a Jaccard similarity of 0.8 on shingles of five words, the smallest id stays."""
-    return drop_near_copies(docs, width=5, percent=80)
+    """Of documents joined by a Jaccard similarity of 0.8 on shingles of five words, exactly one row stays: one with the smallest id."""
+    return drop_all_near_copies(docs, width=5, percent=80)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

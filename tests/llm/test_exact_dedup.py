@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from webstrata.llm.exact_dedup import FINEST, drop_copies, exact_dedup, grow_directory
+from webstrata.llm.exact_dedup import FINEST, drop_all_copies, drop_copies, exact_dedup, grow_directory
 
 
 def brute(rows):
@@ -70,3 +70,23 @@ def test_directory_splits_only_overfull_buckets():
 
 def test_directory_without_entries():
     assert grow_directory({}, 10).slots == [0]
+
+
+REPEATS = [(1, "one two three", "en")] * 5 + [(1, "one  two three", "en"), (1, "one two three", "de"), (2, "one two three", "en"), (None, "one two three", "en")]
+REPEATS += [(None, "four five", "en")] * 4 + [(None, "four\tfive", "de"), (1, "other", "en"), (None, None, "en"), (None, "", "en")]
+
+
+def test_one_row_of_each_group_stays(frame):
+    left = drop_all_copies(frame(REPEATS))
+    assert left.columns == frame(REPEATS).columns
+    rows = [(r["doc_id"], " ".join((r["text"] or "").split())) for r in left.collect()]
+    assert sorted(rows, key=str) == sorted([(1, "one two three"), (None, "four five"), (1, "other"), (None, "")], key=str)
+    again = drop_all_copies(frame(REPEATS[::-1])).collect()
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, again), key=str)  # whatever the order of rows
+
+
+def test_one_row_of_each_group_stays_by_a_shuffle(frame, edge, edge_rows, monkeypatch):
+    monkeypatch.setattr("webstrata.llm.common.BROADCAST_ROWS", 0)
+    assert len(drop_all_copies(frame(REPEATS)).collect()) == 4
+    groups = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, _ in edge_rows}
+    assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in drop_all_copies(edge).collect()) == sorted(groups)

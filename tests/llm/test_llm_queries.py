@@ -59,6 +59,14 @@ def test_pipeline_equals_brute_force(spark, frame, prose, edge_rows, tmp_path):
     assert all(whole[r["doc_id"]] == r["doc_tokens"] for r in packed)
 
 
+def test_pipeline_packs_repeated_rows_once(spark, frame, tmp_path):
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, "one two three", "en")] * 6 + [(None, "four five six", "en")] * 6 + [(2, long, "en"), (2, long + " more", "en"), (None, long + " again", "en")]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted([r["doc_id"] for r in packed], key=str) == [1, 2, None]
+
+
 def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -73,6 +73,19 @@ def test_drop_near_copies(edge, edge_rows):
     assert sorted([r["doc_id"] for r in left.collect()], key=str) == stay
 
 
+def test_one_row_of_each_component_stays(frame, empty):
+    long = " ".join(f"w{k}" for k in range(60))
+    alone = " ".join(f"v{k}" for k in range(60))
+    rows = [(3, long, "en")] * 4 + [(3, long + " x", "en"), (4, long + " y", "en"), (None, long, "en"), (5, "a b", "en")]
+    rows += [(None, alone, "en")] * 3 + [(None, alone + " x", "de"), (None, "  ", "en"), (None, "  ", "en"), (6, "", "en")]
+    for some in (rows, rows[::-1]):
+        left = J.drop_all_near_copies(frame(some), 4, 85)
+        assert left.columns == frame(some).columns
+        got = [(r["doc_id"], r["text"].split()[:1]) for r in left.collect()]
+        assert sorted(got, key=str) == sorted([(3, ["w0"]), (5, ["a"]), (None, ["v0"]), (None, []), (None, []), (6, [])], key=str)
+    assert J.drop_all_near_copies(empty).collect() == []
+
+
 def test_need_is_the_least_overlap():
     for a in range(1, 40):
         for b in range(1, 40):

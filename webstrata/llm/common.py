@@ -40,6 +40,25 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: Column, text_key: Column)
     return docs.join(gone, doc_id.eqNullSafe(F.col("__gone_id")) & text_key.eqNullSafe(F.col("__gone_key")), "left_anti")
 
 
+def one_of_each(docs: DataFrame, again: DataFrame, doc_id: Column, text_key: Column) -> DataFrame:
+    """Rows of ``docs``, of those whose (id, text key) is among ``again`` (doc_id, text_key) exactly one per pair.
+
+    It is picked by a hash of all its columns; rows that are equal in all of them cannot be told apart.
+    A null id equals a null id. Per task one row of a pair is shuffled.
+    """
+    again = written(again.select(F.col("doc_id").alias("__again_id"), F.col("text_key").alias("__again_key")).distinct(), "again")
+    n = again.count()
+    if not n:
+        return docs
+    if n <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    same = doc_id.eqNullSafe(F.col("__again_id")) & text_key.eqNullSafe(F.col("__again_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    many = docs.join(again, same, "left_semi").select(row.alias("__row"), doc_id.alias("__id"), text_key.alias("__key"))
+    one = many.groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row")).select("__row.*")
+    return docs.join(again, same, "left_anti").unionAll(one)
+
+
 _held: list = []
 
 

@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import id_text, spaced, without
-from webstrata.session import shared_folder
+from webstrata.llm.common import id_text, one_of_each, spaced, without
+from webstrata.session import shared_folder, written
 
 #: Finest prefix, in bits, by which buckets may split; bounds the directory to 2 ** FINEST slots.
 FINEST = 14
@@ -156,7 +156,22 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, capacity: int, key: Cal
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps."""
-    marked = _marked(docs, id_col, text_col, 200_000, text_key)
+    return _dropped(docs, id_col, text_col)[0]
+
+
+def drop_all_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of ``docs``, with all its columns, per group of ``exact_dedup``.
+
+    It has the smallest id; of rows with that id, or of a group without ids, one stays (``one_of_each``).
+    """
+    left, marked = _dropped(docs, id_col, text_col)
+    kept = marked.where("kept").groupBy("doc_id", F.col("key").alias("text_key")).count()
+    norm = spaced(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return one_of_each(left, kept.where("count > 1"), F.col(id_col).cast("bigint"), text_key(norm))
+
+
+def _dropped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    marked = written(_marked(docs, id_col, text_col, 200_000, text_key).select("doc_id", "kept", "key"), "marked")
     gone = marked.where(~F.col("kept")).select("doc_id", F.col("key").alias("text_key"))
     norm = spaced(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return without(docs, gone, F.col(id_col).cast("bigint"), text_key(norm))
+    return without(docs, gone, F.col(id_col).cast("bigint"), text_key(norm)), marked

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import id_text, in_slices, without
+from webstrata.llm.common import id_text, in_slices, one_of_each, without
 from webstrata.llm.components import components
 from webstrata.llm.shingles import mix, shingle_set
 from webstrata.session import written
@@ -266,11 +266,30 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return without(docs, gone, F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
+def drop_all_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of ``docs``, with all its columns, per component; every row whose text has no word stays.
+
+    It is the first by id, rows without id last, then by a hash of the text; of rows with that id and text
+    one stays (``one_of_each``).
+    """
+    found = _named(id_text(docs, id_col, text_col), width, percent).where("size > 0")
+    found = written(found.select("doc_id", "text_key", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("text_key") == F.col("stay.text_key"))).alias("stays")), "stays")
+    key = F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    again = found.where("stays").groupBy("doc_id", "text_key").count().where("count > 1")
+    return one_of_each(without(docs, found.where(~F.col("stays")), *key), again, *key)
+
+
 def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    named = F.when(F.col("size") > 0, F.col("stay.doc_id")).otherwise(F.col("doc_id"))
+    return _named(docs, width, percent).select("doc_id", "text_key", F.col("size").alias("n_shingles"), named.alias("component_id"))
+
+
+def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per document doc_id, text_key, size and ``stay``, the first (no_id, doc_id, text_key) of its component; null without words."""
     described = written(describe(docs, width, percent, sketch(docs, width)), "described")
-    first = described.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    first = described.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     once = described.where(F.col("prefix").isNotNull()).dropDuplicates(["node"])  # a row per task and node before
-    nodes = written(once.drop("doc_id", "text_key").join(first, "node"), "nodes")
+    nodes = written(once.drop("doc_id", "text_key").join(first.select("node", F.col("first.doc_id").alias("first_id")), "node"), "nodes")
 
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
     rows = rows.repartition("shingle").withColumn("rank", F.shiftleft(F.col("pos").cast("bigint"), 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40)))
@@ -296,9 +315,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
     groups = components(joined)
 
-    names = groups.join(first, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = groups.join(names, "component").select("node", "component_id")
-    of_node = first.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    return described.join(of_node, "node", "left").select(
-        "doc_id", "text_key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    names = groups.join(first, "node").groupBy("component").agg(F.min("first").alias("stay"))
+    of_node = groups.join(names, "component").select("node", "stay")
+    of_node = first.join(of_node, "node", "left").select("node", F.coalesce("stay", "first").alias("stay"))
+    return described.join(of_node, "node", "left").select("doc_id", "text_key", "size", "stay")
