@@ -32,6 +32,16 @@ def test_held_out_accuracy(frame, corpus, edge_rows, vocabulary):
     assert got[1004]["lang_pred"] == "aa" and not got[None]["held_out"]
 
 
+def test_letters_beside_other_signs(frame, corpus, vocabulary):
+    texts = ["m²", "H₂O CO₂", "x²+y²", "½kalo", "²ª"]
+    assert all(G.words_of(t) for t in texts) and not any(map(G.words_of, ["²½", "Ⅳ ₂", "", "3 _ 4"]))
+    df = frame(corpus + [(1000 + k, t, None) for k, t in enumerate(texts)])
+    got = [r for r in G.identify(df, vocabulary("piece_bpe_32k.model")).collect() if r["doc_id"] >= 1000]
+    assert len(got) == len(texts) and all(r["lang_pred"] != G.NONE and r["score"] > 0 for r in got)
+    left = {r["doc_id"] for r in G.keep_identified(df, vocabulary("piece_bpe_32k.model"), least=0.0).collect()}
+    assert left >= {1000 + k for k in range(len(texts))}
+
+
 def test_nothing_to_learn(frame, empty, vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     rows = G.identify(frame([(1, "kalo", None), (2, None, "aa")]), path).collect()

@@ -45,7 +45,7 @@ LABELS = "doc_id bigint, lang_pred string, score double"
 def words_of(text: str) -> list[str]:
     """Lower-cased words; empty if the text has no letter."""
     found = _WORD.findall(text.lower())
-    return found if any(map(str.isalpha, found)) else []
+    return found if any(c.isalpha() for w in found for c in w) else []
 
 
 @functools.lru_cache(maxsize=2)
