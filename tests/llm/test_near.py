@@ -86,6 +86,19 @@ def test_one_row_of_each_component_stays(frame, empty):
     assert J.drop_all_near_copies(empty).collect() == []
 
 
+def test_texts_without_ids_meet_only_their_own_node(spark):
+    rows = [(d, f"text {k}") for d in (None, 0, 7) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = docs.selectExpr("monotonically_increasing_id() AS node", "doc_id", "xxhash64(text) AS text_key")
+    assert J.first_texts(docs, wanted).count() == len(rows)
+
+
+def test_jaccard_without_ids(frame, prose, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_IDS", 0)
+    some = [(None if d % 3 == 0 else 0 if d % 3 == 1 else d, t, x) for d, t, x in prose]
+    assert got(J.jaccard_components(frame(some), 2, 60)) == brute(some, 2, 60)
+
+
 def test_need_is_the_least_overlap():
     for a in range(1, 40):
         for b in range(1, 40):

@@ -184,12 +184,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def first_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the documents named by ``wanted`` (node, doc_id, text_key); the key keeps apart the texts of one id or of none."""
+    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (F.xxhash64(docs["text"]) == wanted["text_key"])
+    return docs.join(wanted, same).select("node", "text")
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that do link, by the parity bound and then by whole sets."""
     spark = pairs.sparkSession
-    about = nodes.select("node", "size", "parity", "first_id")
+    about = nodes.select("node", "size", "parity", "first_id", "first_key")
     side = lambda x: about.select(*[F.col(c).alias(f"{x}{'' if c == 'node' else '_' + c}") for c in about.columns])
 
+    names = ["a", "b", "a_first_id", "b_first_id", "a_first_key", "b_first_key"]
+
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n))
@@ -200,23 +208,23 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
             total = col("a_size").to_numpy() + col("b_size").to_numpy()
             least = -(-percent * total // (100 + percent))
             keep = pa.array(total - 2 * least >= apart)
-            yield pa.RecordBatch.from_arrays([col(n) for n in ("a", "b", "a_first_id", "b_first_id")], ["a", "b", "a_first_id", "b_first_id"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([col(n) for n in names], names).filter(keep)
 
     rest = pairs.join(side("a"), "a").join(side("b"), "b")
-    rest = written(rest.mapInArrow(bound, "a bigint, b bigint, a_first_id bigint, b_first_id bigint"), "pairs")
-    wanted = rest.select(F.col("a").alias("node"), F.col("a_first_id").alias("doc_id")).unionAll(rest.select("b", "b_first_id")).distinct()
+    rest = written(rest.mapInArrow(bound, ", ".join(f"{n} bigint" for n in names)), "pairs")
+    wanted = rest.select(F.col("a").alias("node"), F.col("a_first_id").alias("doc_id"), F.col("a_first_key").alias("text_key"))
+    wanted = wanted.unionAll(rest.select("b", "b_first_id", "b_first_key")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, SLICE):
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            mine = [fingerprint(s) == n for s, n in zip(sets, batch.column(0).to_pylist())]  # an id may repeat with another text
+            mine = [fingerprint(s) == n for s, n in zip(sets, batch.column(0).to_pylist())]  # two texts may share id and key
             rows = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["node", "shingles"]).filter(pa.array(mine, pa.bool_()))
 
-    picked = docs.join(wanted, F.coalesce(docs["doc_id"], F.lit(0)) == F.coalesce(wanted["doc_id"], F.lit(0)))
-    sets = written(picked.select("node", "text").mapInArrow(load, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = written(first_texts(docs, wanted).mapInArrow(load, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 200):
@@ -289,7 +297,7 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
     described = written(describe(docs, width, percent, sketch(docs, width)), "described")
     first = described.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     once = described.where(F.col("prefix").isNotNull()).dropDuplicates(["node"])  # a row per task and node before
-    nodes = written(once.drop("doc_id", "text_key").join(first.select("node", F.col("first.doc_id").alias("first_id")), "node"), "nodes")
+    nodes = written(once.drop("doc_id", "text_key").join(first.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "node"), "nodes")
 
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
     rows = rows.repartition("shingle").withColumn("rank", F.shiftleft(F.col("pos").cast("bigint"), 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40)))
