@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,6 +128,11 @@ def plan(histogram: dict[int, int], window: int = WINDOW, steps: int = STEPS) ->
             space -= length * pattern[length]
             lengths = lengths[:at]
         take(pattern, int(left.sum()))
+    return laid_out(chosen)
+
+
+def laid_out(chosen: list[tuple[dict[int, int], int]]) -> Plan:
+    """The plan of patterns (multiplicity by length) with their repeats, in that order."""
     runs, ranks, sequence = [], defaultdict(int), 0
     for pattern, repeats in chosen:
         offset = 0
@@ -185,20 +190,30 @@ def pack(
     Whole texts are encoded, and every id lies in exactly one piece. Sequences are numbered from 0.
     """
     pieces = written(cut(id_text(docs, id_col, text_col), vocabulary, end_id, window, with_ids), "pieces")
+    return placed(pieces, lambda histogram: plan(histogram, window))
+
+
+def placed(pieces: DataFrame, planned: Callable[[dict[int, int]], Plan]) -> DataFrame:
+    """Pieces (length, part, rank and more) with sequence_id and offset in place of part and rank.
+
+    ``planned`` gets the number of pieces by length, the only figures that reach the driver. ``rank``
+    counts the equal lengths before a piece in its part.
+    """
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows
-    places = plan(histogram, window)
+    places = planned(histogram)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
-    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    kept = [f for f in pieces.schema.fields if f.name not in ("part", "rank")]
+    names = [f.name for f in kept]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("length", "rank"))
             sequence, offset = places.place(length, rank)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{n} {'array<bigint>' if n == 'ids' else 'bigint'}" for n in [*kept, "sequence_id", "offset"])
-    return ranked.mapInArrow(assign, kinds)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in kept]
+    return ranked.mapInArrow(assign, ", ".join([*kinds, "sequence_id bigint", "offset bigint"]))

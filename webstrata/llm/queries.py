@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from webstrata.llm.config_packing import pack_few
 from webstrata.llm.exact_dedup import exact_dedup
 from webstrata.llm.hamming_search import nearest
 from webstrata.llm.jaccard_join import jaccard_components
@@ -85,6 +86,11 @@ def op10_sentencepiece(spark, sf):
     return round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op12_config_packing(spark, sf):
+    return pack_few(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 @query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
