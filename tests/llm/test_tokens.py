@@ -24,10 +24,18 @@ def odd_texts(n):
     return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 8))) for _ in range(n)]
 
 
+def latin_texts(n):
+    """Texts that are merged whole: Latin-1 letters, contractions, numbers and marks."""
+    rng = random.Random(4)
+    parts = ["the", " THE", "'s", "'LL", "12", "½", "é", "ÀÉ", "ª", "²", "ß", "...", "&&&", "x" * 120, "\n", "\r\n", "  ", " " * 120, "|"]
+    parts += [chr(c) for c in range(0x20, 0x150)]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(vocabulary, name):
     library, own = Tokenizer.from_file(vocabulary(name)), encoder(vocabulary(name))
-    for text in odd_texts(3000):
+    for text in odd_texts(3000) + latin_texts(6000):
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == np.array(ids, f"<u{own.width}").tobytes(), text
 

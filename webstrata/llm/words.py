@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -102,11 +103,76 @@ class BareChunks:
         return join(list(map(self.memo.__getitem__, text.replace("\n", " ").split(" "))))
 
 
+#: Latin-1 bytes of common texts: no control characters but tab and line ends, no odd spaces.
+_COMMON = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+_SPACES = bytes(0x20 if b in b"\t\n\r" else b for b in range(256))
+
+
+def common(text: str) -> bool:
+    """Whether a text has Latin-1 letters and marks only, and no run of 100 spaces; other texts go chunk by chunk."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not data.translate(None, _COMMON) and b" " * 100 not in data.translate(_SPACES)
+
+
+def latin_classes(pattern: str) -> str:
+    """A splitting pattern with the Latin-1 letters and numbers spelt out in its character classes."""
+    of = lambda kind: "".join(chr(c) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+    return pattern.replace("\\p{L}", of("L")).replace("\\p{N}", of("N"))
+
+
+class WholeTexts:
+    """Ids of whole common texts by a byte-pair merger over the vocabulary's own merges.
+
+    ``ranks`` holds the symbols in the order of merging. A word end is written as a zero byte behind
+    the word; the symbols that hold one come first, so that it joins the last character before
+    anything else does. A symbol that its own text does not merge into is never reached and left out.
+    """
+
+    def __init__(self, spec: dict, tokenize: Callable, split: str, lower: bool):
+        import tiktoken
+
+        vocab, ending = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        shown = {c: b for b, c in byte_symbols().items()}
+        raw = lambda t: bytes(shown[c] for c in t)
+        order = [raw(c) for c in shown]
+        if ending:
+            order += [b"\0" + b"\0"] + [raw(c) + b"\0" for c in shown if raw(c) != b"\0"]
+        ids = {raw(c): vocab[c] for c in shown if c in vocab}
+        ids |= {raw(c) + b"\0": vocab[c + ending] for c in shown if ending and c + ending in vocab}
+        for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
+            whole = a + b
+            bare = whole.removesuffix(ending) if ending else whole
+            if (whole != bare or not ending) and [t.id for t in tokenize(bare)] != [vocab[whole]]:
+                continue
+            key = raw(bare) + (b"\0" if whole != bare else b"")
+            order.append(key)
+            ids[key] = vocab[whole]
+        ranks: dict[bytes, int] = {}
+        for key in order:
+            ranks.setdefault(key, len(ranks))
+        self.ids = np.array([ids.get(key, 0) for key in ranks], "<u4")
+        pattern = r"[^\x00]+\x00" if ending else split
+        self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.words = re.compile(latin_classes(split)).findall if ending else None
+        self.lower = lower
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.lower:
+            text = text.lower()
+        if self.words:
+            text = "\0".join([*self.words(text), ""])
+        return self.ids[self.encode(text)]
+
+
 class Encoder:
     """Ids of texts under a vocabulary file of the tokenizers library, as little-endian bytes.
 
-    Words of Latin letters are split here and merged by the library's model; a chunk with any other
-    character, or with what may be a special string, is encoded by the whole library.
+    Texts of Latin letters and common marks are merged whole. In others, words of Latin letters are
+    split here and merged by the library's model; a chunk with any other character, or with what may
+    be a special string, is encoded by the whole library.
     """
 
     def __init__(self, vocabulary: str, entries: int):
@@ -149,10 +215,13 @@ class Encoder:
                 return whole(chunk)
             return b"".join([merge(w) for w in split(normal(chunk) if normal else chunk)])
 
-        self.chunks = chunks(make, entries)
+        self.chunks, self.kind, self.marks = chunks(make, entries), kind, marks
+        self.whole = WholeTexts(spec, merges, split.__self__.pattern, lower=normal is not None)
 
     def encode(self, text: str) -> bytes:
-        return self.chunks.reduce(text, b"".join)
+        if not common(text) or any(m in text for m in self.marks):
+            return self.chunks.reduce(text, b"".join)
+        return self.whole(text).astype(self.kind).tobytes()
 
 
 def encoder(vocabulary: str, entries: int = 180_000) -> Encoder:
