@@ -18,6 +18,7 @@ from webstrata.llm.pieces import round_trip
 from webstrata.llm.revisits import archive_of, resolve
 from webstrata.llm.token_counts import token_counts
 from webstrata.llm.token_files import token_files
+from webstrata.llm.whitening import whiten
 from webstrata.session import shared_folder
 
 QUERIES = {}
@@ -91,6 +92,11 @@ def op12_config_packing(spark, sf):
     return pack_few(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query
+def op13_whitening(spark, sf):
+    return whiten(table(spark, sf, "embeddings"))
+
+
 @query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
