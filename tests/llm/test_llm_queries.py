@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
     assert values(mine) == values(theirs)
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_for_each_operator(n):
     assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
 

@@ -15,6 +15,7 @@ from webstrata.llm.language_id import identify
 from webstrata.llm.line_dedup import dedup_lines
 from webstrata.llm.packing import pack
 from webstrata.llm.pieces import round_trip
+from webstrata.llm.prefix_trie import prefix_trie
 from webstrata.llm.revisits import archive_of, resolve
 from webstrata.llm.token_counts import token_counts
 from webstrata.llm.token_files import token_files
@@ -87,6 +88,11 @@ def op10_sentencepiece(spark, sf):
     return round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op11_prefix_trie(spark, sf):
+    return prefix_trie(table(spark, sf, "conversations"))
+
+
 @query
 def op12_config_packing(spark, sf):
     return pack_few(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
