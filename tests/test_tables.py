@@ -97,7 +97,7 @@ def test_ancestor_verdicts_agree_with_the_relational_form(pages_of):
     helper = (
         P.with_markup(pages)
         .withColumn("spans", B.spans(F.col("pieces")))
-        .select("page_id", F.inline("spans"))
+        .select("page_id", F.inline("spans.tables"))
         .select("page_id", F.col("start").cast("bigint").alias("pre"), "shadowed")
     )
     relational = N.shadowed_tables(N.page_nodes(pages)).select("page_id", "pre", "shadowed")
@@ -142,5 +142,23 @@ def test_many_unclosed_tags_take_linear_time():
 
     start = time.process_time()
     codes = ["p"] + ["b"] * 20000 + ["div", "/span"] * 20000 + ["table", "tr", "td", "/table"]
-    assert [len(t["rows"]) for t in B.table_spans(codes)] == [1]
+    assert [t["row_to"] - t["row_from"] for t in B.table_spans(codes)["tables"]] == [1]
     assert time.process_time() - start < 5
+
+
+def nested(depth, before=""):
+    return before + "<table><tr><td>left<td>right cell" * depth + "</table>" * depth
+
+
+def test_deeply_nested_tables_are_judged_in_linear_space(pages_of):
+    import time
+
+    pages = pages_of(nested(800), nested(2))
+    start = time.process_time()
+    judged = P.extract(pages, ["page_id"]).orderBy("page_id").select("judged_tables").collect()
+    assert time.process_time() - start < 5
+    deep, flat = (r.judged_tables for r in judged)
+    assert (len(deep.tables), len(deep.rows), len(deep.texts)) == (800, 800, 1600)
+    assert [(t.row_from, t.row_to, t.is_data) for t in flat.tables] == [(0, 2, True), (1, 2, False)]
+    assert [t.is_data for t in deep.tables] == [True] * 799 + [False]
+    assert len(accepted(pages_of, nested(40))) == 39

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -41,12 +42,22 @@ MIN_TABLE_TEXT = 15
 MAX_EMPTY_SHARE = 0.6
 MAX_LINK_SHARE = 0.8
 
-_CELL = T.StructType().add("start", "integer").add("stop", "integer").add("direct", "boolean")
-SPANS = T.ArrayType(
+# Elements are numbered as they open. What opens inside an element follows it without a gap, so
+# "all rows of a table, nested ones included" is one range of row numbers, and so for cells.
+_TABLE = (
     T.StructType()
     .add("start", "integer")
     .add("shadowed", "boolean")
-    .add("rows", T.ArrayType(T.ArrayType(_CELL)))
+    .add("shaped", "boolean")
+    .add("row_from", "integer")
+    .add("row_to", "integer")
+    .add("cell_from", "integer")
+    .add("cell_to", "integer")
+)
+_ROW = T.StructType().add("cell_from", "integer").add("cell_to", "integer")
+_CELL = T.StructType().add("start", "integer").add("stop", "integer").add("direct", "boolean")
+SPANS = (
+    T.StructType().add("tables", T.ArrayType(_TABLE)).add("rows", T.ArrayType(_ROW)).add("cells", T.ArrayType(_CELL))
 )
 _VOID = set(VOID)
 _BLOCK = set(_BLOCKS) - {"caption", "head"}
@@ -54,15 +65,31 @@ _RANK = {"td": 1, "th": 1, "caption": 1, "tr": 2, "thead": 3, "tbody": 3, "tfoot
 _SECTIONS = ("thead", "tbody", "tfoot")
 
 
-def table_spans(codes: list[str]) -> list[dict]:
-    """Tables of one page from its tag names (``name``, ``/name``, ``name!`` when ill-famed).
+def table_spans(codes: list[str]) -> dict:
+    """Tables, rows and cells of one page from its tag names (``name``, ``/name``, ``name!`` when ill-famed).
 
-    Returns for each table where it starts, whether an ancestor marks it as page furniture and
-    the cells of its rows as token ranges; nested rows and cells belong to every outer one too.
+    Every element is emitted once, in the order of opening, with the range of what opened inside it:
+    rows and cells of a table, cells of a row, tags of a cell. A cell is direct when its parent is a
+    row. A table also tells whether an ancestor marks it as page furniture, and whether it is shaped
+    like data: two rows or more, and not all of them with a single direct cell.
     """
-    stack: list[tuple[str, bool, object]] = []
+    stack: list[tuple[str, bool, dict | None]] = []
     opened: Counter = Counter()  # how many elements of a name are on the stack
-    found: list[dict] = []
+    tables: list[dict] = []
+    rows: list[dict] = []
+    cells: list[dict] = []
+    walls: list[tuple[str, int]] = []  # open main, article and body elements with their place on the stack
+    marks: list[int] = []  # places on the stack of open elements that mark page furniture
+
+    def end(at: int, item: dict | None) -> None:
+        if item is None:
+            return
+        if "stop" in item:
+            item["stop"] = at
+            return
+        item["cell_to"] = len(cells)
+        if "row_to" in item:
+            item["row_to"] = len(rows)
 
     def close(names, at: int, barrier) -> None:
         if not any(opened[n] for n in names):
@@ -71,9 +98,12 @@ def table_spans(codes: list[str]) -> list[dict]:
             if stack[k][0] in names:
                 for tag, _, item in stack[k:]:
                     opened[tag] -= 1
-                    for cell in item if isinstance(item, tuple) else ():
-                        cell["stop"] = at
+                    end(at, item)
                 del stack[k:]
+                while walls and walls[-1][1] >= k:
+                    walls.pop()
+                while marks and marks[-1] >= k:
+                    marks.pop()
                 return
             if barrier(stack[k][0]):
                 return
@@ -88,38 +118,43 @@ def table_spans(codes: list[str]) -> list[dict]:
             continue
         if name in _BLOCK:
             close(("p",), at, lambda n: n in _BLOCK)
-        item: object = None
+        item: dict | None = None
         if name in ("td", "th"):
             close(("td", "th"), at, lambda n: _RANK.get(n, 0) > 1)
-            rows = [entry[2] for entry in stack if isinstance(entry[2], list)]
-            item = tuple(
-                {"start": at, "stop": len(codes), "direct": row is stack[-1][2]} for row in rows
-            )
-            for row, cell in zip(rows, item, strict=True):
-                row.append(cell)
+            parent = stack[-1][2] if stack and stack[-1][0] == "tr" else None
+            item = {"start": at, "stop": len(codes), "direct": parent is not None}
+            cells.append(item)
+            if parent is not None:
+                parent["own"] += 1
         elif name == "tr":
             close(("tr",), at, lambda n: _RANK.get(n, 0) > 2)
-            item = []
-            for _, _, table in stack:
-                if isinstance(table, dict):
-                    table["rows"].append(item)
+            item = {"cell_from": len(cells), "cell_to": -1, "own": 0}
+            rows.append(item)
         elif name in _SECTIONS:
             close(_SECTIONS, at, lambda n: n == "table")
         elif name == "li":
             close(("li",), at, lambda n: n in ("ul", "ol", "menu", "dir") or n in _RANK)
         elif name == "table":
-            shadowed = False
-            for tag, bad, _ in reversed(stack):
-                if tag in ("main", "article"):
-                    break
-                shadowed = shadowed or bad
-                if tag == "body":
-                    break
-            item = {"start": at, "shadowed": shadowed, "rows": []}
-            found.append(item)
-        stack.append((name, code.endswith("!"), item))
+            # looking outwards, main and article end the search before, body after they are looked at
+            tag, wall = walls[-1] if walls else ("", -1)
+            shadowed = bool(marks) and (marks[-1] >= wall if tag == "body" else marks[-1] > wall)
+            item = {"start": at, "shadowed": shadowed, "row_from": len(rows), "row_to": -1, "cell_from": len(cells), "cell_to": -1}
+            tables.append(item)
+        bad = code.endswith("!")
+        if bad:
+            marks.append(len(stack))
+        if name in ("main", "article", "body"):
+            walls.append((name, len(stack)))
+        stack.append((name, bad, item))
         opened[name] += 1
-    return found
+    for _, _, item in stack:
+        end(len(codes), item)
+    filled = [0, *accumulate(r["own"] > 0 for r in rows)]
+    single = [0, *accumulate(r["own"] == 1 for r in rows)]
+    for t in tables:
+        some, ones = (x[t["row_to"]] - x[t["row_from"]] for x in (filled, single))
+        t["shaped"] = t["row_to"] - t["row_from"] >= 2 and 0 < some and ones < some
+    return {"tables": tables, "rows": rows, "cells": cells}
 
 
 def _span_arrays(codes: pa.Array) -> pa.Array:
@@ -174,7 +209,7 @@ def table_pieces(mk: Column) -> Column:
 
 
 def spans(pieces: Column) -> Column:
-    """Table, row and cell ranges over :func:`table_pieces`."""
+    """Table, row and cell ranges over :func:`table_pieces`, NULL without a table."""
     def code(piece: Column) -> Column:
         name = tag_name(piece)
         opens = ~name.startswith("/") & (name != "")
@@ -183,7 +218,8 @@ def spans(pieces: Column) -> Column:
     return _spans_function()(F.array_join(F.transform(pieces, code), " "))
 
 
-def _cells(pieces: Column, row: Column) -> Column:
+def _measured(pieces: Column, cells: Column) -> Column:
+    """Text, linked length and parentage of every cell, each read once."""
     def cell(c: Column) -> Column:
         fragment = F.array_join(F.slice(pieces, c["start"] + 1, c["stop"] - c["start"]), "")
 
@@ -204,59 +240,76 @@ def _cells(pieces: Column, row: Column) -> Column:
 
         return bind(fragment, measure)
 
-    return F.transform(row, cell)
+    return F.transform(cells, cell)
 
 
-def _is_data(tag: Column, shadowed: Column, rows: Column) -> Column:
-    widths = F.filter(
-        F.transform(rows, lambda r: F.size(F.filter(r, lambda c: c["direct"]))), lambda w: w > 0
-    )
-    shaped = (F.size(rows) >= 2) & bind(
-        widths, lambda w: (F.size(w) > 0) & ~F.forall(w, lambda n: n == 1)
-    )
-    cells = F.filter(F.flatten(rows), lambda c: c["direct"])
+def _range(items: Column, start: Column, stop: Column) -> Column:
+    return F.slice(items, start + 1, stop - start)
+
 
-    def filled(c: Column) -> Column:
-        n = F.size(c)
-        empty = F.size(F.filter(c, lambda x: x["text"] == ""))
-        total = F.aggregate(c, F.lit(0), lambda s, x: s + F.length(x["text"]))
-        linked = F.aggregate(c, F.lit(0), lambda s, x: s + x["linked"])
-        return (total >= MIN_TABLE_TEXT) & (empty / n <= MAX_EMPTY_SHARE) & (linked <= MAX_LINK_SHARE * total)
+def _is_data(tag: Column, table: Column, cells: Column) -> Column:
+    zero = F.lit(0)
+    start = F.struct(zero.alias("n"), zero.alias("empty"), zero.alias("total"), zero.alias("linked"))
 
+    def add(s: Column, c: Column) -> Column:
+        return F.struct(
+            (s["n"] + 1).alias("n"),
+            (s["empty"] + F.when(c["text"] == "", 1).otherwise(0)).alias("empty"),
+            (s["total"] + F.length(c["text"])).alias("total"),
+            (s["linked"] + c["linked"]).alias("linked"),
+        )
+
+    def filled(s: Column) -> Column:
+        return (
+            (s["total"] >= MIN_TABLE_TEXT)
+            & (s["empty"] / s["n"] <= MAX_EMPTY_SHARE)
+            & (s["linked"] <= MAX_LINK_SHARE * s["total"])
+        )
+
+    own = F.filter(_range(cells, table["cell_from"], table["cell_to"]), lambda c: c["direct"])
     accepted = contains_any(F.lower(F.coalesce(attribute(tag, "class"), F.lit(""))), DATA_CLASSES)
     layout = F.coalesce(F.lower(attribute(tag, "role")).isin(LAYOUT_ROLES), F.lit(False))
-    return shaped & (accepted | (~layout & ~ignored_words(tag) & ~shadowed & bind(cells, filled)))
+    judged = ~layout & ~ignored_words(tag) & ~table["shadowed"] & bind(F.aggregate(own, start, add), filled)
+    return table["shaped"] & (accepted | judged)
 
 
 def tables(pieces: Column, ranges: Column) -> Column:
-    """``array<struct<is_data,packed>>``: every non-empty table with its data-table verdict.
+    """``struct<texts,rows,tables>``: cell texts once, rows as ranges of cells, tables as ranges of rows with their verdict.
 
-    Rows are packed into one string (see :func:`unpack`); empty cells and rows are dropped.
+    Linear in the page, however deep tables nest; :func:`chosen_tables` writes the rows out.
     """
-    def one(t: Column) -> Column:
-        def judged(rows: Column) -> Column:
-            texts = F.transform(
-                rows,
-                lambda r: F.array_join(
-                    F.filter(F.transform(r, lambda c: c["text"]), lambda x: x != ""), UNIT
+    def judged(cells: Column) -> Column:
+        return F.struct(
+            F.transform(cells, lambda c: c["text"]).alias("texts"),
+            ranges["rows"].alias("rows"),
+            F.transform(
+                ranges["tables"],
+                lambda t: F.struct(
+                    _is_data(F.get(pieces, t["start"]), t, cells).alias("is_data"),
+                    t["row_from"].alias("row_from"),
+                    t["row_to"].alias("row_to"),
                 ),
-            )
-            return F.struct(
-                _is_data(F.get(pieces, t["start"]), t["shadowed"], rows).alias("is_data"),
-                F.array_join(F.filter(texts, lambda x: x != ""), RECORD).alias("packed"),
-            )
-
-        return bind(F.transform(t["rows"], lambda r: _cells(pieces, r)), judged)
+            ).alias("tables"),
+        )
 
-    empty = F.array().cast("array<struct<is_data:boolean,packed:string>>")
-    found = F.filter(F.transform(ranges, one), lambda t: t["packed"] != "")
-    return F.coalesce(found, empty)
+    return F.when(ranges.isNotNull(), bind(_measured(pieces, ranges["cells"]), judged))
 
 
 def chosen_tables(judged: Column, keep_all: Column) -> Column:
-    """Distinct tables by content, in order: all where ``keep_all``, else data tables only."""
-    kept = F.filter(judged, lambda t: keep_all | t["is_data"])
-    return unpack(F.array_distinct(F.transform(kept, lambda t: t["packed"])))
+    """Distinct non-empty tables by content, in order: all where ``keep_all``, else data tables only.
+
+    Rows and cells of nested tables show in every outer one too. Empty cells and rows are dropped.
+    """
+    def packed(t: Column) -> Column:
+        rows = F.transform(
+            _range(judged["rows"], t["row_from"], t["row_to"]),
+            lambda r: F.array_join(F.filter(_range(judged["texts"], r["cell_from"], r["cell_to"]), lambda x: x != ""), UNIT),
+        )
+        return F.array_join(F.filter(rows, lambda x: x != ""), RECORD)
+
+    kept = F.filter(judged["tables"], lambda t: keep_all | t["is_data"])
+    found = F.array_distinct(F.filter(F.transform(kept, packed), lambda t: t != ""))
+    return unpack(F.coalesce(found, F.array().cast("array<string>")))
 
 
 def unpack(packed: Column) -> Column:
