@@ -219,3 +219,14 @@ def test_entities_without_bounds_and_semicolons(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.d for r in df.select("t", H.inner_text(H.markup(F.col("t"))).alias("d")).collect()}
     assert got == cases
+
+
+def test_many_dropped_elements_take_little_time(pages_of):
+    import time
+
+    html = "<body>" + "<svg><g/><svg>in</svg></svg>text here " * 20_000 + "<script>x</script></body>"
+    df = P.with_markup(pages_of(html)).cache()
+    df.count()
+    start = time.time()
+    assert df.select(F.length(H.visible_text(F.col("markup")))).first()[0] == len("text here " * 20_000) - 1
+    assert time.time() - start < 10

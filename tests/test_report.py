@@ -114,6 +114,21 @@ def test_display_links(spark):
     assert (alone.label, alone.has_more) == ("/only", False)
 
 
+def test_many_links_take_little_time(spark):
+    import time
+
+    links = [(f"text {k}" if k % 3 else "", f"/{k % 40_000}") for k in range(50_000)]
+    df = page(spark, links=links).cache()
+    df.count()
+    start = time.process_time()
+    rows = report.display_links(df, ["page_id"]).collect()
+    assert time.process_time() - start < 5
+    first = {}
+    for text, href in links:
+        first[href] = first.get(href) or text
+    assert [(r.href, r.label) for r in sorted(rows, key=lambda r: r.pos)] == [(h, t or h) for h, t in first.items()]
+
+
 def test_latest_cached_and_missing(spark):
     history = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "x")], "url string, at int, body string")
     assert {r.url: r.body for r in results.latest_per_url(history, ["at"]).collect()} == {"a": "new", "b": "x"}

@@ -115,16 +115,22 @@ def tags(mk: Column, names: str) -> Column:
     return F.regexp_extract_all(mk, F.lit(open_tag(names)), F.lit(0))
 
 
+#: Pieces that one fold of :func:`drop_subtrees` collects.
+_RUN = 256
+
+
 def drop_subtrees(mk: Column, names: list[str]) -> Column:
     """Remove whole elements, nested ones of the same name included.
 
-    A fold over the pieces between such tags keeps the name and depth of the element being
-    dropped; an element that never closes runs to the end of the page.
+    A scan over the pieces between such tags carries the name and depth of the element being
+    dropped; an element that never closes runs to the end of the page. What is kept is collected
+    run by run: a fold copies what it has collected at every step, so its length is bounded.
     """
     pieces = split_at(mk, rf"(?i)<(/?)({'|'.join(names)})(?=[\s/>])", after="<$1$2")
-    start = F.struct(
-        F.lit("").alias("name"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept")
-    )
+    none = F.array().cast("array<string>")
+
+    def state(name: Column, depth: Column, kept: Column) -> Column:
+        return F.struct(name.alias("name"), depth.alias("depth"), kept.alias("kept"))
 
     def step(acc: Column, piece: Column) -> Column:
         def named(name: Column) -> Column:
@@ -137,17 +143,22 @@ def drop_subtrees(mk: Column, names: list[str]) -> Column:
             depth = F.when(acc["depth"] > 0, inside).otherwise(F.when(opens, 1).otherwise(0))
             return bind(
                 depth,
-                lambda d: F.struct(
-                    F.when(acc["depth"] > 0, acc["name"]).otherwise(name).alias("name"),
-                    d.alias("depth"),
-                    F.when(d == 0, F.array_append(acc["kept"], piece)).otherwise(acc["kept"]).alias("kept"),
+                lambda d: state(
+                    F.when(acc["depth"] > 0, acc["name"]).otherwise(name),
+                    d,
+                    F.when(d == 0, F.array_append(acc["kept"], piece)).otherwise(acc["kept"]),
                 ),
             )
 
         return bind(F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z0-9]+)", 1)), named)
 
     def fold(cut: Column) -> Column:
-        joined = F.aggregate(cut, start, step, lambda acc: F.array_join(acc["kept"], ""))
+        def run(acc: Column, number: Column) -> Column:
+            scanned = F.aggregate(F.slice(cut, number * _RUN + 1, _RUN), state(acc["name"], acc["depth"], none), step)
+            return bind(scanned, lambda r: state(r["name"], r["depth"], F.array_append(acc["kept"], F.array_join(r["kept"], ""))))
+
+        numbers = F.sequence(F.lit(0), ((F.size(cut) - 1) / _RUN).cast("int"))
+        joined = F.aggregate(numbers, state(F.lit(""), F.lit(0), none), run, lambda acc: F.array_join(acc["kept"], ""))
         return F.when(F.size(cut) > 1, joined).otherwise(cut[0])
 
     return bind(pieces, fold)

@@ -223,31 +223,39 @@ def display_links(results: DataFrame, keep: list[str], links: str = "links", lim
 
     ``shown`` tells the first ``limit``, ``has_more`` whether the page has others.
     """
-    def first_text(all_links: Column, href: Column) -> Column:
-        texts = F.transform(
-            F.filter(all_links, lambda x: (x["href"] == href) & (x["text"] != "")), lambda x: x["text"]
+    def first_of_runs(items: Column) -> Column:
+        """The least item of every href: items are sorted and those that begin a run are kept."""
+        return bind(
+            F.sort_array(items),
+            lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["href"] != x["href"])),
         )
-        return or_default(F.get(texts, F.lit(0)), "")
 
-    trimmed = results.select(
-        *keep,
-        F.transform(
-            links,
-            lambda x: F.struct(
-                strip(F.coalesce(x["text"], F.lit(""))).alias("text"),
-                strip(F.coalesce(x["href"], F.lit(""))).alias("href"),
+    def by_href(named: Column) -> Column:
+        places = F.transform(named, lambda x, i: F.struct(x["href"].alias("href"), i.alias("at")))
+        texts = F.transform(
+            named,
+            lambda x, i: F.struct(
+                x["href"].alias("href"), (x["text"] == "").alias("blank"), i.alias("at"), x["text"].alias("text")
             ),
-        ).alias("all_links"),
-    ).withColumn(
-        "hrefs",
-        F.array_distinct(F.filter(F.transform("all_links", lambda x: x["href"]), lambda h: h != "")),
-    )
-    labelled = F.transform(
-        "hrefs",
-        lambda h: F.struct(h.alias("href"), first_text(F.col("all_links"), h).alias("text")),
+        )
+        # both are in the order of href
+        return F.zip_with(
+            first_of_runs(places),
+            first_of_runs(texts),
+            lambda p, t: F.struct(p["at"].alias("at"), p["href"].alias("href"), t["text"].alias("text")),
+        )
+
+    trimmed = F.transform(
+        links,
+        lambda x: F.struct(
+            strip(F.coalesce(x["text"], F.lit(""))).alias("text"),
+            strip(F.coalesce(x["href"], F.lit(""))).alias("href"),
+        ),
     )
-    more = F.lit(False) if limit is None else F.size("hrefs") > limit
-    shown = explode_rows(trimmed, [*keep, more.alias("has_more")], labelled, "link")
+    labelled = F.sort_array(bind(F.filter(trimmed, lambda x: x["href"] != ""), by_href))
+    pages = results.select(*keep, labelled.alias("labelled"))
+    more = F.lit(False) if limit is None else F.size("labelled") > limit
+    shown = explode_rows(pages, [*keep, more.alias("has_more")], "labelled", "link")
     text, href = F.col("link.text"), F.col("link.href")
     return shown.select(
         *keep,
