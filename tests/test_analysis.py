@@ -173,3 +173,22 @@ def test_hints_rules_and_missing_analysis(spark):
     assert strategy(spark, rules, website_type="x").scraping_mode == "forum"
     assert strategy(spark, rules, website_type="blog").scraping_mode == "blog"
     assert strategy(spark, has_analysis=False) is None
+
+
+def test_failing_rules_are_skipped_and_counted(spark):
+    def never(rows):
+        raise RuntimeError("broken rule")
+
+    def short(rows):
+        return rows["website_type"].iloc[:0]
+
+    grades = {"x": "forum", "y": "nonsense"}
+    rules = [never, F.lit(None).cast("string"), lambda rows: rows["website_type"].map(grades.__getitem__), short, F.when(F.col("website_type") == "z", "news")]
+    base = {"framework": None, "framework_hints": [], "requires_javascript": False, "recommended_strategy": "", "table_confidence": 0.0, "number_of_tables": 0}
+    schema = "website_type string, has_analysis boolean, framework string, framework_hints array<string>, requires_javascript boolean, recommended_strategy string, table_confidence double, number_of_tables bigint"
+    kinds = ["x", "y", "z", "blog"] * 25 + [None]
+    rows = [(k, k is not None, *base.values()) for k in kinds]
+    found = S.assign_strategy(spark.createDataFrame(rows, schema).repartition(3), rules).collect()
+    got = {(r.website_type, r.strategy.scraping_mode if r.strategy else None, r.rule_failures) for r in found}
+    assert len(found) == 101
+    assert got == {("x", "forum", 1), ("y", "generic", 2), ("z", "news", 3), ("blog", "blog", 3), (None, None, 0)}

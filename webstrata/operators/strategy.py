@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +78,7 @@ def scraping_mode(
     tables: Column,
     rules: Sequence[Column] = (),
 ) -> Column:
-    """Mode of a page. ``rules`` are string columns tried first, in order; only known modes
-    count. Write them with ``try_*`` functions where an input could fail."""
+    """Mode of a page. ``rules`` are string columns tried first, in order; only known modes count."""
     kind = strip(F.lower(F.coalesce(website_type, F.lit(""))))
     wanted = strip(F.lower(F.coalesce(recommended, F.lit(""))))
     count = F.coalesce(tables, F.lit(0))
@@ -111,11 +112,69 @@ def _strategy_fields() -> Column:
     return F.when(F.col("scraping_mode").isNotNull(), fields).alias("strategy")
 
 
-def assign_strategy(pages: DataFrame, rules: Sequence[Column] = (), has: str = "has_analysis") -> DataFrame:
-    """Add the nullable struct ``strategy`` to rows with analysis fields and signals."""
-    mode = _first_known(rules, _builtin_mode())
+#: A rule over rows, as a frame with the columns of the pages, that gives the mode of each row or none.
+Rule = Column | Callable[[pd.DataFrame], pd.Series]
+
+
+def tried(rule: Callable[[pd.DataFrame], pd.Series], rows: pd.DataFrame) -> tuple[list, list[bool]]:
+    """A rule's mode per row, and which rows it fails on.
+
+    The rule sees all rows at once. If it raises, halves are tried until the rows that it fails on
+    stand alone, so a few bad rows cost a logarithm and leave the others their mode.
+    """
+    if not len(rows):
+        return [], []
+    try:
+        modes = list(rule(rows))
+        if len(modes) != len(rows):
+            raise ValueError(f"{len(modes)} modes for {len(rows)} rows")
+        return modes, [False] * len(rows)
+    except Exception:  # whatever a rule raises concerns only the rows it raises for
+        if len(rows) == 1:
+            return [None], [True]
+        half = len(rows) // 2
+        (a, x), (b, y) = tried(rule, rows.iloc[:half]), tried(rule, rows.iloc[half:])
+        return a + b, x + y
+
+
+def rule_choice(pages: DataFrame, rules: Sequence[Rule], has: Column) -> Column:
+    """``struct<mode,failures>``: the first known mode that a rule gives, and how many rules failed before it."""
+    given = F.array(*[r if isinstance(r, Column) else F.lit(None).cast("string") for r in rules])
+    functions = [None if isinstance(r, Column) else r for r in rules]
+    known = set(MODES)
+
+    def choose(rows: pd.DataFrame, given: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        mode, failures = pd.Series([None] * len(rows), dtype=object), pd.Series([0] * len(rows))
+        open_rows = np.flatnonzero(wanted.fillna(False).to_numpy(bool))
+        for k, rule in enumerate(functions):
+            if rule is None:
+                found = [given.iloc[i][k] for i in open_rows]
+            else:
+                found, failed = tried(rule, rows.iloc[open_rows])
+                failures.iloc[open_rows] += np.array(failed, int)
+            hit = np.array([isinstance(m, str) and m in known for m in found], bool)
+            mode.iloc[open_rows[hit]] = [m for m, h in zip(found, hit) if h]
+            open_rows = open_rows[~hit]
+        return pd.DataFrame({"mode": mode, "failures": failures})
+
+    decide = F.pandas_udf(choose, "mode string, failures bigint")
+    return decide(F.struct(*pages.columns), given, has)
+
+
+def assign_strategy(pages: DataFrame, rules: Sequence[Rule] = (), has: str = "has_analysis") -> DataFrame:
+    """Add the nullable struct ``strategy`` to rows with analysis fields and signals.
+
+    Custom rules go first, in order. One given as a column is part of the plan, and an error in it
+    ends the job. One given as a function may fail: it is skipped for the rows it fails on, and
+    ``rule_failures`` is added, the number of rules that failed on a row before one decided.
+    """
     registry = F.broadcast(definitions(pages.sparkSession))
-    joined = pages.withColumn("scraping_mode", F.when(F.coalesce(F.col(has), F.lit(False)), mode)).join(
-        registry, "scraping_mode", "left"
-    )
-    return joined.select(*pages.columns, _strategy_fields())
+    analysed = F.coalesce(F.col(has), F.lit(False))
+    if all(isinstance(r, Column) for r in rules):
+        mode, extra, ready = _first_known(rules, _builtin_mode()), [], pages
+    else:
+        ready = pages.withColumn("__by_rule", rule_choice(pages, rules, analysed))
+        mode = F.coalesce(F.col("__by_rule.mode"), _builtin_mode())
+        extra = [F.col("__by_rule.failures").alias("rule_failures")]
+    joined = ready.withColumn("scraping_mode", F.when(analysed, mode)).join(registry, "scraping_mode", "left")
+    return joined.select(*pages.columns, _strategy_fields(), *extra)

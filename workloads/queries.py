@@ -355,12 +355,14 @@ def strategy_flags(spark, sf):
 
 @query
 def strategy_custom_rule(spark, sf):
+    by_tables = {1: "wiki", 2: "no_such_mode"}  # fails for other numbers of tables
     rules = [
         F.when(F.col("table_confidence") > 0.9, F.lit("no_such_mode")),
         F.when(F.col("content_confidence") > 0.9, F.lit("article")),
+        lambda rows: rows["number_of_tables"].map(by_tables.__getitem__),
         F.when(F.col("website_type") == "Blog", F.lit("news")),
     ]
-    return S.assign_strategy(D.customer_analysis(spark, sf), rules).select("c_custkey", "strategy.scraping_mode")
+    return S.assign_strategy(D.customer_analysis(spark, sf), rules).select("c_custkey", "strategy.scraping_mode", "rule_failures")
 
 
 # --- results --------------------------------------------------------------------------------
