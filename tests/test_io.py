@@ -1,15 +1,18 @@
 import csv
 import glob
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from webstrata import session
+from webstrata.operators import capture as C
 from webstrata.operators import pages as P
 from webstrata.operators import results as R
 from webstrata.plans.structure import capture_failures, structure_captures, structure_pages
 from webstrata.sources import pages as sources
 from webstrata.sources import sinks
+from webstrata.sources.addresses import file_groups
 from webstrata.streaming import ingest as streams
 
 RESULTS = "links array<struct<text:string,href:string>>, tables array<array<array<string>>>"
@@ -153,7 +156,7 @@ def body(n, extra=""):
     return f"<html><title>T{n}</title>{extra}<p>{'text of the page ' * 40}</p></html>"
 
 
-def test_capture_log_end_to_end(spark, monkeypatch):
+def test_capture_log_end_to_end(spark, monkeypatch, tmp_path):
     schema = "url string, method string, attempt int, status_code int, content_type string, body string, error string"
     rows = [
         ("plain", "Requests", 1, 200, "text/html", body("static"), None),
@@ -170,9 +173,10 @@ def test_capture_log_end_to_end(spark, monkeypatch):
         [(u, 1, 200, answer) for u in ("plain", "app", "app2")] + [("quiet", 1, 200, "[]")],
         "url string, attempt int, status_code int, content string",
     )
-    for most in (0, 500_000):
-        monkeypatch.setattr("webstrata.plans.structure.BROADCAST_ATTEMPTS", most)
-        got = {r.url: r for r in structure_captures(captures, responses).collect()}
+    captures.repartition(3).write.parquet(str(tmp_path / "log"))
+    for most, log in ((1, captures.repartition(4)), (500_000, captures), (2, str(tmp_path / "log"))):
+        monkeypatch.setattr("webstrata.sources.addresses.ADDRESSES", most)
+        got = {r.url: r for r in structure_captures(log, responses, spark=spark).collect()}
         assert set(got) == {"plain", "app", "app2", "quiet"}
         assert {u: (r.title, r.scrape_method) for u, r in got.items()} == {
             "plain": ("Tstatic", "Requests"), "app": ("Trendered", "Playwright"), "app2": ("Tonly", "Requests"), "quiet": ("Tquiet", "Requests"),
@@ -193,6 +197,39 @@ def test_hot_url_does_not_change_the_result(spark):
     assert got.where("url = 'hot'").first().title == "T150"
 
 
+def exchanged(df):
+    """Inputs of all exchanges of a plan."""
+    text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sections = re.split(r"\n(?=\(\d+\) )", text)
+    return [s for s in sections if re.match(r"\(\d+\) (?:Broadcast)?Exchange", s)]
+
+
+def test_no_body_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr("webstrata.sources.addresses.ADDRESSES", 150)
+    schema = "url string, method string, attempt int, status_code int, content_type string, body string, error string"
+    rows = [(f"u{i % 300}", "Requests" if i % 2 else "Playwright", i, 200, "text/html", body(i), None) for i in range(1200)]
+    seen = C.classify(spark.createDataFrame(rows, schema).repartition(6))
+    needs = spark.createDataFrame([(f"u{i}", i % 3 == 0) for i in range(300)], "url string, requires_rendered boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for chosen in (C.select_attempts(seen), C.reselect(seen, needs)):
+            moved = exchanged(chosen)
+            assert len(moved) >= 2  # several groups of files
+            assert not any("body" in m for m in moved)
+            assert chosen.count() == chosen.select("url").distinct().count() == 300
+            assert chosen.columns == seen.columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_file_groups_hold_bounded_choices():
+    counts = [(k, 1 + k % 7) for k in range(50)] + [(99, 1000)]
+    groups = file_groups(counts, 20)
+    assert sorted(f for g in groups for f in g) == sorted(f for f, _ in counts)
+    assert all(sum(dict(counts)[f] for f in g) <= 20 for g in groups if g != [99])
+    assert file_groups([], 20) == []
+
+
 def test_latest_with_many_versions(spark):
     history = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), "id")).alias("url"), "id")
     assert R.latest_per_url(history, ["id"]).where("url = 'hot'").first().id == 999

@@ -2,16 +2,20 @@
 
 A capture row is ``(url, method, attempt, status_code, content_type, body, error, fetched_at)``;
 ``(url, method, attempt)`` identifies it. Choices are made on a packed number per URL, which
-aggregates partially on the map side (a URL with very many attempts stays cheap); bodies
-are only touched by the final equi join.
+aggregates partially on the map side (a URL with very many attempts stays cheap); bodies are read
+in place at the addresses of the chosen rows and never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.text import strip
+from webstrata.session import written
+from webstrata.sources.addresses import address, fetch, stored
 
 STATIC, RENDERED = "Requests", "Playwright"
 MIN_HTML_LENGTH = 500
@@ -143,36 +147,54 @@ def priority(ok: Column | None = None) -> Column:
 
 def best_attempts(classified: DataFrame) -> DataFrame:
     """``(url, first_choice, rendered_choice)``: packed priorities of the best attempt overall
-    and of the best usable rendered one (NULL if none). Reads no bodies beyond ``outcome``."""
+    and of the best usable rendered one (NULL if none). Reads no bodies beyond ``outcome``.
+
+    Where the rows carry an address (``file``, ``row``), so do the choices: ``first_file``,
+    ``first_row``, ``rendered_file``, ``rendered_row``.
+    """
     usable_rendered = (F.col("outcome") == "ok") & (F.col("method") == RENDERED)
-    light = classified.select(
-        "url", priority().alias("p"), F.when(usable_rendered, priority()).alias("r")
+    place = [c for c in ("file", "row") if c in classified.columns]
+    light = classified.select("url", *place, priority().alias("p"), F.when(usable_rendered, priority()).alias("r"))
+    return light.groupBy("url").agg(
+        F.min("p").alias("first_choice"),
+        F.min("r").alias("rendered_choice"),
+        *[F.min_by(c, "p").alias(f"first_{c}") for c in place],
+        *[F.min_by(c, "r").alias(f"rendered_{c}") for c in place],
     )
-    return light.groupBy("url").agg(F.min("p").alias("first_choice"), F.min("r").alias("rendered_choice"))
+
+
+def _fetched(classified: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Whole rows at the addresses that ``choose`` picks from the light ones; bodies are written once and never shuffled."""
+    spark = classified.sparkSession
+    path = stored(classified, "classified")
+    light = spark.read.parquet(path).select("url", "method", "attempt", "outcome", *address())
+    return fetch(spark, path, light, written(choose(light), "chosen"))
 
 
 def select_attempts(classified: DataFrame) -> DataFrame:
     """One row per URL: the usable attempt, else the first failure."""
-    best = best_attempts(classified).select("url", F.col("first_choice").alias("choice"))
-    return classified.withColumn("choice", priority()).join(best, ["url", "choice"]).drop("choice")
+    return _fetched(
+        classified, lambda light: best_attempts(light).select(F.col("first_file").alias("file"), F.col("first_row").alias("row"))
+    )
 
 
 def reselect(classified: DataFrame, needs: DataFrame) -> DataFrame:
     """One usable attempt per URL; the rendered one where ``needs(url, requires_rendered)`` says
     so and it exists."""
-    wanted = F.coalesce(F.col("requires_rendered"), F.lit(False))
-    choice = (
-        best_attempts(classified)
-        .where(F.col("first_choice") < 2**34)
-        .join(needs.select("url", "requires_rendered"), "url", "left")
-        .select(
-            "url",
-            F.when(wanted, F.coalesce("rendered_choice", "first_choice"))
-            .otherwise(F.col("first_choice"))
-            .alias("choice"),
-        )
-    )
-    return classified.withColumn("choice", priority()).join(choice, ["url", "choice"]).drop("choice")
+    wanted = F.coalesce(F.col("requires_rendered"), F.lit(False)) & F.col("rendered_choice").isNotNull()
+
+    def choose(light: DataFrame) -> DataFrame:
+        usable = best_attempts(light).where(F.col("first_choice") < 2**34)
+        asked = usable.join(needs.select("url", "requires_rendered"), "url", "left")
+        return asked.select(*[F.when(wanted, F.col(f"rendered_{c}")).otherwise(F.col(f"first_{c}")).alias(c) for c in ("file", "row")])
+
+    return _fetched(classified, choose)
+
+
+def first_failures(light: DataFrame) -> DataFrame:
+    """Of classified attempts without bodies, the one of each URL that has no usable attempt."""
+    best = best_attempts(light).where(F.col("first_choice") >= 2**34).select("url", F.col("first_choice").alias("choice"))
+    return light.withColumn("choice", priority()).join(best, ["url", "choice"]).drop("choice")
 
 
 def failure_summary(classified: DataFrame) -> DataFrame:

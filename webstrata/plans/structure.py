@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions.memo import per_context
@@ -19,9 +19,7 @@ from webstrata.operators import pages as P
 from webstrata.operators import results as R
 from webstrata.operators import strategy as S
 from webstrata.session import written
-
-#: Up to so many URLs the winning attempts are broadcast.
-BROADCAST_ATTEMPTS = 500_000
+from webstrata.sources.addresses import address, fetch, stored
 
 RESULT_COLUMNS = [
     "url", "title", "clean_text", "content_length", "headings", "paragraphs", "links", "tables",
@@ -62,33 +60,35 @@ def structure_pages(
 
 
 def structure_captures(
-    captures: DataFrame,
+    captures: DataFrame | str,
     responses: DataFrame | None = None,
-    rules: Sequence[Column] = (),
+    rules: Sequence[S.Rule] = (),
+    spark: SparkSession | None = None,
 ) -> DataFrame:
     """Results for a capture log, one row per URL with a usable attempt.
 
-    Signals and analysis belong to the first usable attempt; where the strategy asks for
-    rendering, text and structure come from the rendered attempt if there is one. Bodies are read
-    twice: once to classify every attempt, which writes light rows, and once for the at most two
-    attempts per URL that can win. Up to ``BROADCAST_ATTEMPTS`` winners are sent to the scans, so
-    that no losing body moves; beyond it they meet in a semi join on (url, attempt), a key that a
-    URL with very many attempts does not skew. What they yield is written once, too.
+    ``captures`` is the path of a Parquet table (then with ``spark``), which is read where it is, or
+    a frame, which is written once to the shared folder. Signals and analysis belong to the first
+    usable attempt; where the strategy asks for rendering, text and structure come from the rendered
+    attempt if there is one. Choices are made on light rows that carry addresses; the bodies of
+    the at most two attempts per URL that can win are then read in place, so no body moves between
+    tasks, whatever the number of URLs. What they yield is written once, too.
     """
-    outcomes = written(C.classify(captures).select("url", "method", "attempt", "outcome"), "outcomes")
+    if isinstance(captures, str):
+        path, seen = captures, C.classify(spark.read.parquet(captures))
+        light = seen.select("url", "method", "attempt", "outcome", *address())
+    else:
+        spark = captures.sparkSession
+        path = stored(C.classify(captures).drop("message", "api_status"), "captures")
+        light = spark.read.parquet(path).select("url", "method", "attempt", "outcome", *address())
+    outcomes = written(light, "outcomes")
     best = written(C.best_attempts(outcomes).where(F.col("first_choice") < 2**34), "best-attempts")
-    wanted = best.select(
-        "url",
-        F.explode_outer(
-            F.array_distinct(F.array_compact(F.array("first_choice", "rendered_choice")))
-        ).alias("choice"),
+    wanted = best.select(F.col("first_file").alias("file"), F.col("first_row").alias("row")).unionByName(
+        best.where("rendered_choice <> first_choice").select(F.col("rendered_file").alias("file"), F.col("rendered_row").alias("row"))
     )
-    if best.count() <= BROADCAST_ATTEMPTS:
-        wanted = F.broadcast(wanted)
-    # Choices of usable attempts only are wanted, and a choice names one attempt of its URL.
-    bodies = captures.select("url", "method", "body", C.priority(F.lit(True)).alias("choice"))
-    candidates = bodies.join(wanted, ["url", "choice"], "left_semi")
-    extracts = written(P.extract(candidates, ["url", "method", "choice"], "body"), "extracts")
+    best = best.select("url", "first_choice", "rendered_choice")
+    bodies = fetch(spark, path, outcomes, wanted).select("url", "method", "body", C.priority(F.lit(True)).alias("choice"))
+    extracts = written(P.extract(bodies, ["url", "method", "choice"], "body"), "extracts")
     signals = extracts.select(
         "url", F.col("choice").alias("first_choice"), "number_of_tables", "framework_hints"
     )
@@ -107,6 +107,4 @@ def structure_captures(
 def capture_failures(captures: DataFrame) -> DataFrame:
     """``(url, outcome, api_status, message)`` of URLs without any usable attempt."""
     light = C.classify(captures).select("url", "method", "attempt", "outcome", "api_status", "message")
-    return C.select_attempts(written(light, "outcomes")).where("outcome <> 'ok'").select(
-        "url", "outcome", "api_status", "message"
-    )
+    return C.first_failures(written(light, "outcomes")).select("url", "outcome", "api_status", "message")

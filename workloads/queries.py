@@ -66,14 +66,14 @@ def capture_outcome(spark, sf):
 
 @query
 def attempt_select(spark, sf):
-    light = C.classify(D.fetches(spark, sf)).withColumn("body_md5", F.md5("body")).drop("body")
-    return C.select_attempts(light).select("url", "method", _big("attempt"), "outcome", "message", "body_md5")
+    chosen = C.select_attempts(C.classify(D.fetches(spark, sf)))
+    return chosen.select("url", "method", _big("attempt"), "outcome", "message", F.md5("body").alias("body_md5"))
 
 
 @query
 def adaptive_reselect(spark, sf):
     needs = D.table(spark, sf, "pages").select("url", (F.col("page_id") % 2 == 0).alias("requires_rendered"))
-    return C.reselect(C.classify(D.fetches(spark, sf)).drop("body"), needs).select("url", "method", _big("attempt"))
+    return C.reselect(C.classify(D.fetches(spark, sf)), needs).select("url", "method", _big("attempt"))
 
 
 @query
