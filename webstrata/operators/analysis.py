@@ -108,20 +108,19 @@ def prompts(
 def select_responses(responses: DataFrame, attempts: int | None = None) -> DataFrame:
     """``(url, content)``: the first usable answer, NULL if none; ``attempts`` keeps later ones out.
 
-    The attempt is chosen on light rows by a hash aggregate with partial results; its content then
-    comes by an equi join, so no answer is sorted or carried through the aggregate. Of answers
-    with one attempt number the smallest by a hash of the content counts.
+    One hash aggregate with partial results finds the attempt of every URL on light rows; its
+    content then comes by an equi join, so no answer is sorted or carried through the aggregate. Of
+    answers with one attempt number the smallest by a hash of the content counts.
     """
     usable = (F.col("status_code") == 200) & (F.coalesce("content", F.lit("")) != "")
     if attempts is not None:
         usable = usable & (F.col("attempt") <= attempts)
-    good = responses.where(usable & F.col("url").isNotNull())
-    first = good.groupBy("url").agg(F.min("attempt").alias("attempt"))
-    rows = good.join(first, ["url", "attempt"]).select("url", "content", F.xxhash64("content").alias("tie"))
-    ties = rows.groupBy("url").agg(F.min("tie").alias("tie"))
-    chosen = rows.join(ties, ["url", "tie"]).select("url", "content").dropDuplicates(["url"])
-    asked = responses.select("url").where(F.col("url").isNotNull()).distinct()
-    return asked.join(chosen, "url", "left")
+    # attempt and hash as one number
+    place = F.col("attempt").cast("decimal(38,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + F.xxhash64("content").cast("decimal(20,0)")
+    rows = responses.where(F.col("url").isNotNull()).select("url", "content", F.when(usable, place.cast("decimal(38,0)")).alias("place"))
+    first = rows.groupBy("url").agg(F.min("place").alias("place"))
+    chosen = rows.where(F.col("place").isNotNull()).join(first, ["url", "place"]).select("url", "content").dropDuplicates(["url"])
+    return first.select("url").join(chosen, "url", "left")
 
 
 def _unfenced(text: Column) -> Column:

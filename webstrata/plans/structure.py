@@ -100,7 +100,8 @@ def structure_captures(
     chosen = planned.withColumn("choice", choice).drop(
         "first_choice", "rendered_choice", "number_of_tables", "framework_hints"
     )
-    rows = extracts.drop("number_of_tables", "framework_hints").join(chosen, ["url", "choice"])
+    # Written, for the join below would test the choice for null ahead of it and parse every answer again for that.
+    rows = extracts.drop("number_of_tables", "framework_hints").join(written(chosen, "choices"), ["url", "choice"])
     return _finish(rows.withColumn("scrape_method", F.col("method")), [])
 
 
