@@ -127,29 +127,40 @@ def test_latest_result_over_batches(spark, tmp_path):
 
 
 def test_repeats_are_suppressed_within_the_horizon(spark, tmp_path):
-    schema = "url string, fetched_at timestamp"
-    source = str(tmp_path / "in")
+    schema = "url string, n bigint, fetched_at timestamp"
+    source, state = str(tmp_path / "in"), str(tmp_path / "c")
 
     def arrive(*rows):
-        df = spark.createDataFrame(list(rows), "url string, t string").select("url", F.col("t").cast("timestamp").alias("fetched_at"))
-        df.coalesce(1).write.mode("append").parquet(source)
+        df = spark.createDataFrame(list(rows), "url string, n bigint, t string").select("url", "n", F.col("t").cast("timestamp").alias("fetched_at"))
+        df.write.mode("append").parquet(source)
 
     def run():
-        kept = streams.suppress_repeats(streams.page_stream(spark, source, schema), "1 day")
+        kept = streams.suppress_repeats(streams.page_stream(spark, source, schema), "1 day", delay="2 hours")
         query = (
-            kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+            kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state)
             .trigger(availableNow=True).start()
         )
         query.awaitTermination()
-        return query
-
-    arrive(("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 05:00:00"), ("b", "2024-01-03 00:00:00"))
-    run()
-    arrive(("b", "2024-01-03 10:00:00"), ("a", "2024-01-05 00:00:00"), ("c", "2023-12-01 00:00:00"))
-    late = streams.late_rows(run())
-    kept = sorted((r.url, str(r.fetched_at)[:10]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert kept == [("a", "2024-01-01"), ("a", "2024-01-05"), ("b", "2024-01-03")]
-    assert late == 1
+        return streams.late_rows(query)
+
+    def states(name):
+        found = spark.read.format("statestore").option("stateVarName", name).load(state)
+        return {r["key"][0] for r in found.select("key").collect()}
+
+    # "a" at 05:00 is a repeat of 00:30, which comes after it; "b" waits for the watermark
+    arrive(("a", 1, "2024-01-01 05:00:00"), ("a", 2, "2024-01-01 06:00:00"), ("b", 3, "2024-01-01 06:30:00"))
+    assert run() == 0
+    assert states("waiting") == {"a", "b"} and states("kept") == set()
+    arrive(("a", 4, "2024-01-01 04:31:00"), ("b", 5, "2024-01-03 00:00:00"), ("a", 6, "2024-01-02 04:30:59"), ("a", 7, "2024-01-02 04:31:00"))
+    assert run() == 0
+    assert states("kept") == {"a"}  # the horizon of "b" is over
+    arrive(("c", 8, "2024-01-01 00:00:00"), ("b", 9, "2024-01-02 23:00:00"), (None, 10, "2024-02-01 00:00:00"))
+    assert run() == 1
+    assert states("kept") == set() and states("waiting") == set()
+    kept = sorted((r.url, r.n, str(r.fetched_at)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert kept == [
+        ("a", 4, "2024-01-01 04:31:00"), ("a", 7, "2024-01-02 04:31:00"), ("b", 3, "2024-01-01 06:30:00"), ("b", 9, "2024-01-02 23:00:00"),
+    ]
 
 
 def body(n, extra=""):

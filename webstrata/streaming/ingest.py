@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from webstrata.operators.results import latest_per_url
 
@@ -51,11 +53,103 @@ def compact(spark: SparkSession, out: str, target: str, order: list[str]) -> Non
     latest_results(spark, out, order).write.mode("overwrite").partitionBy("batch_id").parquet(target)
 
 
+class FirstOfHorizon(StatefulProcessor):
+    """Per key, keeps a row and suppresses those less than ``horizon`` after the last kept one, in event time.
+
+    Rows wait until the watermark has passed them, so the outcome does not depend on the order of
+    arrival. One timer per key wakes the earliest of them; it then decides all rows that the watermark
+    has passed, and a last one forgets the key when its horizon is over. A row that a kept one
+    covers already does not wait.
+    """
+
+    def __init__(self, columns: list[str], at: str, horizon_us: int):
+        self.columns, self.at, self.horizon = columns, columns.index(at), horizon_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "at bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, row string")
+
+    def _wake(self, at: int) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-at // 1000))  # timers are in milliseconds
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.kept.get()
+        came = []
+        for frame in rows:
+            times = frame[self.columns[self.at]].to_numpy("datetime64[us]").astype("int64").tolist()
+            texts = frame.to_json(orient="values", lines=False, date_format="iso", date_unit="us")
+            came += [(at, json.dumps(row)) for at, row in zip(times, json.loads(texts))]
+        if last is not None:
+            came = [r for r in came if not last[0] <= r[0] < last[0] + self.horizon]
+        if came and key[0] is not None:  # rows without a key only move the watermark
+            self.waiting.appendList(came)
+            self._wake(min(at for at, _ in self.waiting.get()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((at, row) for at, row in self.waiting.get())
+        last = self.kept.get()
+        last = last[0] if last is not None else None
+        out, later = [], []
+        for at, row in rows:
+            if at > passed:
+                if last is None or at >= last + self.horizon:
+                    later.append((at, row))
+            elif last is None or at >= last + self.horizon:
+                out.append(json.loads(row))
+                last = at
+        if later:
+            self.waiting.put(later)
+        elif rows:
+            self.waiting.clear()
+        if last is not None and passed >= last + self.horizon:
+            self.kept.clear()
+        elif last is not None:
+            self.kept.update((last,))
+        if later:
+            self._wake(later[0][0])
+        elif last is not None and passed < last + self.horizon:
+            self._wake(last + self.horizon)
+        if out:
+            frame = pd.DataFrame(out, columns=self.columns)
+            frame[self.columns[self.at]] = pd.to_datetime(frame[self.columns[self.at]], utc=True).dt.tz_localize(None)
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+_UNITS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 6 * 10**7, "hour": 36 * 10**8, "day": 864 * 10**8}
+
+
+def _microseconds(span: str) -> int:
+    number, unit = span.split()
+    return int(number) * _UNITS[unit.rstrip("s")]
+
+
 def suppress_repeats(
-    submissions: DataFrame, horizon: str = "1 day", key: str = "url", at: str = "fetched_at"
+    submissions: DataFrame, horizon: str = "1 day", key: str = "url", at: str = "fetched_at", delay: str = "1 hour"
 ) -> DataFrame:
-    """Drop submissions of a URL already seen within ``horizon`` (stream state per URL)."""
-    return submissions.withWatermark(at, horizon).dropDuplicatesWithinWatermark([key])
+    """Drop submissions of a URL less than ``horizon`` after its last kept one (stream state per URL).
+
+    Decisions are made in event time, as soon as the watermark, ``delay`` behind the newest row, has
+    passed a row; rows that come later than that are dropped and counted (:func:`late_rows`). Rows
+    without a key are never kept; they serve to move the watermark on. ``at`` is a timestamp and
+    other columns are texts or numbers. State lives as long as a horizon is open.
+    """
+    spark = submissions.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return (
+        submissions.withWatermark(at, delay)
+        .groupBy(key)
+        .transformWithStateInPandas(
+            FirstOfHorizon(submissions.columns, at, _microseconds(horizon)), submissions.schema, "Append", "EventTime"
+        )
+    )
 
 
 def late_rows(query: StreamingQuery) -> int:

@@ -91,6 +91,24 @@ def fetches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def arriving(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Submissions ``(url, fetched_at, event_id)`` in the order they arrive: ten days at a time.
+
+    Of the last two hours of the first ten days some come with the next part; some of the first
+    days come with the third, which is too late. At last a row without URL from a later year.
+    """
+    day, hour, k = F.dayofmonth("ts"), F.hour("ts"), F.col("event_id")
+    part = F.when((k % 97 == 0) & (day < 5), 3).when((k % 13 == 0) & (day == 10) & (hour >= 22), 2)
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lit("https://example.org/u/"), F.col("user_id").cast("string")).alias("url"),
+        F.col("ts").cast("timestamp").alias("fetched_at"),
+        "event_id",
+        part.otherwise(F.least(F.ceil(day / 10), F.lit(3))).alias("part"),
+    )
+    end = spark.sql("SELECT CAST(NULL AS string) AS url, TIMESTAMP '2030-01-01 00:00:00' AS fetched_at, CAST(NULL AS bigint) AS event_id")
+    return [*[rows.where(F.col("part") == n).drop("part") for n in (1, 2, 3)], end]
+
+
 def heading_pages(spark: SparkSession, sf: str) -> DataFrame:
     extra = '<h2 class="a>b">Lead &amp; <i>more</i></h2><H4 id=x>Deep</H4><h3> </h3><h2>Lead &amp; more</h2><h1>'
     return pages(spark, sf).withColumn("html", F.replace("html", F.lit("<h1>"), F.lit(extra)))

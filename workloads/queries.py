@@ -587,21 +587,25 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_suppress(spark, sf):
-    """Submissions from the event stream, repeats of a user's page left out."""
+    """Submissions of a month arrive in three parts, some out of order and some too late; repeats within a day are left out.
+
+    ``late`` counts the rows that came behind the watermark. A last row without URL moves the watermark to the end.
+    """
     folder = shared_folder(spark, "suppress")
-    schema = "event_id bigint, ts timestamp_ntz, user_id bigint"
-    source = I.page_stream(spark, f"{sf}/events.parquet", schema).select(
-        F.concat(F.lit("https://example.org/u/"), F.col("user_id").cast("string")).alias("url"),
-        F.col("ts").cast("timestamp").alias("fetched_at"),
-    )
-    (
-        I.suppress_repeats(source, "60 days").select("url")
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/kept")
-        .option("checkpointLocation", f"{folder}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.schema("url string").parquet(f"{folder}/kept")
+    schema = "url string, fetched_at timestamp, event_id bigint"
+    for submissions in D.arriving(spark, sf):
+        submissions.write.mode("append").parquet(f"{folder}/in")
+        run = (
+            I.suppress_repeats(I.page_stream(spark, f"{folder}/in", schema), "1 day", delay="3 hours")
+            .writeStream.format("parquet")
+            .option("path", f"{folder}/kept")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+        late = spark.createDataFrame([(I.late_rows(run),)], "late bigint")
+        late.write.mode("append").parquet(f"{folder}/late")
+    counted = spark.read.parquet(f"{folder}/late").agg(F.sum("late").alias("late"))
+    kept = spark.read.schema(schema).parquet(f"{folder}/kept")
+    return kept.crossJoin(counted).select("url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "event_id", "late")
