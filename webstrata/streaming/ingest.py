@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -152,6 +153,17 @@ def suppress_repeats(
     )
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Streams that start inside keep their state in ``n`` partitions, for good; one or two per core are enough."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows dropped behind the watermark so far in the kept progress reports."""
     return sum(

@@ -595,15 +595,16 @@ def stream_suppress(spark, sf):
     schema = "url string, fetched_at timestamp, event_id bigint"
     for submissions in D.arriving(spark, sf):
         submissions.write.mode("append").parquet(f"{folder}/in")
-        run = (
-            I.suppress_repeats(I.page_stream(spark, f"{folder}/in", schema), "1 day", delay="3 hours")
-            .writeStream.format("parquet")
-            .option("path", f"{folder}/kept")
-            .option("checkpointLocation", f"{folder}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
-        run.awaitTermination()
+        with I.state_partitions(spark, spark.sparkContext.defaultParallelism):
+            run = (
+                I.suppress_repeats(I.page_stream(spark, f"{folder}/in", schema), "1 day", delay="3 hours")
+                .writeStream.format("parquet")
+                .option("path", f"{folder}/kept")
+                .option("checkpointLocation", f"{folder}/state")
+                .trigger(availableNow=True)
+                .start()
+            )
+            run.awaitTermination()
         late = spark.createDataFrame([(I.late_rows(run),)], "late bigint")
         late.write.mode("append").parquet(f"{folder}/late")
     counted = spark.read.parquet(f"{folder}/late").agg(F.sum("late").alias("late"))
