@@ -73,6 +73,86 @@ def test_forward_sums_all_segmentations(vocabulary):
         assert np.allclose(np.exp(scores), total, rtol=1e-9)
 
 
+def summed(word, p, number, unknown):
+    """Log of the sum over all segmentations, by logarithms throughout."""
+    longest, sums = max(map(len, number)), [np.zeros(p.shape[1])]
+    for j in range(1, len(word) + 1):
+        parts = [(sums[j - k], word[j - k : j]) for k in range(1, min(j, longest) + 1)]
+        terms = [a + np.log(p[number.get(x, unknown)]) for a, x in parts if x in number or len(x) == 1]
+        sums.append(np.logaddexp.reduce(terms, axis=0))
+    return sums[-1]
+
+
+def numbered(path):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [sp.id_to_piece(k) for k in range(sp.vocab_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k))]
+    return {x: k for k, x in enumerate(pieces)}
+
+
+def test_long_words_are_summed_whole(vocabulary, monkeypatch):
+    path = vocabulary("piece_bpe_32k.model")
+    number, table = numbered(path), G.piece_table(path)
+    p = np.random.default_rng(1).random((table.size + 1, 3)) ** 4 * 1e-3 + 1e-12
+    model = G.Model(path, ["aa", "bb", "cc"], p)
+    rng = random.Random(2)
+    words = ["donaudampfschifffahrtsgesellschaft", "rindfleischetikettierung", "ꙮ" * 60, "ein" * 6] + [
+        "".join(rng.choice(["ung", "en", "th", "x", "ꙮ", "tion", "q"]) for _ in range(n)) for n in (9, 16, 17, 40, 300)
+    ]
+    want = np.array([summed("▁" + w, p, number, table.size) for w in words])
+    assert np.allclose(G.word_scores(model, words), want, rtol=1e-11)
+    for window in (20, 64):
+        monkeypatch.setattr(G, "WINDOW", window)
+        assert np.allclose(G.word_scores(model, words), want, rtol=1e-11)
+
+
+def test_fit_counts_pieces_of_long_words(vocabulary):
+    """One round of expectation maximisation against posteriors taken from the sums before and behind each piece."""
+    path = vocabulary("piece_bpe_32k.model")
+    number, table = numbered(path), G.piece_table(path)
+    words, counts = ["kalo", "donaudampfschifffahrtsgesellschaft", "x" * 40], np.array([[2.0, 0], [1, 3], [0, 1]])
+    p = np.full((table.size + 1, 2), 1.0 / table.size)
+    p[-1] = G.UNKNOWN
+    longest = max(map(len, number))
+    expected = np.zeros((table.size, 2))
+    for word, weight in zip(words, counts):
+        word = "▁" + word
+        whole = summed(word, p, number, table.size)
+        for i in range(len(word)):
+            for k in range(1, min(longest, len(word) - i) + 1):
+                x = word[i : i + k]
+                if x in number:
+                    share = summed(word[:i], p, number, table.size) + np.log(p[number[x]]) + summed(word[i + k :], p, number, table.size) - whole
+                    expected[number[x]] += weight * np.exp(share)
+    want = expected + G.SMOOTHING
+    want *= (1 - G.UNKNOWN) / want.sum(0)
+    assert np.allclose(G.fit(path, ["aa", "bb"], words, counts, rounds=1).p[:-1], want, rtol=1e-9)
+
+
+def test_predictions_equal_brute_force(frame, corpus, edge_rows, vocabulary):
+    """Every row, edge rows included, scored word by word from the fitted probabilities."""
+    path = vocabulary("piece_bpe_32k.model")
+    rows = corpus[:60] + [(d if d is None else d + 2000, t, lang if lang is None else "aa") for d, t, lang in edge_rows]
+    df = frame(rows)
+    model = G.train(df.select("doc_id", "text", "lang").where(~G.held_out()), path)
+    number, unknown = numbered(path), len(model.p) - 1
+    known = {}
+    want = []
+    for d, text, _ in rows:
+        words = G.words_of(text or "")
+        if not words:
+            want.append((d, G.NONE, 0.0))
+            continue
+        for w in set(words) - set(known):
+            known[w] = summed("▁" + w, model.p, number, unknown)
+        total = np.sum([known[w] for w in words], axis=0)
+        best = int(total.argmax())
+        want.append((d, model.languages[best], round(float(1 / np.exp(total - total[best]).sum()), 6)))
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in G.identify(df, path).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_long_words_and_full_memory(vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     model = G.fit(path, ["aa"], ["kalo", "x" * 300], np.ones((2, 1)))

@@ -30,8 +30,9 @@ ROUNDS = 2
 SMOOTHING = 0.05
 #: Probability of a character that the vocabulary lacks, in every language.
 UNKNOWN = 1e-9
-#: Words are cut to sections of this many characters, so that products stay above the least double.
-SECTION = 24
+#: After so many characters the running products of a word are divided by their newest one, whose logarithm is
+#: kept, so that the sum over all segmentations of a word of any length stays within the range of a double.
+RESCALE = 16
 #: Remembered words per worker.
 ENTRIES = 150_000
 #: What a text without letters gets.
@@ -71,67 +72,109 @@ def _piece_rows(table: PieceTable, chars: np.ndarray, unknown: int) -> list[np.n
     return found
 
 
-def forward(p: np.ndarray, found: list[np.ndarray], n: int) -> np.ndarray:
-    """``out[j, w]``: probability of the first j characters of word w per language, over all segmentations.
+def forward(p: np.ndarray, found: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``out[j, w]`` and ``scale[j, w]``: the probability of the first j characters of word w per language, over all
+    segmentations, is out times e to the scale.
 
     The last row of ``p`` must be zero, as ``found`` holds -1 where there is no piece.
     """
-    alpha = np.zeros((n + 1, found[0].shape[0], p.shape[1]))
+    shape = (n + 1, found[0].shape[0], p.shape[1])
+    alpha, scale = np.zeros(shape), np.zeros(shape if n > RESCALE else (1, 1, 1))
     alpha[0] = 1
+    recent = [alpha[0]]  # newest first, all of one scale
     for j in range(1, n + 1):
+        here = alpha[j]
         for length in range(1, min(j, len(found)) + 1):
-            alpha[j] += alpha[j - length] * p[found[length - 1][:, j - length]]
-    return alpha
-
-
-def sections(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words behind the vocabulary's word mark, long ones in several sections, and the word each belongs to."""
-    marked = ["▁" + w for w in words]
-    if max(map(len, marked), default=0) <= SECTION:
-        return marked, np.arange(len(marked))
-    cut = [(w[at : at + SECTION], k) for k, w in enumerate(marked) for at in range(0, len(w), SECTION)]
-    return [w for w, _ in cut], np.array([k for _, k in cut])
+            here += recent[length - 1] * p[found[length - 1][:, j - length]]
+        recent = [here, *recent[: len(found) - 1]]
+        if n > RESCALE:
+            scale[j] += scale[j - 1]
+            if j % RESCALE == 0 and j < n:
+                recent = [r / here for r in recent]  # an unknown character has a probability, so this is above zero
+                scale[j] += np.log(here)
+                alpha[j] = 1
+    return alpha, np.broadcast_to(scale, shape)
+
+
+def backward(p: np.ndarray, found: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`forward`, for what follows the first j characters."""
+    shape = (n + 1, found[0].shape[0], p.shape[1])
+    beta, scale = np.zeros(shape), np.zeros(shape if n > RESCALE else (1, 1, 1))
+    beta[n] = 1
+    recent = [beta[n]]
+    for i in range(n - 1, -1, -1):
+        here = beta[i]
+        for length in range(1, min(n - i, len(found)) + 1):
+            here += p[found[length - 1][:, i]] * recent[length - 1]
+        recent = [here, *recent[: len(found) - 1]]
+        if n > RESCALE:
+            scale[i] += scale[i + 1]
+            if (n - i) % RESCALE == 0 and i:
+                recent = [r / here for r in recent]
+                scale[i] += np.log(here)
+                beta[i] = 1
+    return beta, np.broadcast_to(scale, shape)
+
+
+#: Characters of a word for which pieces are looked up at once.
+WINDOW = 4096
+
+
+def long_word_score(p: np.ndarray, table: PieceTable, word: str, unknown: int) -> np.ndarray:
+    """Log likelihood of one long word: the forward sum, whose memory does not grow with the word."""
+    recent, scale, done = [np.ones(p.shape[1])], np.zeros(p.shape[1]), 0
+    while done < len(word):
+        before = min(done, table.longest - 1)  # pieces that begin in the last window
+        part = word[done - before : done + WINDOW]
+        found = _piece_rows(table, code_points([part], len(part)), unknown)
+        for j in range(before + 1, len(part) + 1):
+            here = sum(recent[k - 1] * p[found[k - 1][0, j - k]] for k in range(1, min(j, len(found), len(recent)) + 1))
+            recent = [here, *recent[: table.longest - 1]]
+            if j % RESCALE == 0:
+                scale += np.log(here)
+                recent = [r / here for r in recent]
+        done += len(part) - before
+    return np.log(recent[0]) + scale
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    """Log likelihood of each word under each language."""
-    table = piece_table(model.vocabulary)
-    parts, owner = sections(words)
-    scores = np.empty((len(parts), len(model.languages)))
+    """Log likelihood of each word, behind the vocabulary's word mark, under each language."""
+    table, marked = piece_table(model.vocabulary), ["▁" + w for w in words]
+    scores = np.empty((len(words), len(model.languages)))
     p = np.append(model.p, np.zeros((1, model.p.shape[1])), 0)  # row -1: no piece
-    for n, group in by_length(parts):
-        chars = code_points([parts[k] for k in group], n)
-        scores[group] = np.log(forward(p, _piece_rows(table, chars, len(model.p) - 1), n)[n])
-    if len(parts) == len(words):
-        return scores
-    out = np.zeros((len(words), len(model.languages)))
-    np.add.at(out, owner, scores)
-    return out
+    unknown = len(model.p) - 1
+    for n, group in by_length(marked):
+        if n > WINDOW:
+            for k in group:
+                scores[k] = long_word_score(p, table, marked[k], unknown)
+            continue
+        alpha, scale = forward(p, _piece_rows(table, code_points([marked[k] for k in group], n), unknown), n)
+        scores[group] = np.log(alpha[n]) + scale[n]
+    return scores
 
 
 def fit(vocabulary: str, languages: list[str], words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Expectation maximisation; ``counts[w, l]`` is how often word w stands in texts of language l."""
-    table = piece_table(vocabulary)
+    table, marked = piece_table(vocabulary), ["▁" + w for w in words]
     size = table.size
     p = np.full((size + 2, len(languages)), 1.0 / size)
     p[size:] = [[UNKNOWN], [0]]
-    parts, owner = sections(words)
     blocks = []
-    for n, group in by_length(parts):
-        found = _piece_rows(table, code_points([parts[k] for k in group], n), size)
-        blocks.append((n, counts[owner[group]], found))
+    for n, group in by_length(marked):
+        found = _piece_rows(table, code_points([marked[k] for k in group], n), size)
+        blocks.append((n, counts[group], found))
     for _ in range(rounds):
         expected = np.zeros_like(p)
         for n, weight, found in blocks:
-            alpha = forward(p, found, n)
-            beta = np.zeros_like(alpha)
-            beta[n] = weight / alpha[n]
-            for i in range(n - 1, -1, -1):
+            (alpha, up), (beta, down) = forward(p, found, n), backward(p, found, n)
+            whole = np.log(alpha[n]) + up[n]
+            for i in range(n):
+                before = weight / alpha[n] * alpha[i]
                 for length in range(1, min(n - i, len(found)) + 1):
                     rows = found[length - 1][:, i]
-                    share = p[rows] * beta[i + length]
-                    beta[i] += share
-                    share *= alpha[i]
+                    if n > RESCALE:
+                        before = weight * alpha[i] * np.exp(up[i] + down[i + length] - whole)
+                    share = before * p[rows] * beta[i + length]
                     for k in range(len(languages)):
                         expected[:, k] += np.bincount(rows + 1, share[:, k], size + 2)
         p[:size] = expected[1 : size + 1] + SMOOTHING
