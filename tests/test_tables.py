@@ -112,6 +112,18 @@ def test_containment(pages_of):
     assert N.contained(nodes, "li", "article").count() == 2
 
 
+def test_containment_takes_no_pairs(pages_of):
+    """20 000 tables inside 20 000 marked elements: pairs would be 2 * 10^8."""
+    n = 20_000
+    html = "<body>" + "<div class=ad>" * n + "<table><tr><td>x</table>" * n + "</div>" * n + "<table></table></body>"
+    nodes = N.page_nodes(pages_of(html)).cache()
+    found = N.shadowed_tables(nodes)
+    assert found.where("shadowed").count() == n and found.count() == n + 1
+    assert N.contained(nodes, "table", "div").count() == n
+    plan = found._jdf.queryExecution().toString() + N.contained(nodes, "table", "div")._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def result_row(spark, tables):
     return spark.createDataFrame([(1, tables)], "page_id bigint, tables array<array<array<string>>>")
 

@@ -7,6 +7,9 @@ than one page's tags of one name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,49 +59,55 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
 
 def contained(nodes: DataFrame, inner: str, outer: str, key: str = "page_id") -> DataFrame:
-    """Elements named ``inner`` inside some ``outer``: semi join on the page with a range test."""
-    o = nodes.where(F.col("tag") == outer).select(
-        F.col(key).alias("outer_key"), F.col("pre").alias("o_pre"), F.col("post").alias("o_post")
-    )
-    i = nodes.where(F.col("tag") == inner)
-    inside = (F.col(key) == F.col("outer_key")) & (F.col("o_pre") < F.col("pre")) & (
-        F.col("pre") < F.col("o_post")
-    )
-    return i.join(o, inside, "left_semi")
+    """Elements named ``inner`` inside some ``outer``: those that open before the last ``outer`` that opened earlier ends.
+
+    A running maximum per page over the elements of the two names; no pair of elements is formed.
+    """
+    before = Window.partitionBy(key).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.max(F.when(F.col("tag") == outer, F.col("post"))).over(before)
+    both = nodes.where(F.col("tag").isin(inner, outer)).withColumn("__ends", ends)
+    return both.where((F.col("tag") == inner) & (F.col("__ends") > F.col("pre"))).drop("__ends")
 
 
 def shadowed_tables(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Tables with an ancestor that marks page furniture, looking outwards up to main/article.
 
-    Only ancestors that can decide (furniture, main, article, body) enter the containment join.
+    Only tables and ancestors that can decide (furniture, main, article, body) are sorted, per page
+    by where they open, and swept once. Of each kind of ancestor the open ones are a stack: what has
+    ended by the present place is taken off its top, and what is then on top opened last.
     """
-    tables = nodes.where("tag = 'table'").select(key, "pre")
-    deciding = nodes.where(F.col("shadows") | F.col("tag").isin("main", "article", "body")).select(
-        F.col(key).alias("a_key"),
-        F.col("pre").alias("a_pre"),
-        F.col("post").alias("a_post"),
-        F.col("tag").alias("a_tag"),
-        F.col("shadows").alias("a_shadows"),
-    )
-    above = (F.col(key) == F.col("a_key")) & (F.col("a_pre") < F.col("pre")) & (
-        F.col("pre") < F.col("a_post")
-    )
-    walls = F.col("a_tag").isin("main", "article")
-    return (
-        tables.join(deciding, above, "left")
-        .groupBy(key, "pre")
-        .agg(
-            F.max(F.when(walls, F.col("a_pre"))).alias("wall"),
-            F.max(F.when(F.col("a_tag") == "body", F.col("a_pre"))).alias("body"),
-            F.max(F.when(F.col("a_shadows") & ~walls, F.col("a_pre"))).alias("shadow"),
-        )
-        .select(
-            key,
-            "pre",
-            F.coalesce(
-                (F.col("shadow") > F.coalesce("wall", F.lit(-1)))
-                & (F.col("shadow") >= F.coalesce("body", F.lit(-1))),
-                F.lit(False),
-            ).alias("shadowed"),
-        )
-    )
+    walls = ("main", "article")
+    deciding = F.col("shadows") | F.col("tag").isin(*walls, "body", "table")
+    rows = nodes.where(deciding).select(key, "pre", "post", "tag", "shadows")
+    rows = rows.repartition(key).sortWithinPartitions(key, "pre")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, begun, open_ = None, False, {}
+
+        def last(kind: str, at: int) -> int:
+            stack = open_[kind]
+            while stack and stack[-1][1] <= at:
+                stack.pop()
+            return stack[-1][0] if stack else -1
+
+        for batch in batches:
+            keep, verdicts = [], []
+            for k, (own, pre, post, tag, shadows) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if not begun or own != page:
+                    page, begun, open_ = own, True, {"wall": [], "body": [], "shadow": []}
+                if tag == "table":
+                    shadow = last("shadow", pre)
+                    keep.append(k)
+                    verdicts.append(shadow > last("wall", pre) and shadow >= last("body", pre))
+                if tag in walls:
+                    open_["wall"].append((pre, post))
+                    continue
+                if tag == "body":
+                    open_["body"].append((pre, post))
+                if shadows:
+                    open_["shadow"].append((pre, post))
+            found = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(verdicts, pa.bool_())], [key, "pre", "shadowed"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(sweep, f"`{key}` {kinds[key]}, pre {kinds['pre']}, shadowed boolean")
