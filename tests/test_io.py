@@ -9,11 +9,14 @@ from webstrata import session
 from webstrata.operators import capture as C
 from webstrata.operators import pages as P
 from webstrata.operators import results as R
+from webstrata.operators.corpus import corpus_rollup
 from webstrata.plans.structure import capture_failures, structure_captures, structure_pages
+from webstrata.sources import packed
 from webstrata.sources import pages as sources
 from webstrata.sources import sinks
 from webstrata.sources.addresses import file_groups
 from webstrata.streaming import ingest as streams
+from webstrata.streaming.snapshot import KeptRollup, Snapshot
 
 RESULTS = "links array<struct<text:string,href:string>>, tables array<array<array<string>>>"
 PAGE = "<html><title>T{n}</title><p>{text}</p>"
@@ -126,6 +129,54 @@ def test_latest_result_over_batches(spark, tmp_path):
     assert {r.url: r.title for r in streams.latest_results(spark, str(tmp_path / "small"), ["page_id"]).collect()} == latest
 
 
+def test_packed_pages_are_read_in_splits(spark, tmp_path):
+    texts = ["<title>Zürich</title>" + "x" * (k * 37 % 400) for k in range(200)] + ["", "<p>" + "y" * 5000, None]
+    rows = [(k, t, ("utf-8", "utf-16")[k % 2]) for k, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, charset string")
+    folder = str(tmp_path / "dump")
+    assert packed.write_packed_pages(pages.coalesce(1), folder) == len(texts)
+    for split, least in ((1000, 40), (1 << 30, 1)):
+        found = packed.read_packed_pages(spark, folder, split=split)
+        assert found.rdd.getNumPartitions() >= least
+        assert {r.page_id: r.html for r in found.collect()} == {k: t or "" for k, t in enumerate(texts)}
+    assert found.where("page_id = 3").first().url.endswith(".dump#3")
+    assert packed.write_packed_pages(pages.limit(0), str(tmp_path / "none")) == 0
+    assert packed.read_packed_pages(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_snapshot_and_rollup_follow_batches(spark, tmp_path):
+    snapshot = Snapshot(spark, str(tmp_path / "s"), ["n"], buckets=4)
+    rollup = KeptRollup(spark, str(tmp_path / "r"), ["host", "mode"], ["size"])
+    schema = "url string, n bigint, host string, mode string, size bigint"
+    snapshot.create(spark.createDataFrame([], schema).schema)
+    snapshot.create(spark.createDataFrame([], schema).schema)
+    batches = [
+        [(f"u{k}", 1, f"h{k % 3}", "a", k) for k in range(30)] + [("u3", 2, "h0", "b", 100), (None, 1, "h0", "a", 5)],
+        [],
+        [("u4", 1, "h1", "b", None), ("new", 1, None, None, 7)],
+        [(f"u{k}", 1, "h9", "z", 1) for k in range(0, 30, 2)],
+    ]
+    newest = {}
+    for number, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, schema)
+        held = snapshot.folders()
+        for again in range(2):  # the second time as after a lost driver
+            gone, came = snapshot.apply(batch, number)
+            rollup.update(gone, came, number)
+        for r in sorted(rows, key=lambda r: r[1]):
+            if r[0] is not None:
+                newest[r[0]] = r
+        assert sorted(map(tuple, snapshot.read().collect())) == sorted(newest.values())
+        full = corpus_rollup(spark.createDataFrame(list(newest.values()), schema), ["host", "mode"], ["size"])
+        columns = full.columns
+        assert rollup.read().columns == columns
+        assert sorted(map(tuple, rollup.read().collect()), key=str) == sorted(map(tuple, full.collect()), key=str)
+        touched = {b for b, p in snapshot.folders().items() if held.get(b) != p}
+        assert len(touched) <= len({r[0] for r in rows if r[0]})  # other buckets stay where they are
+    # a reader sees the batch before while the next one has not pointed to its files
+    assert snapshot.folders(3) == held
+
+
 def test_repeats_are_suppressed_within_the_horizon(spark, tmp_path):
     schema = "url string, n bigint, fetched_at timestamp"
     source, state = str(tmp_path / "in"), str(tmp_path / "c")

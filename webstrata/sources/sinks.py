@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webstrata.operators import tables as T
@@ -34,11 +34,15 @@ def write_tables_csv(
 ) -> None:
     """``keep, table_index, row_index, col_1 .. col_n``; an empty input still yields ``col_1``.
 
-    Without ``width`` the rows are written once to the shared folder, which gives the widest row,
-    so nothing is structured twice.
+    Without ``width`` the rows are written once to the shared folder; the widest one is observed on
+    the way, so nothing is structured or read twice.
     """
     rows = T.table_rows(results, list(keep))
-    _csv(T.wide_rows(rows if width else written(rows, "table-rows"), list(keep), width), path)
+    if not width:
+        seen = Observation()
+        rows = written(rows.observe(seen, F.max(F.size("cells")).alias("width")), "table-rows")
+        width = seen.get["width"] or 1
+    _csv(T.wide_rows(rows, list(keep), width), path)
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -91,6 +91,10 @@ def fetches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: A paragraph that a second visit finds behind the navigation of a page.
+ONE_MORE = "This paragraph was added between the first and the second visit of the page."
+
+
 def arriving(spark: SparkSession, sf: str) -> list[DataFrame]:
     """Submissions ``(url, fetched_at, event_id)`` in the order they arrive: ten days at a time.
 

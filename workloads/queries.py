@@ -21,9 +21,11 @@ from webstrata.operators import tables as T
 from webstrata.plans.structure import capture_failures, structure_captures, structure_pages
 from webstrata.session import shared_folder
 from webstrata.sources import sinks
+from webstrata.sources.packed import read_packed_pages, write_packed_pages
 from webstrata.sources.pages import read_html_bytes
 from webstrata.sources.sinks import as_json
 from webstrata.streaming import ingest as I
+from webstrata.streaming.snapshot import KeptRollup, Snapshot, keep_snapshot
 from workloads import inputs as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,23 +442,36 @@ def results_parquet(spark, sf):
     )
 
 
-@query
-def html_dumps(spark, sf):
-    """Pages written as single files in three character sets, and read back by what each file says of itself."""
-    folder = shared_folder(spark, "dumps")
+def _in_character_sets(spark, sf):
+    """Pages in three character sets, with the bytes' own word for it."""
     k = F.col("page_id") % 3
     meta = F.when(k == 1, F.replace("html", F.lit("<head>"), F.lit('<head><meta charset="windows-1252">')))
-    pages = D.pages(spark, sf).select(
+    return D.pages(spark, sf).select(
         "page_id", F.coalesce(meta, F.col("html")).alias("html"),
         F.when(k == 0, "utf-8").when(k == 1, "cp1252").otherwise("utf-16").alias("charset"),
     )
-    sinks.write_html_files(pages, folder)
+
+
+@query
+def html_dumps(spark, sf):
+    """Pages written as single files in three character sets, and read back by what each file says of itself."""
+    folder = shared_folder(spark, "dumps")
+    sinks.write_html_files(_in_character_sets(spark, sf), folder)
     found = P.parse(read_html_bytes(spark, folder), ["url"])
     return found.select(
         F.regexp_extract("url", r"(\d+)\.html$", 1).cast("bigint").alias("page_id"), "title", F.size("paragraphs").cast("bigint").alias("paragraphs")
     )
 
 
+@query
+def packed_dumps(spark, sf):
+    """The same pages packed into two large files, read back in splits."""
+    folder = shared_folder(spark, "packed")
+    write_packed_pages(_in_character_sets(spark, sf).repartition(2), folder)
+    found = P.parse(read_packed_pages(spark, folder, split=1 << 18), ["page_id"])
+    return found.select("page_id", "title", F.size("paragraphs").cast("bigint").alias("paragraphs"))
+
+
 @query
 def error_catalog(spark, sf):
     """Every failure class with the status and text callers see, and how many attempts ended in it."""
@@ -585,6 +600,44 @@ def stream_ingest(spark, sf):
     return I.latest_results(spark, f"{folder}/results", ["page_id"]).select("url", "page_id", "title", "content_length")
 
 
+def _arrive_twice(spark, sf, folder):
+    """Pages arrive, then every third one again with a new title and one paragraph more."""
+    pages = D.pages(spark, sf)
+    again = pages.where("page_id % 3 = 0").withColumn("html", F.regexp_replace("html", "<title>[^<]*</title>", "<title>Second visit</title>"))
+    longer = again.withColumn("html", F.replace("html", F.lit("</nav>"), F.lit(f"</nav><p>{D.ONE_MORE}</p>")))
+    for arriving in (pages, longer):
+        arriving.write.mode("append").parquet(folder)
+        yield
+
+
+def _structured(batch):
+    rows = R.merge(P.choose(P.extract(batch, ["page_id", "url"])))
+    return R.page_summary(rows, ["page_id", "url", O.host(F.col("url")).alias("host")])
+
+
+@query
+def stream_snapshot(spark, sf):
+    """The newest result per URL as a snapshot in buckets that two batches keep up to date."""
+    folder = shared_folder(spark, "snapshot")
+    snapshot = Snapshot(spark, f"{folder}/results", ["page_id"], buckets=16)
+    for _ in _arrive_twice(spark, sf, f"{folder}/pages"):
+        stream = I.page_stream(spark, f"{folder}/pages", "page_id bigint, url string, html string")
+        keep_snapshot(stream, _structured, snapshot, f"{folder}/state").awaitTermination()
+    return snapshot.read().select("page_id", "url", "title", "paragraphs_count")
+
+
+@query
+def kept_rollup(spark, sf):
+    """Corpus statistics per host, kept by signed changes while results arrive and are replaced."""
+    folder = shared_folder(spark, "kept-rollup")
+    snapshot = Snapshot(spark, f"{folder}/results", ["page_id"], buckets=16)
+    rollup = KeptRollup(spark, f"{folder}/rollup", ["host"], ["paragraphs_count", "links_count"])
+    for _ in _arrive_twice(spark, sf, f"{folder}/pages"):
+        stream = I.page_stream(spark, f"{folder}/pages", "page_id bigint, url string, html string")
+        keep_snapshot(stream, _structured, snapshot, f"{folder}/state", rollup.update).awaitTermination()
+    return rollup.read()
+
+
 @query
 def stream_suppress(spark, sf):
     """Submissions of a month arrive in three parts, some out of order and some too late; repeats within a day are left out.
