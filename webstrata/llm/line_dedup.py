@@ -11,7 +11,7 @@ line of a component (smallest document id, then position) is the one that stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import numpy as np
@@ -35,6 +35,8 @@ WORDS = 16
 BLOCK = 1 << 19
 #: Up to so many ids are sent to all tasks; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Up to so many bytes of positions are sent to all tasks; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,17 +75,9 @@ def signatures(lines: list[str], keys: np.ndarray, width: int = WIDTH, bands: in
     an empty bin takes the value of the next full one. A line shorter than a shingle is one shingle, its key."""
     bins = bands * rows
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     least = np.full((len(lines), bins), np.iinfo(np.uint64).max, np.uint64)
-    ends = sizes.cumsum()
-    if len(chars) >= width:
-        h = np.zeros(len(chars) - width + 1, np.uint64)
-        for k in range(width):
-            h = h * _BASE + chars[k : k + len(h)]
-        h = mix(h)
-        owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-        inside = np.arange(len(h)) + width <= ends[owner]
-        h, owner = h[inside], owner[inside]
+    h, owner = shingle_hashes(lines, width)
+    if len(h):
         slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(least.reshape(-1), owner * bins + slot, mix(h))
     short = sizes < width
@@ -100,6 +94,35 @@ def signatures(lines: list[str], keys: np.ndarray, width: int = WIDTH, bands: in
     return mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def shingle_hashes(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles and the line each belongs to; a line shorter than a shingle has none."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(chars) < width:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.zeros(len(chars) - width + 1, np.uint64)
+    for k in range(width):
+        h = h * _BASE + chars[k : k + len(h)]
+    owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
+    inside = np.arange(len(h)) + width <= sizes.cumsum()[owner]
+    return mix(h[inside]), owner[inside]
+
+
+def parities(lines: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per line the number of different shingles, and bits that flip once per different shingle."""
+    h, owner = shingle_hashes(lines)
+    short = np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) < WIDTH)
+    h, owner = np.append(h, mix(keys[short].view(np.uint64))), np.append(owner, short)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[first], owner[first]
+    bits = 64 * WORDS
+    hits = np.bincount(owner * bits + (h % np.uint64(bits)).astype(np.int64), minlength=len(lines) * bits)
+    return np.bincount(owner, minlength=len(lines)), np.packbits((hits & 1).astype(bool)).view(np.int64).reshape(-1, WORDS)
+
+
 def _blocks(lines: list[str]) -> Iterator[tuple[int, int]]:
     at = total = 0
     for k, line in enumerate(lines):
@@ -143,9 +166,53 @@ def band_rows(signed: DataFrame) -> DataFrame:
     return rows.select("band", F.get("fresh", F.floor(F.col("at") / BANDS).cast("int")).alias("key"))
 
 
+@lru_cache(maxsize=2000)
+def _shingles(line: str, width: int) -> frozenset[str]:
+    return frozenset([line[k : k + width] for k in range(max(1, len(line) - width + 1))])
+
+
+def bucket_rows(rows: DataFrame) -> DataFrame:
+    """``band, key, is_hub`` of the bands with two different keys or more, from repeated ``band, key``.
+
+    Rows meet by band, sorted, and are reduced run by run: nearly all bands have one key and end here.
+    The hub of a bucket is the line that most tasks have (of near copies, the original), then the one
+    of the least hash. A run that goes on in the next batch is carried over with its counts.
+    """
+    rows = rows.select("band", "key", F.xxhash64("key").alias("tie")).repartition("band").sortWithinPartitions("band", "key")
+    schema = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("is_hub", pa.bool_())])
+
+    def buckets(band: np.ndarray, key: np.ndarray, tie: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        """Whole bands, a row per different key."""
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.empty(0, np.int64)
+        size = np.diff(np.append(starts, len(band)))
+        many = np.repeat(size > 1, size)
+        band, key, tie, seen = band[many], key[many], tie[many], seen[many]
+        order = np.lexsort((key, tie, -seen, band))
+        first = np.append(True, band[order][1:] != band[order][:-1]) if len(band) else np.empty(0, bool)
+        hub = np.zeros(len(band), bool)
+        hub[order[first]] = True
+        return pa.RecordBatch.from_arrays([pa.array(band), pa.array(key), pa.array(hub)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy() for c in batch.columns] + [np.ones(batch.num_rows, np.int64)]
+            band, key, tie, seen = (np.append(a, b) for a, b in zip(left, new))
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))
+            band, key, tie, seen = band[starts], key[starts], tie[starts], np.add.reduceat(seen, starts)
+            done = int(np.searchsorted(band, band[-1]))  # the last band may go on
+            yield buckets(band[:done], key[:done], tie[:done], seen[:done])
+            left = [x[done:] for x in (band, key, tie, seen)]
+        yield buckets(*left)
+
+    return rows.mapInArrow(run, "band bigint, key bigint, is_hub boolean")
+
+
 def similarity(x: str, y: str, width: int = WIDTH) -> tuple[int, int]:
-    """Sizes of the intersection and the union of two lines' shingle sets."""
-    a, b = ({s[k : k + width] for k in range(max(1, len(s) - width + 1))} for s in (x, y))
+    """Sizes of the intersection and the union of two lines' shingle sets; those of short lines are remembered."""
+    a, b = ((_shingles if len(s) <= 1000 else _shingles.__wrapped__)(s, width) for s in (x, y))
     both = len(a & b)
     return both, len(a) + len(b) - both
 
@@ -162,20 +229,10 @@ def line_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 1000):
-            sizes, bits = [], []
-            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                h = np.array([key], np.int64).view(np.uint64)
-                if len(chars) >= WIDTH:
-                    h = np.zeros(len(chars) - WIDTH + 1, np.uint64)
-                    for k in range(WIDTH):
-                        h = h * _BASE + chars[k : k + len(h)]
-                h = np.unique(mix(h))
-                hit = np.bincount((h % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
-                sizes.append(len(h))
-                bits.append(np.packbits((hit & 1).astype(bool)).view(np.int64))
-            table = np.array(bits, np.int64).reshape(-1, WORDS)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(table[:, k]) for k in range(WORDS))]
+            keys, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            found = [parities(lines[a:b], keys[a:b]) for a, b in _blocks(lines)]
+            sizes, table = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty((0, WORDS), np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kinds = "key bigint, norm string, n bigint, " + ", ".join(f"p{k} bigint" for k in range(WORDS))
@@ -207,13 +264,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def line_groups(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of the keys of lines that are like another, different line; docs has (norm, keys)."""
-    rows = band_rows(signed).repartition("band").groupBy("band", "key").agg(F.count(F.lit(1)).alias("seen"))
-    # The hub of a bucket is the line that most tasks have: of near copies, the original.
-    rank = F.shiftleft(F.lit(1 << 20) - F.least("seen", F.lit((1 << 20) - 1)), 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    rows = rows.select("band", "key", rank.alias("rank"))
-    hubs = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("hub_rank")).where("n > 1")
-    # few bands have two lines: their hubs are looked up without sorting the rows of all the others
-    buckets = written(rows.join(hubs.hint("shuffle_hash"), "band").select("band", "key", (F.col("rank") == F.col("hub_rank")).alias("is_hub")), "buckets")
+    buckets = written(bucket_rows(band_rows(signed)), "buckets")
     hubs = buckets.where("is_hub").select("band", F.col("key").alias("a"))
     stars = buckets.select("band", F.col("key").alias("b")).join(hubs, "band").where("a <> b")
     stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-stars")
@@ -256,7 +307,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     gone = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone")), "lines-gone")
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
-    joined = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left")
+    n, positions = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    joined = rows.join(F.broadcast(gone) if 64 * n + 8 * positions <= BROADCAST_BYTES else gone, same, "left")
     lines = lines_of(F.col("text"))
     stay = F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("line"), k.alias("pos"))), lambda x: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), x["pos"]))
     kept = joined.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.transform(stay, lambda x: x["line"]).alias("kept"))
