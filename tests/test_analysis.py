@@ -192,3 +192,19 @@ def test_failing_rules_are_skipped_and_counted(spark):
     got = {(r.website_type, r.strategy.scraping_mode if r.strategy else None, r.rule_failures) for r in found}
     assert len(found) == 101
     assert got == {("x", "forum", 1), ("y", "generic", 2), ("z", "news", 3), ("blog", "blog", 3), (None, None, 0)}
+
+
+def test_a_filter_on_the_analysis_reads_no_answer_twice(spark):
+    answers = spark.createDataFrame([(1, '{"warnings": []}'), (2, "[1]")], "id int, content string").repartition(2)
+    rows = A.parse_responses(answers).where("has_analysis")
+    assert [r.id for r in rows.collect()] == [1]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(A.NO_RESPONSE) == 1
+
+
+def test_customers_are_dealt_to_all_tasks(spark, tmp_path):
+    from workloads import inputs as D
+
+    made = spark.createDataFrame([(k, f"c{k}") for k in range(40)], "c_custkey bigint, c_name string")
+    made.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert D.customer_responses(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

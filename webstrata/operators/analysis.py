@@ -146,12 +146,11 @@ def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame
     number gives the fallback record instead.
 
     The steps are chained with ``bind``, so each intermediate is evaluated once per answer and
-    the optimizer cannot multiply them into one another.
+    the optimizer cannot multiply them into one another. The fields leave as a generated row: a
+    later filter on one of them would else be moved below and read every answer a second time.
     """
     rest = [c for c in responses.columns if c != content]
-    return responses.select(*rest, _analysis(content).alias("analysis")).select(
-        *rest, *[F.col(f"analysis.{name}") for name in ["has_analysis", *ANALYSIS_FIELDS]]
-    )
+    return responses.select(*rest, F.inline_outer(F.array(_analysis(content))))
 
 
 @per_context
@@ -214,7 +213,8 @@ def _read_fields(row: Column) -> Column:
     def truthy(key: str) -> Column:
         j = row[key]
         blank = j.isNull() | j.isin("null", "false", '""', "[]", "{}")
-        return ~blank & F.coalesce(j.try_cast("double") != 0, F.lit(True))
+        is_number = F.substring(j, 1, 1).between("-", "9")  # casting other texts costs an exception each
+        return ~blank & F.coalesce(F.when(is_number, j.try_cast("double") != 0), F.lit(True))
 
     def string(key: str, default: str) -> Column:
         return F.when(row[key].isNull(), F.lit(default)).otherwise(_said(text(key), row[key]))

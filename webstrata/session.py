@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for rows whose work is large for their bytes.
+
+    Given as a number, so that adaptive execution, which goes by bytes, does not merge them.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back, cutting its lineage."""
     path = shared_folder(df.sparkSession, name)
