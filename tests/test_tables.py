@@ -174,3 +174,13 @@ def test_deeply_nested_tables_are_judged_in_linear_space(pages_of):
     assert [(t.row_from, t.row_to, t.is_data) for t in flat.tables] == [(0, 2, True), (1, 2, False)]
     assert [t.is_data for t in deep.tables] == [True] * 799 + [False]
     assert len(accepted(pages_of, nested(40))) == 39
+
+
+def test_tags_are_dealt_anew(spark, pages_of):
+    """A partition of pages has many times its bytes in tags: they are not sorted where the pages were grouped."""
+    from webstrata.session import spread
+
+    whole = pages_of("<div><p>a</div>", "<nav><table><tr><td>x</table></nav>").groupBy("page_id").agg(F.first("html").alias("html"))
+    nodes = N.page_nodes(whole)
+    assert nodes.rdd.getNumPartitions() == spread(spark) >= 4
+    assert [r.shadowed for r in N.shadowed_tables(nodes).collect()] == [True]

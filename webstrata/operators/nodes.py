@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from webstrata.functions import html as H
 from webstrata.functions import tables as T
 from webstrata.functions.text import explode_rows
+from webstrata.session import spread
 
 OPTIONAL_END = ["p", "li", "tr", "td", "th", "dt", "dd", "option"]
 
@@ -39,6 +40,8 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             T.shadows(F.col("piece"), F.col("name")).alias("shadows"),
         )
     )
+    # Dealt anew, for a partition of pages holds many times its bytes in tags, and all are sorted.
+    tokens = tokens.repartition(spread(pages.sparkSession), key, "tag")
     by_tag = Window.partitionBy(key, "tag").orderBy("pos")
     whole = Window.partitionBy(key, "tag")
     depth = F.sum("step").over(by_tag) + F.when(F.col("step") < 0, 1).otherwise(0)
