@@ -3,6 +3,7 @@ import glob
 import json
 import re
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from webstrata import session
@@ -214,6 +215,47 @@ def test_repeats_are_suppressed_within_the_horizon(spark, tmp_path):
     ]
 
 
+def test_an_arrival_reads_no_waiting_rows_and_lists_no_timers():
+    """What a call costs does not grow with the rows that wait: a counted fake stands for the state store."""
+    timers, reads = set(), []
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Waiting:
+        rows = ()
+
+        def get(self):
+            reads.append(1)
+            return iter(self.rows)
+
+        def appendList(self, more):
+            self.rows = [*self.rows, *more]
+
+    class Handle:
+        registerTimer, deleteTimer = timers.add, timers.remove
+
+        def getValueState(self, *_):
+            return Value()
+
+        def getListState(self, *_):
+            return Waiting()
+
+    first = streams.FirstOfHorizon(["url", "at_us"], "at_us", 10**9)
+    first.init(Handle())
+    for us, wakes in ((5000, 5), (3001, 4), (9000, 4), (2000, 2)):
+        assert not list(first.handleInputRows(("a",), iter([Row(url="a", at_us=us)]), None))
+        assert timers == {wakes}
+    assert not list(first.handleInputRows((None,), iter([Row(url=None, at_us=1)]), None))
+    assert timers == {2} and not reads and [at for at, _ in first.waiting.rows] == [5000, 3001, 9000, 2000]
+
+
 def body(n, extra=""):
     return f"<html><title>T{n}</title>{extra}<p>{'text of the page ' * 40}</p></html>"
 

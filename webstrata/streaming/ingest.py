@@ -6,8 +6,8 @@ import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from webstrata.operators.results import latest_per_url
@@ -54,6 +54,10 @@ def compact(spark: SparkSession, out: str, target: str, order: list[str]) -> Non
     latest_results(spark, out, order).write.mode("overwrite").partitionBy("batch_id").parquet(target)
 
 
+#: Where a row without a time stands: ahead of all others.
+NO_TIME = -(2**63)
+
+
 class FirstOfHorizon(StatefulProcessor):
     """Per key, keeps a row and suppresses those less than ``horizon`` after the last kept one, in event time.
 
@@ -61,64 +65,72 @@ class FirstOfHorizon(StatefulProcessor):
     arrival. One timer per key wakes the earliest of them; it then decides all rows that the watermark
     has passed, and a last one forgets the key when its horizon is over. A row that a kept one
     covers already does not wait.
+
+    Rows come with their time in microseconds as column ``at`` and leave so. A call is mostly the
+    time of its messages to the state store, so the timer's time is state too and no timers are listed.
     """
 
     def __init__(self, columns: list[str], at: str, horizon_us: int):
-        self.columns, self.at, self.horizon = columns, columns.index(at), horizon_us
+        self.columns, self.at, self.horizon = [c for c in columns if c != at], at, horizon_us
 
     def init(self, handle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", "at bigint")
         self.waiting = handle.getListState("waiting", "at bigint, row string")
+        self.woken = handle.getValueState("woken", "ms bigint")
 
     def _wake(self, at: int) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-at // 1000))  # timers are in milliseconds
+        ms = -(-at // 1000)  # timers are in milliseconds
+        self.handle.registerTimer(ms)
+        self.woken.update((ms,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.kept.get()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         came = []
-        for frame in rows:
-            times = frame[self.columns[self.at]].to_numpy("datetime64[us]").astype("int64").tolist()
-            texts = frame.to_json(orient="values", lines=False, date_format="iso", date_unit="us")
-            came += [(at, json.dumps(row)) for at, row in zip(times, json.loads(texts))]
+        for row in rows:
+            at = row[self.at]
+            came.append((NO_TIME if at is None else at, json.dumps([row[c] for c in self.columns])))
+        if key[0] is None:  # rows without a key only move the watermark
+            return iter(())
+        last = self.kept.get()
         if last is not None:
             came = [r for r in came if not last[0] <= r[0] < last[0] + self.horizon]
-        if came and key[0] is not None:  # rows without a key only move the watermark
+        if came:
             self.waiting.appendList(came)
-            self._wake(min(at for at, _ in self.waiting.get()))
+            first, woken = min(at for at, _ in came), self.woken.get()
+            if woken is None or -(-first // 1000) < woken[0]:
+                if woken is not None:
+                    self.handle.deleteTimer(woken[0])
+                self._wake(first)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted((at, row) for at, row in self.waiting.get())
-        last = self.kept.get()
-        last = last[0] if last is not None else None
+        before = self.kept.get()
+        last = before = before[0] if before is not None else None
         out, later = [], []
         for at, row in rows:
             if at > passed:
                 if last is None or at >= last + self.horizon:
                     later.append((at, row))
             elif last is None or at >= last + self.horizon:
-                out.append(json.loads(row))
+                out.append(Row(**dict(zip(self.columns, json.loads(row))), **{self.at: None if at == NO_TIME else at}))
                 last = at
         if later:
             self.waiting.put(later)
         elif rows:
             self.waiting.clear()
-        if last is not None and passed >= last + self.horizon:
-            self.kept.clear()
-        elif last is not None:
+        open_ = last is not None and passed < last + self.horizon
+        if not open_:
+            if before is not None:
+                self.kept.clear()
+        elif last != before:
             self.kept.update((last,))
-        if later:
-            self._wake(later[0][0])
-        elif last is not None and passed < last + self.horizon:
-            self._wake(last + self.horizon)
-        if out:
-            frame = pd.DataFrame(out, columns=self.columns)
-            frame[self.columns[self.at]] = pd.to_datetime(frame[self.columns[self.at]], utc=True).dt.tz_localize(None)
-            yield frame
+        if later or open_:
+            self._wake(later[0][0] if later else last + self.horizon)
+        else:
+            self.woken.clear()
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -144,13 +156,20 @@ def suppress_repeats(
     """
     spark = submissions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return (
+    # The time crosses to Python as a number; the column itself stays in the input for the watermark.
+    us = f"{at}_us"
+    columns = [c for c in submissions.columns if c != at]
+    kinds = {f.name: f.dataType.simpleString() for f in submissions.schema.fields}
+    kept = (
         submissions.withWatermark(at, delay)
+        .withColumn(us, F.unix_micros(F.col(at).cast("timestamp")))
         .groupBy(key)
-        .transformWithStateInPandas(
-            FirstOfHorizon(submissions.columns, at, _microseconds(horizon)), submissions.schema, "Append", "EventTime"
+        .transformWithState(
+            FirstOfHorizon([*columns, us], us, _microseconds(horizon)),
+            ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], f"`{us}` bigint"]), "Append", "EventTime",
         )
     )
+    return kept.select(*[F.timestamp_micros(us).cast(kinds[at]).alias(at) if c == at else F.col(f"`{c}`") for c in submissions.columns])
 
 
 @contextmanager
