@@ -177,3 +177,54 @@ def test_bands_find_similar_lines():
             hits += bool((x == y).any())
     assert total > 100 and hits / total > 0.98
     assert Counter(L.signatures(["abc", "abc"], np.array([5, 5]))[0].tolist()) == Counter(L.signatures(["abc"], np.array([5]))[0].tolist())
+
+
+def test_line_bands_travel_in_parts(frame, prose):
+    """Bands are dealt as bytes, a row per part and task and not one per band, and meet as single rows would."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    texts = [t.replace("\n", " ") for _, t, _ in prose]
+    rows = [(k, "\n".join(texts[k : k + 5] + [texts[k] + " and more"]), "en") for k in range(0, len(texts), 3)]
+    docs = frame(rows).select("doc_id", F.xxhash64("text").alias("text_key"), F.lower("text").alias("lower"))
+    packed = L.band_rows(L.signed_lines(docs))
+    lines = sorted({x for _, t, _ in rows for x in L.normal_lines(t.lower()) if x})
+    keys = L.line_keys(lines)
+    want = {}
+    for key, bands in zip(keys.tolist(), L.signatures(lines, keys).tolist()):
+        for band in bands:
+            want.setdefault(band, set()).add(key)
+    want = {band: found for band, found in want.items() if len(found) > 1}
+    sent = packed.collect()
+    assert len(sent) <= 3 * 32 < L.BANDS * len(lines) <= sum(len(r["bands"]) // 8 for r in sent)
+    assert all((np.frombuffer(r["bands"], np.uint64) >> np.uint64(59) == r["part"]).all() for r in sent)
+    got = {}
+    for r in L.bucket_rows(packed).collect():
+        got.setdefault(r["band"], []).append((r["key"], r["is_hub"]))
+    assert want and {band: {key for key, _ in found} for band, found in got.items()} == want
+    assert all(len(found) == len(want[band]) and sum(hub for _, hub in found) == 1 for band, found in got.items())
+
+
+def test_line_overlaps_equal_whole_sets():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab é世\U0001f600") for _ in range(rng.randrange(6, 90))) for _ in range(40)] + ["x" * 300, "abcdef"]
+    pairs = [(a, b) for a in lines for b in rng.sample(lines, 6) + [a + "b", a[:-1] + "cccc"]]
+    both, union = L.overlaps([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(zip(both.tolist(), union.tolist())) == [L.similarity(a, b) for a, b in pairs]
+    assert L.overlaps(["abc"], ["abcd"])[0].tolist() == [0]
+    sizes, bits = L.parities(lines, L.line_keys(lines))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines):
+            both, union = L.similarity(a, b)
+            assert sizes[i] + sizes[j] == both + union
+            assert np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum() <= union - both
+
+
+def test_normal_lines():
+    texts = ["", " ", "\n", "a  b", " a\t\r\nb \n \n c", "a\x0b\x0c b\n\n", "\t\ta\n", "a \nb", "a\n b", "x\x1cy\u2003z\u00a0"]
+    for t in texts:
+        assert L.normal_lines(t) == [re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x).strip(" ") for x in t.split("\n")]

@@ -10,9 +10,10 @@ line of a component (smallest document id, then position) is the one that stays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,65 +33,64 @@ PERCENT = 80
 #: 64-bit words of the bits that bound the difference of two lines.
 WORDS = 16
 #: Characters whose shingles are hashed together.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
+#: Band hashes that meet in one group, and those that a task holds before it puts them out.
+GROUP, HELD = 1 << 19, 1 << 21
+#: Pairs of lines compared together.
+PAIRS = 32
 #: Up to so many ids are sent to all tasks; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Up to so many bytes of positions are sent to all tasks; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.iinfo(np.uint64).max
+_BLANKS = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def normal_lines(text: Column) -> Column:
-    """Lines of a text, lower-cased, with single spaces and none at the ends.
+def normal_lines(lower: str) -> list[str]:
+    """Lines of a text already in lower case, with single spaces and none at the ends; only what needs it is changed."""
+    if "  " in lower or any(c in lower for c in "\t\x0b\x0c\r"):
+        lower = _BLANKS.sub(" ", lower)
+    lines = lower.split("\n")
+    if lower[:1] == " " or lower[-1:] == " " or " \n" in lower or "\n " in lower:
+        lines = [x.strip(" ") for x in lines]
+    return lines
 
-    The whole text is reduced before it is cut, and only a text that has something to reduce: looking
-    for fixed characters costs a small part of what a pattern does.
-    """
-    blank = r"[\x20\x09\x0B-\x0D]"
-    has = lambda t, *parts: reduce(or_, [F.contains(t, F.lit(p)) for p in parts])
-
-    def runs(t: Column) -> Column:
-        changed = F.regexp_replace(t, rf"[\x09\x0B-\x0D]{blank}*|\x20{blank}+", " ")
-        return F.when(has(t, "  ", "\t", "\x0b", "\x0c", "\r"), changed).otherwise(t)
-
-    def ends(t: Column) -> Column:
-        return F.when(has(t, " \n", "\n "), F.regexp_replace(t, r"\x20\n\x20?|\n\x20", "\n")).otherwise(t)
-
-    lower = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    return F.transform(F.array(lower), lambda t: F.transform(F.array(runs(t)), lambda r: F.split(F.trim(ends(r)), "\n", -1))[0])[0]
 
-
-def line_keys(norm: Column) -> Column:
-    """A 64-bit key per line; null for a blank one."""
-    return F.transform(norm, lambda x: F.when(x != "", F.xxhash64(x)))
+def line_keys(lines: list[str]) -> np.ndarray:
+    """A 64-bit key per line."""
+    return np.frombuffer(b"".join([blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines]), "<i8")
 
 
 def signatures(lines: list[str], keys: np.ndarray, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Band hashes, a row per line. Each shingle falls into one of ``bands * rows`` bins and the least hash of a bin counts;
     an empty bin takes the value of the next full one. A line shorter than a shingle is one shingle, its key."""
     bins = bands * rows
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    least = np.full((len(lines), bins), np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(lines) * bins, _EMPTY, np.uint64)
     h, owner = shingle_hashes(lines, width)
     if len(h):
-        slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(least.reshape(-1), owner * bins + slot, mix(h))
-    short = sizes < width
-    least[short, 0] = mix(keys[short].view(np.uint64))
-    empty = least == np.iinfo(np.uint64).max
-    where = np.where(empty, 2 * bins, np.arange(bins))
-    twice = np.concatenate([where, where + bins], 1)
-    source = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :bins] % bins
-    steps = np.where(empty, source, np.arange(bins)[None, :])
-    least = np.take_along_axis(least, source, 1) + steps.astype(np.uint64)
-    out = np.zeros((len(lines), bands), np.uint64)
-    for k in range(rows):
-        out = out * _BASE + least[:, k::rows][:, :bands]
+        slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+        np.minimum.at(least, slot + owner * bins, mix(h))
+    short = np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) < width)
+    least[short * bins] = mix(keys[short].view(np.uint64))
+    empty = least == _EMPTY
+    gaps, full = np.flatnonzero(empty), np.flatnonzero(~empty)
+    table = least.reshape(-1, bins)
+    table += np.arange(bins, dtype=np.uint64)
+    row = gaps // bins
+    own = bins - np.bincount(row, minlength=len(lines))
+    ends = own.cumsum()
+    source = gaps - np.arange(len(gaps))  # the next full bin, of all lines
+    least[gaps] = least[full[np.where(source < ends[row], source, ends[row] - own[row])]]
+    out = table[:, ::rows].copy()
+    for k in range(1, rows):
+        out *= _BASE
+        out += table[:, k::rows]
     return mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
@@ -100,12 +100,17 @@ def shingle_hashes(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if len(chars) < width:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.zeros(len(chars) - width + 1, np.uint64)
-    for k in range(width):
-        h = h * _BASE + chars[k : k + len(h)]
-    owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    inside = np.arange(len(h)) + width <= sizes.cumsum()[owner]
-    return mix(h[inside]), owner[inside]
+    h, have = chars, 1
+    for bit in f"{width:b}"[1:]:  # hashes of twice the characters from two neighbours, and one more where the width is odd
+        h, have = h[:-have] * np.uint64(pow(int(_BASE), have, 1 << 64)) + h[have:], 2 * have
+        if bit == "1":
+            h, have = h[:-1] * _BASE + chars[have:], have + 1
+    inside = np.ones(len(h), bool)
+    ends = sizes.cumsum()
+    for k in range(1, width):
+        last = ends - k
+        inside[last[(last >= 0) & (last < len(h))]] = False
+    return mix(h[inside]), np.repeat(np.arange(len(lines)), np.maximum(sizes - width + 1, 0))
 
 
 def parities(lines: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,14 +118,17 @@ def parities(lines: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h, owner = shingle_hashes(lines)
     short = np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) < WIDTH)
     h, owner = np.append(h, mix(keys[short].view(np.uint64))), np.append(owner, short)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[first], owner[first]
+    # A shingle is known by its line and the highest bits of its hash that fit beside it.
+    left = np.uint64(64 - len(lines).bit_length())
+    h = np.sort(owner.view(np.uint64) << left | h >> (np.uint64(64) - left))
+    h = h[np.append(True, h[1:] != h[:-1])]
     bits = 64 * WORDS
-    hits = np.bincount(owner * bits + (h % np.uint64(bits)).astype(np.int64), minlength=len(lines) * bits)
-    return np.bincount(owner, minlength=len(lines)), np.packbits((hits & 1).astype(bool)).view(np.int64).reshape(-1, WORDS)
+    place = h >> (left - np.uint64(bits.bit_length() - 1))
+    word = (place >> np.uint64(6)).view(np.int64)
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    table = np.zeros(len(lines) * WORDS, np.uint64)
+    table[word[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (place & np.uint64(63)), starts)
+    return np.bincount((h >> left).view(np.int64), minlength=len(lines)), table.view(np.int64).reshape(-1, WORDS)
 
 
 def _blocks(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -134,80 +142,127 @@ def _blocks(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(lines)
 
 
+def _lines(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """All lines of some texts: number per text, keys, which are blank; and the places and texts of the new ones."""
+    cut = [normal_lines(t) for t in texts]
+    lines = [x for c in cut for x in c]
+    keys = line_keys(lines)
+    blank = np.fromiter((not x for x in lines), bool, len(lines))
+    fresh = []
+    for k, (key, line) in enumerate(zip(keys.tolist(), lines)):
+        if line and key not in seen:
+            seen.add(key)
+            fresh.append(k)
+    return np.fromiter(map(len, cut), np.int64, len(cut)), keys, blank, np.array(fresh, np.int64), [lines[k] for k in fresh]
+
+
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_key, norm, keys) with the lines replaced by the band hashes of those that are new in
-    their task: ``fresh`` holds the new keys and ``bands`` their hashes, ``BANDS`` for each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64())] + [(n, pa.list_(pa.int64())) for n in ("keys", "fresh", "bands")])
+    """Rows (doc_id, text_key, lower) with the text replaced by the keys of its lines, null for a blank one.
+
+    The first row of a slice also holds the keys that are new in their task (``fresh``) and their band
+    hashes, ``BANDS`` for each, as bytes.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("fresh", pa.binary()), ("bands", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in in_slices(batches, 200):
-            fresh: list[list[int]] = []
-            lines, keys = [], []
-            for norm, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                new = {k: x for k, x in zip(own, norm) if k is not None and k not in seen}
-                seen.update(new)
-                fresh.append(list(new))
-                lines.extend(new.values())
-                keys.extend(new)
-            hashes = [signatures(lines[a:b], np.array(keys[a:b], np.int64)).ravel() for a, b in _blocks(lines)]
-            flat = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in fresh])]).astype(np.int32)
-            new_keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys, pa.int64()))
-            bands = pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3).cast(schema.field(2).type), new_keys, bands], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, keys array<bigint>, fresh array<bigint>, bands array<bigint>")
+            counts, keys, blank, fresh, lines = _lines(batch.column(2).to_pylist(), seen)
+            new = keys[fresh]
+            bands = b"".join([signatures(lines[a:b], new[a:b]).tobytes() for a, b in _blocks(lines)])
+            ends = pa.array(np.append(0, counts.cumsum()).astype(np.int32))
+            others = [None] * (batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys, mask=blank)), pa.array([new.tobytes(), *others], pa.binary()), pa.array([bands, *others], pa.binary())],
+                schema=schema,
+            )
+
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, keys array<bigint>, fresh binary, bands binary")
 
 
 def band_rows(signed: DataFrame) -> DataFrame:
-    """``band, key`` for every different line of a task."""
-    rows = signed.select("fresh", F.posexplode("bands").alias("at", "band"))
-    return rows.select("band", F.get("fresh", F.floor(F.col("at") / BANDS).cast("int")).alias("key"))
+    """``part, bands, keys``: the bands of every different line of a task, as bytes, dealt by their highest bits.
 
+    There are as many parts as keep some ``GROUP`` bands in each, and a task for every few of them, however
+    large the table is.
+    """
+    rows = signed.select("fresh", "bands").where("bands is not null")
+    total = rows.agg(F.sum(F.length("bands").cast("bigint"))).first()[0] or 0
+    high = max(5, (total // (8 * GROUP)).bit_length())
+    schema = pa.schema([("part", pa.int64()), ("bands", pa.binary()), ("keys", pa.binary())])
+
+    def dealt(bands: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        band, key = np.concatenate(bands), np.repeat(np.concatenate(keys), BANDS)
+        part = (band.view(np.uint64) >> np.uint64(64 - high)).astype(np.uint16 if high <= 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        band, key, part = band[order], key[order], part[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(starts[1:], len(part))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), cut(band), cut(key)], schema=schema)
 
-@lru_cache(maxsize=2000)
-def _shingles(line: str, width: int) -> frozenset[str]:
-    return frozenset([line[k : k + width] for k in range(max(1, len(line) - width + 1))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, keys, held = [], [], 0
+        for batch in in_slices(batches, 1):
+            keys.append(np.frombuffer(batch.column(0)[0].as_py(), np.int64))
+            bands.append(np.frombuffer(batch.column(1)[0].as_py(), np.int64))
+            held += len(bands[-1])
+            if held > HELD:
+                yield dealt(bands, keys)
+                bands, keys, held = [], [], 0
+        if held:
+            yield dealt(bands, keys)
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, (1 << high) // 4)
+    return rows.mapInArrow(run, "part bigint, bands binary, keys binary").repartition(tasks, "part")
 
 
 def bucket_rows(rows: DataFrame) -> DataFrame:
-    """``band, key, is_hub`` of the bands with two different keys or more, from repeated ``band, key``.
+    """``band, key, is_hub`` of the bands with two different keys or more, from ``part, bands, keys``.
 
-    Rows meet by band, sorted, and are reduced run by run: nearly all bands have one key and end here.
-    The hub of a bucket is the line that most tasks have (of near copies, the original), then the one
-    of the least hash. A run that goes on in the next batch is carried over with its counts.
+    All rows of a part meet and are sorted by band: nearly all bands have one key and end here. The
+    hub of a bucket is the line that most tasks have (of near copies, the original), then the one of
+    the least hash.
     """
-    rows = rows.select("band", "key", F.xxhash64("key").alias("tie")).repartition("band").sortWithinPartitions("band", "key")
     schema = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("is_hub", pa.bool_())])
 
-    def buckets(band: np.ndarray, key: np.ndarray, tie: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-        """Whole bands, a row per different key."""
-        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.empty(0, np.int64)
-        size = np.diff(np.append(starts, len(band)))
-        many = np.repeat(size > 1, size)
-        band, key, tie, seen = band[many], key[many], tie[many], seen[many]
-        order = np.lexsort((key, tie, -seen, band))
-        first = np.append(True, band[order][1:] != band[order][:-1]) if len(band) else np.empty(0, bool)
+    def runs(*columns: np.ndarray) -> np.ndarray:
+        """Where another value begins."""
+        if not len(columns[0]):
+            return np.empty(0, np.int64)
+        changed = np.zeros(len(columns[0]) - 1, bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        return np.flatnonzero(np.append(True, changed))
+
+    def many(starts: np.ndarray, total: int) -> np.ndarray:
+        """Which rows are in a run of two or more."""
+        size = np.diff(np.append(starts, total))
+        return np.repeat(size > 1, size)
+
+    def buckets(table: pa.Table) -> pa.Table:
+        band, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("bands", "keys"))
+        order = np.argsort(band)
+        order = order[many(runs(band[order]), len(band))]
+        band, key = band[order], key[order]
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        starts = runs(band, key)
+        seen = np.diff(np.append(starts, len(band)))
+        band, key = band[starts], key[starts]
+        keep = many(runs(band), len(band))
+        band, key, seen = band[keep], key[keep], seen[keep]
+        order = np.lexsort((key, mix(key.view(np.uint64)), -seen, band))
         hub = np.zeros(len(band), bool)
-        hub[order[first]] = True
-        return pa.RecordBatch.from_arrays([pa.array(band), pa.array(key), pa.array(hub)], schema=schema)
+        hub[order[runs(band[order])]] = True
+        return pa.Table.from_arrays([pa.array(band), pa.array(key), pa.array(hub)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.empty(0, np.int64)] * 4
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [c.to_numpy() for c in batch.columns] + [np.ones(batch.num_rows, np.int64)]
-            band, key, tie, seen = (np.append(a, b) for a, b in zip(left, new))
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))
-            band, key, tie, seen = band[starts], key[starts], tie[starts], np.add.reduceat(seen, starts)
-            done = int(np.searchsorted(band, band[-1]))  # the last band may go on
-            yield buckets(band[:done], key[:done], tie[:done], seen[:done])
-            left = [x[done:] for x in (band, key, tie, seen)]
-        yield buckets(*left)
-
-    return rows.mapInArrow(run, "band bigint, key bigint, is_hub boolean")
+    return rows.groupBy("part").applyInArrow(buckets, "band bigint, key bigint, is_hub boolean")
+
+
+@lru_cache(maxsize=2000)
+def _shingles(line: str, width: int) -> frozenset[str]:
+    return frozenset([line[k : k + width] for k in range(max(1, len(line) - width + 1))])
 
 
 def similarity(x: str, y: str, width: int = WIDTH) -> tuple[int, int]:
@@ -217,14 +272,46 @@ def similarity(x: str, y: str, width: int = WIDTH) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
+def overlaps(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``similarity`` of many pairs, by as many bits of the shingles' hashes as fit beside the number of a line.
+
+    A line shorter than a shingle counts as an empty set.
+    """
+    n = len(xs)
+    h, owner = shingle_hashes(xs + ys)
+    left = np.uint64(64 - (2 * n).bit_length())
+    h = np.sort(owner.view(np.uint64) << left | h >> (np.uint64(64) - left))
+    h = h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+    owner = (h >> left).view(np.int64)
+    sizes = np.bincount(owner, minlength=2 * n)
+    h = np.sort(h - ((owner // n * n).view(np.uint64) << left))  # the second of a pair goes beside the first
+    both = np.bincount((h[1:][h[1:] == h[:-1]] >> left).view(np.int64), minlength=n)
+    return both, sizes[:n] + sizes[n:] - both
+
+
 def line_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """``key, norm, n, p0 ..`` of the wanted lines: text, number of shingles, and bits that flip once per shingle.
 
-    Two shingle sets differ in at least as many shingles as their bits differ.
+    Two shingle sets differ in at least as many shingles as their bits differ. Up to ``BROADCAST_IDS``
+    wanted keys are sent to all tasks, which then put out no other line; more are joined.
     """
     keys = written(keys.distinct(), "wanted-lines")
-    lines = docs.select(F.explode(F.arrays_zip("keys", "norm")).alias("line")).select("line.keys", "line.norm").withColumnRenamed("keys", "key")
-    picked = lines.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key").groupBy("key", "norm").agg(F.lit(1)).select("key", "norm")
+    few = keys.count() <= BROADCAST_IDS
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy())) if few else None
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in in_slices(batches, 200):
+            _, keys, _, fresh, lines = _lines(batch.column(0).to_pylist(), seen)
+            found = keys[fresh]
+            if sent is not None:
+                at = np.searchsorted(sent.value, found)
+                wanted = np.flatnonzero(np.take(sent.value, at, mode="clip") == found) if len(sent.value) else at[:0]
+                found, lines = found[wanted], [lines[k] for k in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(lines, pa.string())], ["key", "norm"])
+
+    there = docs.select("lower").mapInArrow(lines, "key bigint, norm string")
+    picked = (there if few else there.join(keys, "key")).groupBy("key", "norm").agg(F.lit(1)).select("key", "norm")
     schema = pa.schema([("key", pa.int64()), ("norm", pa.string()), ("n", pa.int64())] + [(f"p{k}", pa.int64()) for k in range(WORDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,22 +335,28 @@ def _near(percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs of keys (a, b) whose lines reach ``percent``, by the bound on their bits and then by their whole sets."""
+    """The pairs of keys (a, b) whose lines reach ``percent``, by the bound on their bits and then by their whole sets.
+
+    The sets are compared by hashes first; within two shingles of the limit the texts themselves decide.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both, union = similarity(x, y)
-                keep.append(100 * both >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in in_slices(batches, PAIRS):
+            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            both, union = overlaps(xs, ys)
+            above = 100 * both - percent * union
+            keep = above >= 0
+            for k in np.flatnonzero(np.abs(above) <= 400):
+                a, b = similarity(xs[k], ys[k])
+                keep[k] = 100 * a >= percent * b
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     full = pairs.join(texts.alias("x"), F.col("a") == F.col("x.key")).join(texts.alias("y"), (F.col("b") == F.col("y.key")) & _near(percent))
     return written(full.select("a", "b", F.col("x.norm").alias("x"), F.col("y.norm").alias("y")).mapInArrow(compare, "a bigint, b bigint"), "line-links")
 
 
 def line_groups(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node, component`` of the keys of lines that are like another, different line; docs has (norm, keys)."""
+    """``node, component`` of the keys of lines that are like another, different line; docs has (lower)."""
     buckets = written(bucket_rows(band_rows(signed)), "buckets")
     hubs = buckets.where("is_hub").select("band", F.col("key").alias("a"))
     stars = buckets.select("band", F.col("key").alias("b")).join(hubs, "band").where("a <> b")
@@ -279,7 +372,10 @@ def line_groups(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
     rest = grouped.alias("x").join(grouped.alias("y"), apart & _near(percent))
     rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(written(rest, "line-rest"), texts, percent)
+    rest = written(rest, "line-rest")
+    if rest.count() <= BROADCAST_IDS // 2:  # few lines are left: the others need not be sorted
+        texts = texts.join(F.broadcast(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key", "left_semi")
+    more = verified(rest, texts, percent)
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
@@ -294,14 +390,15 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    norm = rows.select("doc_id", F.xxhash64("text").alias("text_key"), normal_lines(F.col("text")).alias("norm")).withColumn("keys", line_keys(F.col("norm")))
-    signed = written(signed_lines(norm), "signed-lines")
-    groups = line_groups(signed, norm.select("norm", "keys"), percent)
+    lower = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower("text").alias("lower"))
+    signed = written(signed_lines(lower), "signed-lines")
+    groups = line_groups(signed, lower, percent)
     placed = signed.select("doc_id", "text_key", F.posexplode("keys").alias("pos", "key")).where("key is not null")
     placed = placed.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "text_key", "pos", F.coalesce("component", "key").alias("component"))
     placed = written(placed, "line-places")
     firsts = placed.groupBy("component").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
-    there = placed.join(firsts, "component")
+    firsts = written(firsts, "line-firsts")
+    there = written(placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts, "component"), "lines-again")
     first_pos = there.where("doc_id = first_id").groupBy("component").agg(F.min("pos").alias("first_pos"))
     gone = there.join(first_pos, "component").where("not (doc_id <=> first_id and pos = first_pos)")
     gone = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone")), "lines-gone")
@@ -310,6 +407,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     n, positions = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     joined = rows.join(F.broadcast(gone) if 64 * n + 8 * positions <= BROADCAST_BYTES else gone, same, "left")
     lines = lines_of(F.col("text"))
-    stay = F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("line"), k.alias("pos"))), lambda x: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), x["pos"]))
-    kept = joined.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.transform(stay, lambda x: x["line"]).alias("kept"))
-    return kept.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", F.size("kept").cast("bigint").alias("n_kept"))
+    stay = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("gone", k)), "\n")
+    whole, n_lines = F.col("gone").isNull(), F.size(lines).cast("bigint")
+    n_kept = F.when(whole, n_lines).otherwise(n_lines - F.size("gone"))
+    return joined.select("doc_id", F.when(whole, F.col("text")).otherwise(stay).alias("text"), n_lines.alias("n_lines"), n_kept.alias("n_kept"))
