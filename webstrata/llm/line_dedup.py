@@ -398,9 +398,10 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     placed = written(placed, "line-places")
     firsts = placed.groupBy("component").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
     firsts = written(firsts, "line-firsts")
-    there = written(placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts, "component"), "lines-again")
+    sent = F.broadcast if firsts.count() <= BROADCAST_IDS else lambda rows: rows
+    there = written(placed.join(sent(firsts), "component"), "lines-again")
     first_pos = there.where("doc_id = first_id").groupBy("component").agg(F.min("pos").alias("first_pos"))
-    gone = there.join(first_pos, "component").where("not (doc_id <=> first_id and pos = first_pos)")
+    gone = there.join(sent(first_pos), "component").where("not (doc_id <=> first_id and pos = first_pos)")
     gone = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone")), "lines-gone")
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
